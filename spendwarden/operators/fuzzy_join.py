@@ -4,14 +4,16 @@ Two names of lengths p and q reach the cutoff t only if their common subsequence
 ceil(t*(p+q)/2) long. From that follow, without losing a match:
 
 * keys: every lost or added letter destroys at most two bigrams, so matching names share a known number of
-  bigrams. With the bigrams of a name in rising frequency, the shared ones must include KEY_GRAMS of a short
-  prefix, and every choice of KEY_GRAMS prefix bigrams becomes one join key. Names too short for this bound use
-  what is left after deleting the few letters the cutoff allows;
+  bigrams. With the bigrams of a name in rising frequency, the shared ones must include `grams` of a short
+  prefix, and every choice of `grams` prefix bigrams becomes one join key. Names too short for this bound use
+  what is left after deleting the few letters the cutoff allows. One bigram per key suits small or repetitive
+  name sets, two or three suit large and varied ones; a hashed sample of names tells which costs least;
 * bit signatures: bigrams and letters hashed into bits. Each differing bit needs a differing element, so
   too many differing bits rule a pair out before its text is compared.
 
-Pairs are joined on keys by Spark, ruled out by the signatures inside the join's stage, made distinct, and scored.
-Keys held by many names are spread over a grid of cells, so no task sees a whole hot key.
+Spark groups names by key. A key held by many names is spread over a grid of cells, so that no task sees a whole
+hot key; within a cell signatures are compared as arrays and only surviving pairs leave. They are made
+distinct and scored on their whole texts.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
 from ..session import cut
 
-KEY_GRAMS = 2
 BUCKETS = 1 << 14  # bound of the frequency table kept on the driver
 CELL_ROWS = 4096  # names of one key that one cell may hold
+SAMPLE_NAMES = 20000  # names looked at to choose the key width
+PAIR_COST, KEY_COST = 3e-8, 5e-6  # seconds per compared pair and per key row
+STEP_ROWS, STEP_PAIRS = 1 << 16, 1 << 20
 GRAM_WORDS, LETTER_WORDS = 4, 2
 MIN_CUTOFF = 75
 
@@ -48,11 +53,11 @@ def _partners(n: int, cutoff: float) -> range:
 class _Plan:
     """Key layout for one cutoff, worked out once on the driver."""
 
-    def __init__(self, cutoff: float):
+    def __init__(self, cutoff: float, grams: int):
         if cutoff < MIN_CUTOFF:
             raise ValueError(f"cutoff below {MIN_CUTOFF} leaves no useful keys")
-        self.cutoff = cutoff
-        self.short = max((n for n in range(1, 200) if self._overlap(n) < KEY_GRAMS), default=0)
+        self.cutoff, self.grams = cutoff, grams
+        self.short = max((n for n in range(1, 200) if self._overlap(n) < grams), default=0)
         self._prefix: dict[int, int] = {}
         self._drops: dict[int, int] = {}
 
@@ -61,11 +66,11 @@ class _Plan:
         return min((3 * _need(n + p, self.cutoff) - (n + p) - 1 for p in sizes), default=n)
 
     def prefix(self, n: int) -> int:
-        """Bigrams to combine; 0 for names that only use deletions."""
+        """Bigrams to choose from; 0 for names that only use deletions."""
         if n <= self.short:
             return 0
         if n not in self._prefix:
-            self._prefix[n] = min(n - 1, n - 1 - self._overlap(n, self.short) + KEY_GRAMS)
+            self._prefix[n] = min(n - 1, n - 1 - self._overlap(n, self.short) + self.grams)
         return self._prefix[n]
 
     def drops(self, n: int) -> int:
@@ -99,7 +104,7 @@ def _bucket(token: int) -> int:
 
 
 def _bucket_batch(names: pd.Series) -> pd.Series:
-    return pd.Series([[_bucket(t) for t in _tokens(n, 2)] for n in names])
+    return pd.Series([[_bucket(t) for t in _tokens(n, 2)] + [BUCKETS] for n in names])
 
 
 def _text_key(text: str) -> int:
@@ -107,43 +112,141 @@ def _text_key(text: str) -> int:
     return (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0xABCDEF)) - (1 << 63)
 
 
+def _key_maker(plan: _Plan, rarity: np.ndarray):
+    factors = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    picks: dict[int, list[np.ndarray]] = {}
+
+    def make(name: str, grams: list[int]) -> list[int]:
+        keys: set[int] = set()
+        size = plan.prefix(len(name))
+        if size >= plan.grams:
+            if size not in picks:
+                chosen = np.array(list(combinations(range(size), plan.grams)))
+                picks[size] = [chosen[:, i] for i in range(plan.grams)]
+            rare = np.array(sorted(grams, key=lambda t: (rarity[_bucket(t)], t))[:size], dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                mixed = sum((rare[p] + f) * f for p, f in zip(picks[size], factors))
+                mixed ^= mixed >> np.uint64(29)
+            keys.update(mixed.view(np.int64).tolist())
+        for d in range(plan.drops(len(name)) + 1):
+            keys.update(_text_key("".join(c)) for c in combinations(name, len(name) - d))
+        return list(keys)
+
+    return make
+
+
 def _signer(plan: _Plan, rarity: np.ndarray):
-    first, second = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     fields = ["keys"] + [f"g{i}" for i in range(GRAM_WORDS)] + [f"c{i}" for i in range(LETTER_WORDS)]
+    make = _key_maker(plan, rarity)
 
     def sign(names: pd.Series) -> pd.DataFrame:
-        rows, pick = [], {}
+        rows = []
         for name in names:
             grams = _tokens(name, 2)
-            keys: set[int] = set()
-            size = plan.prefix(len(name))
-            if size >= KEY_GRAMS:
-                if size not in pick:
-                    pick[size] = np.triu_indices(size, 1)
-                rare = sorted(grams, key=lambda t: (rarity[_bucket(t)], t))[:size]
-                ordered = np.array(rare, dtype=np.uint64)
-                i, j = pick[size]
-                with np.errstate(over="ignore"):
-                    mixed = (ordered[i] * first) ^ (ordered[j] * second + first)
-                keys.update(mixed.view(np.int64).tolist())
-            for d in range(plan.drops(len(name)) + 1):
-                keep = len(name) - d
-                keys.update(_text_key("".join(c)) for c in combinations(name, keep))
-            rows.append([list(keys), *_bits(grams, GRAM_WORDS), *_bits(_tokens(name, 1), LETTER_WORDS)])
+            rows.append([make(name, grams), *_bits(grams, GRAM_WORDS), *_bits(_tokens(name, 1), LETTER_WORDS)])
         return pd.DataFrame(rows, columns=fields)
 
-    schema = "keys array<bigint>, " + ", ".join(f"{f} bigint" for f in fields[1:])
-    return F.pandas_udf(sign, schema)
+    return F.pandas_udf(sign, "keys array<bigint>, " + ", ".join(f"{f} bigint" for f in fields[1:]))
+
 
+def _keys_only(plan: _Plan, rarity: np.ndarray):
+    make = _key_maker(plan, rarity)
+    return F.pandas_udf(lambda names: pd.Series([make(n, _tokens(n, 2)) for n in names]), "array<bigint>")
 
-def _rarity(names: DataFrame) -> np.ndarray:
-    """How often each bigram bucket occurs: at most BUCKETS rows reach the driver, whatever the data."""
+
+def _rarity(names: DataFrame) -> tuple[np.ndarray, int]:
+    """How often each bigram bucket occurs, and the number of names.
+
+    At most BUCKETS + 1 rows reach the driver, whatever the data.
+    """
     buckets = F.pandas_udf(_bucket_batch, "array<int>")
     rows = names.select(F.explode(buckets("name")).alias("b")).groupBy("b").count().collect()
-    out = np.zeros(BUCKETS, dtype=np.int64)
+    out = np.zeros(BUCKETS + 1, dtype=np.int64)
     for b, n in rows:
         out[b] = n
-    return out
+    return out[:BUCKETS], int(out[BUCKETS])
+
+
+def _choose_grams(names: DataFrame, total: int, cutoff: float, rarity: np.ndarray) -> int:
+    """Key width with the least estimated cost; the sample only steers the layout, never the result."""
+    if total <= SAMPLE_NAMES:
+        return 1
+    step = -(-total // SAMPLE_NAMES)
+    sample = names.where(F.pmod(F.xxhash64("name"), F.lit(step)) == 0)
+
+    def cost(grams: int) -> float:
+        keys = sample.select(F.explode(_keys_only(_Plan(cutoff, grams), rarity)("name")).alias("key"))
+        c = F.col("count").cast("double")
+        pairs, rows = keys.groupBy("key").count().agg(F.sum(c * (c - 1) / 2), F.sum(c)).first()
+        return (pairs or 0) * step * step * PAIR_COST + (rows or 0) * step * KEY_COST
+
+    return min((1, 2, 3), key=cost)
+
+
+def _scan_cells(cutoff: float, selfjoin: bool):
+    """Compare signatures cell by cell over rows sorted by (key, i, j, part)."""
+    sig = [f"c{w}" for w in range(LETTER_WORDS)] + [f"g{w}" for w in range(GRAM_WORDS)]
+
+    def compare(t: pa.Table):
+        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+        part, n = t.column("part").to_numpy(), t.column("n").to_numpy()
+        words = [t.column(c).to_numpy().view(np.uint64) for c in sig]
+        names, size = t.column("name").combine_chunks(), len(key)
+        new = np.ones(size, dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], size)
+        group = np.cumsum(new) - 1
+        ones = np.add.reduceat(part.astype(np.int64), starts)  # rows of the second part come last
+        first_right = (ends - ones)[group]
+        rows = np.arange(size)
+        end = ends[group]
+        if selfjoin:  # a cell on the diagonal pairs its rows among themselves
+            begin = np.where(i == j, rows + 1, first_right)
+            count = np.where((i == j) | (part == 0), end - begin, 0)
+        else:
+            begin, count = first_right, np.where(part == 0, end - first_right, 0)
+        left = np.flatnonzero(count > 0)
+        begin, count = begin[left], count[left]
+        upto = np.cumsum(count)
+        lo = 0
+        while lo < len(left):
+            done = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + STEP_PAIRS, "right")))
+            c = count[lo:hi]
+            li = np.repeat(left[lo:hi], c)
+            ri = np.repeat(begin[lo:hi] - (upto[lo:hi] - c - done), c) + np.arange(len(li))
+            total = n[li] + n[ri]
+            need = np.ceil(total * (cutoff / 200.0) - 1e-9).astype(np.int64)
+            differ = sum(np.bitwise_count(words[w][li] ^ words[w][ri]).astype(np.int64) for w in range(LETTER_WORDS))
+            ok = differ <= total - 2 * need
+            li, ri, total, need = li[ok], ri[ok], total[ok], need[ok]
+            differ = sum(np.bitwise_count(words[w][li] ^ words[w][ri]).astype(np.int64) for w in range(LETTER_WORDS, len(words)))
+            ok = (need <= np.minimum(n[li], n[ri])) & (differ <= total - 2 - 2 * np.maximum(3 * need - total - 1, 0))
+            li, ri = li[ok], ri[ok]
+            if len(li):
+                a, b = names.take(pa.array(li)), names.take(pa.array(ri))
+                yield pa.RecordBatch.from_arrays([a, b], names=["left_name", "right_name"])
+            lo = hi
+
+    def scan(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < STEP_ROWS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            tail = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            same = np.logical_and.reduce([x == x[-1] for x in tail])
+            whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if whole:
+                yield from compare(t.slice(0, whole).combine_chunks())
+                held, rows = t.slice(whole).to_batches(), t.num_rows - whole
+        if rows:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+
+    return scan
 
 
 def _distinct_names(df: DataFrame, column: str) -> DataFrame:
@@ -151,69 +254,67 @@ def _distinct_names(df: DataFrame, column: str) -> DataFrame:
 
 
 def fuzzy_pairs(left: DataFrame, left_name: str, right: DataFrame, right_name: str, cutoff: float,
-                cell_rows: int = CELL_ROWS) -> DataFrame:
+                grams: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All (left_name, right_name, score) of distinct names with score >= cutoff (percent). No pair is lost."""
-    plan = _Plan(cutoff)
     same = left is right and left_name == right_name
-    lnames = _distinct_names(left, left_name)
-    rnames = lnames if same else _distinct_names(right, right_name)
-    sign = _signer(plan, _rarity(lnames if same else lnames.unionByName(rnames)))
-
-    def signed(names: DataFrame) -> DataFrame:
-        return cut(names.select("name", F.length("name").alias("n"), sign("name").alias("s")).select("name", "n", "s.*"))
-
-    ls = signed(lnames)
-    rs = ls if same else signed(rnames)
-
-    def keyed(signatures: DataFrame, side: str) -> DataFrame:
-        e = signatures.withColumn("key", F.explode("keys")).drop("keys")
-        return e.select("key", *[F.col(c).alias(f"{side}_{c}") for c in e.columns if c != "key"])
-
-    lk, rk = keyed(ls, "l"), keyed(rs, "r")
+    lnames = cut(_distinct_names(left, left_name))
+    rnames = lnames if same else cut(_distinct_names(right, right_name))
+    both = lnames if same else lnames.unionByName(rnames)
+    rarity, total = _rarity(both)
+    grams = grams or _choose_grams(both, total, cutoff, rarity)
+    sign = _signer(_Plan(cutoff, grams), rarity)
+    word_cols = [f"g{i}" for i in range(GRAM_WORDS)] + [f"c{i}" for i in range(LETTER_WORDS)]
+
+    def keyed(names: DataFrame) -> DataFrame:
+        s = names.select("name", F.length("name").cast("bigint").alias("n"), sign("name").alias("s"))
+        return s.select("name", "n", *[F.col(f"s.{w}").alias(w) for w in word_cols], F.explode("s.keys").alias("key"))
+
+    crowded = total > cell_rows
+    lk = cut(keyed(lnames)) if crowded else keyed(lnames)
+    rk = lk if same else (cut(keyed(rnames)) if crowded else keyed(rnames))
 
     def cells(k: DataFrame, name: str) -> DataFrame:
         parts = F.ceil(F.count("*") / cell_rows).cast("int").alias(name)
         return k.groupBy("key").agg(parts).where(F.col(name) > 1)
 
-    hot = cells(lk, "pl").join(cells(rk, "pr"), "key", "full_outer").select(
-        "key", F.coalesce("pl", F.lit(1)).alias("pl"), F.coalesce("pr", F.lit(1)).alias("pr")
-    )
-
-    def grid(k: DataFrame, side: str) -> DataFrame:
-        mine, other = ("pl", "pr") if side == "l" else ("pr", "pl")
-        own = F.pmod(F.xxhash64(f"{side}_name"), F.coalesce(mine, F.lit(1)))
-        across = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
-        i, j = (own, across) if side == "l" else (across, own)
-        return k.join(hot, "key", "left").select(
-            "key", *[c for c in k.columns if c != "key"], i.cast("int").alias("i"), j.cast("int").alias("j")
-        )
-
-    pairs = grid(lk, "l").join(grid(rk, "r"), ["key", "i", "j"])
+    one = F.lit(1)
+    if not crowded:
+        zero = F.lit(0)
+        lrows = lk.withColumns({"i": zero, "j": zero, "part": zero})
+        rows = lrows if same else lrows.unionByName(rk.withColumns({"i": zero, "j": zero, "part": one}))
+    elif same:
+        hot = cells(lk, "p")
+        h, g = F.pmod(F.xxhash64("name"), F.coalesce("p", one)).cast("int"), F.col("g")
+        spread = lk.join(hot, "key", "left").withColumn("h", h).withColumn("g", F.explode(F.sequence(F.lit(0), F.coalesce("p", one) - 1)))
+        rows = spread.withColumn("i", F.least("h", g)).withColumn("j", F.greatest("h", g)).withColumn(
+            "part", F.when(F.col("h") > g, 1).otherwise(0)).drop("p", "h", "g")
+    else:
+        hot = cells(lk, "pl").join(cells(rk, "pr"), "key", "full_outer")
+
+        def grid(k: DataFrame, mine: str, other: str, part: int) -> DataFrame:
+            own, across = ("i", "j") if part == 0 else ("j", "i")
+            return (
+                k.join(hot, "key", "left").withColumn(own, F.pmod(F.xxhash64("name"), F.coalesce(mine, one)).cast("int"))
+                .withColumn(across, F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1)))
+                .withColumn("part", F.lit(part)).drop("pl", "pr")
+            )
+
+        rows = grid(lk, "pl", "pr", 0).unionByName(grid(rk, "pr", "pl", 1))
+    sorted_rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part")
+    near = sorted_rows.mapInArrow(_scan_cells(cutoff, same), "left_name string, right_name string")
     if same:
-        pairs = pairs.where(F.col("l_name") < F.col("r_name"))
-
-    def differing(prefix: str, words: int):
-        bits = [F.bit_count(F.col(f"l_{prefix}{w}").bitwiseXOR(F.col(f"r_{prefix}{w}"))) for w in range(words)]
-        return sum(bits[1:], bits[0])
-
-    total = F.col("l_n") + F.col("r_n")
-    need = F.ceil(total * (cutoff / 200.0) - 1e-9)
-    pairs = pairs.where(
-        (need <= F.least("l_n", "r_n"))
-        & (differing("c", LETTER_WORDS) <= total - 2 * need)
-        & (differing("g", GRAM_WORDS) <= (total - 2) - 2 * F.greatest(3 * need - total - 1, F.lit(0)))
-    )
+        near = near.select(F.least("left_name", "right_name").alias("left_name"), F.greatest("left_name", "right_name").alias("right_name"))
     scored = (
-        pairs.select(F.col("l_name").alias("left_name"), F.col("r_name").alias("right_name")).distinct()
-        .withColumn("score", ratio(F.col("left_name"), F.col("right_name")))
-        .where(F.col("score") >= cutoff)
+        near.distinct().withColumn("score", ratio(F.col("left_name"), F.col("right_name"))).where(F.col("score") >= cutoff)
     )
     if not same:
         return scored
     # both directions, and each name with itself
-    turned = scored.select(F.col("right_name").alias("left_name"), F.col("left_name").alias("right_name"), "score")
+    ways = F.inline(F.array(
+        F.struct(F.col("left_name").alias("l"), F.col("right_name").alias("r"), F.col("score").alias("s")),
+        F.struct(F.col("right_name").alias("l"), F.col("left_name").alias("r"), F.col("score").alias("s"))))
     itself = lnames.select(F.col("name").alias("left_name"), F.col("name").alias("right_name"), F.lit(100.0).alias("score"))
-    return scored.unionByName(turned).unionByName(itself)
+    return scored.select(ways).toDF("left_name", "right_name", "score").unionByName(itself)
 
 
 def best_matches(pairs: DataFrame, k: int) -> DataFrame:
