@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import rules_relational  # noqa: F401
+from . import rules_matching, rules_relational  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -69,8 +69,8 @@ def names_cte(alias: str, source: str, column: str) -> str:
 {alias}_c as materialized (select name, length(name) as n, unnest(string_split(name, '')) as c, generate_subscripts(string_split(name, ''), 1) as i
   from (select distinct {column} as name from {source} where length({column}) > 0)),
 {alias} as materialized (select name, any_value(n) as n, map_from_entries(list((c, m))) as m, flatten(list(l)) as l
-  from (select name, n, c, cast(sum(cast(1 as bigint) << cast(i - 1 as bigint)) as bigint) as m,
-               list_transform(range(count(*)), lambda k: c || k::varchar) as l from {alias}_c group by all) group by name)"""
+  from (select *, list_transform(range(k), lambda x: c || x::varchar) as l from (
+    select name, n, c, cast(sum(cast(1 as bigint) << cast(i - 1 as bigint)) as bigint) as m, count(*) as k from {alias}_c group by all)) group by name)"""
 
 
 def ratio_sql(a: str, b: str) -> str:
@@ -100,7 +100,7 @@ def statement(views: tuple[str, ...], body: str) -> str:
     """One SQL statement: the views it needs, its own CTEs (body may start with 'with') and the query."""
     body = body.strip()
     head = ctes(*views) if views else ""
-    if body.lower().startswith("with "):
-        rest = body[5:]
+    if body.lower().split(None, 1)[0] == "with":
+        rest = body[4:].lstrip()
         return f"with recursive {head},\n{rest}" if head else f"with recursive {rest}"
     return f"with recursive {head}\n{body}" if head else body

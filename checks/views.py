@@ -116,6 +116,12 @@ select s.s_suppkey as id, case when s.s_suppkey % 4 = 0 then 'STATE' else 'SAM'
 from {supplier} s join {vendor} v on v.id = s.s_suppkey
 """
 
+VIEWS["entity_match"] = """
+select 'vendor' as entity_type_1, nk as entity_id_1, 'vendor' as entity_type_2, id as entity_id_2, 'twin' as match_type,
+       cast(0.99 as double) as confidence_score
+from {vbase} where nk <> id
+"""
+
 VIEWS["alert"] = """
 select o_orderkey as id,
        case when o_orderpriority = '1-URGENT' then 'duplicate_payment' when o_orderpriority = '2-HIGH' then 'contract_splitting'

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .names import lookup, squeeze
+from .scalars import let
 
 # Postal abbreviations of street types.
 STREET_TYPES = {
@@ -63,26 +64,34 @@ def _assemble(street: Column, city: Column, state: Column, zip_code: Column) ->
 
 def parse_full_address(address: Column) -> Column:
     """Split one address line: ZIP at the end, two-letter state before it, city after the last comma."""
-    text = squeeze(F.upper(_filled(address)))
     zip_at, state_at = r"\b(\d{5})(?:-\d{4})?\s*$", r"\b([A-Z]{2})\s*$"
-    zip_code = _filled(F.regexp_extract(text, zip_at, 1))
-    text = F.trim(F.regexp_replace(text, zip_at, ""))
-    state = _filled(F.regexp_extract(text, state_at, 1))
-    text = F.trim(F.regexp_replace(text, state_at, ""))
-    text = F.trim(F.regexp_replace(text, r",+$", ""))
-    comma = F.instr(text, ",") > 0
-    city = F.when(comma, F.trim(F.regexp_extract(text, r"^.*,([^,]*)$", 1)))
-    street = F.when(comma, F.trim(F.regexp_extract(text, r"^(.*),[^,]*$", 1))).otherwise(text)
-    street = F.when(_filled(street).isNotNull(), normalize_street(street)).otherwise(street)
-    return _assemble(street, city, state, zip_code)
+
+    def split_city(text: Column, state: Column, zip_code: Column) -> Column:
+        comma = F.instr(text, ",") > 0
+        city = F.when(comma, F.trim(F.regexp_extract(text, r"^.*,([^,]*)$", 1)))
+        street = F.when(comma, F.trim(F.regexp_extract(text, r"^(.*),[^,]*$", 1))).otherwise(text)
+        return let(normalize_street(street), lambda st: _assemble(st, city, state, zip_code))
+
+    def split_state(text: Column, zip_code: Column) -> Column:
+        state = _filled(F.regexp_extract(text, state_at, 1))
+        rest = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, state_at, "")), r",+$", ""))
+        return let(rest, lambda r: split_city(r, state, zip_code))
+
+    def split_zip(text: Column) -> Column:
+        zip_code = _filled(F.regexp_extract(text, zip_at, 1))
+        return let(F.trim(F.regexp_replace(text, zip_at, "")), lambda r: split_state(r, zip_code))
+
+    return let(squeeze(F.upper(_filled(address))), split_zip)
 
 
 def normalize_address(address: Column, city=None, state=None, zip_code=None) -> Column:
     """Struct of street, city, state, zip_code and the joined normalized text."""
     none = F.lit(None).cast("string")
     c, s, z = (none if x is None else _filled(x) for x in (city, state, zip_code))
-    parts = _assemble(normalize_street(_filled(address)), F.trim(F.upper(c)), normalize_state(s), normalize_zip(z))
     has_parts = c.isNotNull() | s.isNotNull() | z.isNotNull()
+    if city is None and state is None and zip_code is None:
+        return parse_full_address(address)
+    parts = let(normalize_street(_filled(address)), lambda st: _assemble(st, F.trim(F.upper(c)), normalize_state(s), normalize_zip(z)))
     return F.when(has_parts, parts).otherwise(parse_full_address(address))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 # Legal-form spellings and the standard form, applied in this order.
 LEGAL_FORMS = (
     ("LLC", "LLC"), ("L.L.C.", "LLC"),
@@ -63,8 +65,7 @@ def normalize_vendor_name(name: Column, strip_suffix: bool = False, lower: bool
     text = F.regexp_replace(text, r'[.,;:!?"()\[\]{}]', "")
     text = F.regexp_replace(text, r"(?U)\s*&\s*", " AND ")
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(*FILLERS))
-    out = F.array_join(F.when(F.size(words) > 1, kept).otherwise(words), " ")
+    out = let(words, lambda ws: F.array_join(F.when(F.size(ws) > 1, F.filter(ws, lambda w: ~w.isin(*FILLERS))).otherwise(ws), " "))
     if strip_suffix:
         out = F.trim(F.regexp_replace(out, rf"(?:\b(?:{TAIL_FORMS})\s*)+$", ""))
     out = F.nullif(out, F.lit(""))
@@ -73,21 +74,28 @@ def normalize_vendor_name(name: Column, strip_suffix: bool = False, lower: bool
 
 def name_components(name: Column) -> Column:
     """Struct of base name, legal form at the end and doing-business-as name."""
-    upper = F.upper(name)
-    dba_at = r"(?s)\b(?:DBA|D/B/A|D\.B\.A\.)\s+(.+)$"
-    has_dba = upper.rlike(dba_at)
-    dba = F.when(has_dba, F.trim(F.regexp_extract(upper, dba_at, 1)))
-    head = F.when(has_dba, F.trim(F.regexp_replace(upper, dba_at, ""))).otherwise(upper)
-    tail_at = rf"\b({TAIL_FORMS})\.?\s*$"
-    suffix = F.nullif(F.regexp_extract(head, tail_at, 1), F.lit(""))
-    head = F.when(suffix.isNotNull(), F.trim(F.regexp_replace(head, tail_at, ""))).otherwise(head)
-    base = F.regexp_replace(head, r"[,.\s]+$", "")
-    return F.struct(base.alias("base_name"), suffix.alias("suffix"), dba.alias("dba_name"))
+    dba_at, tail_at = r"(?s)\b(?:DBA|D/B/A|D\.B\.A\.)\s+(.+)$", rf"\b({TAIL_FORMS})\.?\s*$"
+
+    def tail(head: Column, dba: Column) -> Column:
+        suffix = F.nullif(F.regexp_extract(head, tail_at, 1), F.lit(""))
+        cut_off = F.when(head.rlike(tail_at), F.trim(F.regexp_replace(head, tail_at, ""))).otherwise(head)
+        base = F.regexp_replace(cut_off, r"[,.\s]+$", "")
+        return F.struct(base.alias("base_name"), suffix.alias("suffix"), dba.alias("dba_name"))
+
+    def split_dba(upper: Column) -> Column:
+        found = upper.rlike(dba_at)
+        dba = F.when(found, F.trim(F.regexp_extract(upper, dba_at, 1)))
+        return let(F.when(found, F.trim(F.regexp_replace(upper, dba_at, ""))).otherwise(upper), lambda h: tail(h, dba))
+
+    return let(F.upper(name), split_dba)
 
 
 def name_variants(name: Column) -> Column:
     """Array of spellings to look up: as normalised, without legal form, without spaces, with or without THE."""
-    norm = normalize_vendor_name(name)
-    the = F.when(norm.startswith("THE "), F.substring(norm, 5, 100000)).otherwise(F.concat(F.lit("THE "), norm))
-    found = F.array(norm, name_components(norm)["base_name"], F.replace(norm, F.lit(" "), F.lit("")), the)
-    return F.when(norm.isNotNull(), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    def spell(norm: Column) -> Column:
+        the = F.when(norm.startswith("THE "), F.substring(norm, 5, 100000)).otherwise(F.concat(F.lit("THE "), norm))
+        found = F.array(norm, name_components(norm)["base_name"], F.replace(norm, F.lit(" "), F.lit("")), the)
+        return F.when(norm.isNotNull(), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return let(normalize_vendor_name(name), spell)

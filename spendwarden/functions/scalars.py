@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_money(c: Column) -> Column:
     """Text with $ and thousands commas to DECIMAL(15,2); unreadable text is null."""
     return F.regexp_replace(F.trim(c.cast("string")), r"[$,]", "").try_cast("decimal(15,2)")
