@@ -18,7 +18,8 @@ members as materialized (select a.address, a.vendor_id, g.vendors from addr a jo
   where a.address not in (select address from two))"""
 
 PAIRS = f"""
-{pairs_cte('pr', 'nm', 'nm', 85)},
+{pairs_cte('half', 'nm', 'nm', 85, 'a.name < b.name and ')},
+pr as (select * from half union all select right_name, left_name, score from half union all select name, name, 100.0 from nm),
 {best_cte('best', 'pr', 10)},
 holder as (select name_normalized as name, max(id) as id from vendor_v group by 1),
 rel_name as materialized (select v.id as vendor_id_1, h.id as vendor_id_2, 'similar_name' as relationship_type, b.score / 100 as confidence_score
@@ -86,7 +87,7 @@ register("d08_similar_name_alerts", "vendor", lambda t, p: clustering.similar_na
 select 'vendor_cluster_name' as alert_type, 'medium' as severity, 'vendor' as entity_type, vendor_id_1 as entity_id, vendor_id_2 as related_vendor_id,
        v.name as name_1, w.name as name_2, round(confidence_score, 4) as similarity
 from rel_name r join vendor_v v on v.id = r.vendor_id_1 join vendor_v w on w.id = r.vendor_id_2
-where confidence_score >= 0.9 and {norm_line('v.address')} <> {norm_line('w.address')}""")
+where confidence_score >= 0.9 and length(v.address) > 0 and length(w.address) > 0 and {norm_line('v.address')} <> {norm_line('w.address')}""")
 register("d09_sequential_ids", "vendor", lambda t, p: _r6(clustering.sequential_relationships(t, p).drop("evidence")), f"""with {_NAMES}
 select vendor_id_1, vendor_id_2, relationship_type, round(confidence_score, 6) as confidence_score, first_vendor from rel_seq""")
 register("d09_sequential_alerts", "vendor", lambda t, p: clustering.sequential_alerts(clustering.sequential_relationships(t, p)), f"""with {_NAMES}

@@ -80,11 +80,11 @@ def ratio_sql(a: str, b: str) -> str:
     return f"200.0::double * ({a}.n - bit_count({v})) / ({a}.n + {b}.n)"
 
 
-def pairs_cte(out: str, left: str, right: str, cutoff: float) -> str:
+def pairs_cte(out: str, left: str, right: str, cutoff: float, extra: str = "") -> str:
     """All pairs of two names_cte relations that reach the cutoff; letters in common are counted first."""
     return f"""
 {out}_near as materialized (select a.name as left_name, b.name as right_name, a.m as m, a.n as n, b.n as bn from {left} a join {right} b
-  on 200 * least(a.n, b.n) >= {cutoff} * (a.n + b.n)
+  on {extra}200 * least(a.n, b.n) >= {cutoff} * (a.n + b.n)
   where len(list_intersect(a.l, b.l)) >= ceil({cutoff} * (a.n + b.n) / 200.0 - 1e-9)),
 {out} as materialized (select left_name, right_name, score from (
   select a.left_name, a.right_name, {ratio_sql('a', 'b').replace('b.name', 'a.right_name').replace('b.n)', 'a.bn)')} as score from {out}_near a)

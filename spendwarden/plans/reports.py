@@ -330,10 +330,11 @@ def search_awards(t: dict, text: str | None = None, kinds: list[str] | None = No
     return g.orderBy(F.desc("amount_awarded"), "id").limit(k).select("id", "description", "program_name", "amount_awarded", "start_date")
 
 
-def select_rows(df: DataFrame, columns: list[str] | None = None, where: str | None = None, order: str | None = None, k: int = 1000) -> DataFrame:
-    """Ad-hoc look at a table: columns, condition, order and limit as SQL text."""
+def select_rows(df: DataFrame, columns: list[str] | None = None, where: str | None = None, order: list[str] | None = None, k: int = 1000) -> DataFrame:
+    """Ad-hoc look at a table: columns, condition, order (a column, or a column and desc) and limit."""
     out = df if where is None else df.where(where)
-    out = out if order is None else out.orderBy(F.expr(order))
+    keys = [F.desc(o[:-5]) if o.endswith(" desc") else F.asc(o) for o in order or []]
+    out = out.orderBy(*keys) if keys else out
     return (out if columns is None else out.selectExpr(*columns)).limit(k)
 
 
