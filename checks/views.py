@@ -163,6 +163,128 @@ select o_orderkey as id, o_orderkey % 25 as agency_id, o_custkey as recipient_id
 from {orders}
 """
 
+_ISO = "cast(cast({d} as date) as string)"
+_US = "(cast(month({d}) as string) || '/' || cast(day({d}) as string) || '/' || cast(year({d}) as string))"
+
+
+def _iso(d: str) -> str:
+    return _ISO.replace("{d}", d)
+
+
+def _us(d: str) -> str:
+    return _US.replace("{d}", d)
+
+
+# Landed files: text columns under the names the sources use.
+VIEWS["land_vendor"] = """
+select id as _pos, case when id % 2 = 0 then coalesce(vendor_id, '') else '' end as WEB_VID, case when id % 2 = 1 then concat(' ', vendor_id) end as `VENDOR ID NUMBER`,
+       name as WEB_NAME_VENDOR_NAME, address as WEB_ADDR1, city as WEB_CITY, lower(state) as STATE, zip_code as `ZIP CODE`, phone as WEB_PHONE, hub_status as `STATUS CODE`
+from {vendor}
+"""
+VIEWS["land_class"] = """
+select l_orderkey * 10 + l_linenumber as _pos, cast(1000000 + l_suppkey as string) as CLASS_VID, concat(cast(l_linenumber as string), l_returnflag) as CLASS_CODE from {lineitem}
+"""
+VIEWS["land_spending"] = """
+select o_orderkey as _pos, case when o_orderkey % 53 = 0 then '0' when o_orderkey % 59 = 0 then 'none' else concat('$', cast(cast(floor(o_totalprice) as bigint) as string)) end as amount,
+       case when o_orderkey % 61 = 0 then '' else concat('AGENCY NATION_', cast(o_custkey % 25 as string)) end as agency_name,
+       case when o_orderkey % 61 = 0 then '' else cast(o_custkey % 25 as string) end as agency_number, o_orderpriority as major_spending_category
+from {orders}
+"""
+VIEWS["land_payment"] = f"""
+select p.id as _pos, concat('$', cast(p.amount as string)) as amount,
+       case when p.id % 3 = 0 then {_iso('p.payment_date')} || 'T00:00:00' when p.id % 3 = 1 then {_iso('p.payment_date')} else {_us('p.payment_date')} end as payment_date,
+       v.name as payee_name, 'Agency nation ' || cast(p.agency_id as string) as agency_name, cast(p.agency_id as string) as agency_code,
+       case when p.is_confidential then 'y' else 'N' end as confidential, cast(cast(floor(p.id / 1000000000) as bigint) as string) as id, p.description as description
+from {{payment}} p left join {{vendor}} v on v.id = p.vendor_id
+"""
+VIEWS["land_contract"] = f"""
+select id as _pos, case when id % 3 = 0 then concat('<a href="/c">', contract_number, ' </a>') else concat('C-', cast(id % 9973 as string)) end as `Contract-ID`,
+       concat('Vendor ', cast(vendor_id as string)) as `Vendor`, 'Board of Agency ' || cast(agency_id as string) as `Agency`, description as `Subject`,
+       concat('$', cast(current_value as string)) as `Current Contract Value`, case when id % 2 = 0 then {_iso('start_date')} else {_us('start_date')} end as `Award Date`,
+       case when id % 2 = 0 then {_iso('end_date')} else {_us('end_date')} end as `Completion Date`,
+       case when id % 4 = 0 then '' else concat('915-0', cast(id % 10 as string), ' Paper; 920-4', cast(id % 7 as string), ' Ink') end as `NGIP Codes and Categories`
+from {{contract}}
+"""
+VIEWS["land_sheet"] = f"""
+select id as _pos, case when id % 71 = 0 then 'nan' else concat('S-', cast(id % 4999 as string)) end as `Contract Number`, concat('Vendor ', cast(vendor_id as string)) as `Contractor`,
+       'nan' as `Agency`, description as `Description`, case when id % 5 = 0 then 'nan' else cast(current_value as string) end as `Contract Value`,
+       cast(max_value as string) as `Value`, cast(max_value as string) as `Max Value`, {_us('start_date')} as `Effective Date`, {_us('end_date')} as `Expiration Date`,
+       concat('1', cast(id % 10 as string), ', 22') as `NIGP Code`, cast(year(start_date) as string) as `FY`
+from {{contract}}
+"""
+VIEWS["land_award"] = f"""
+select id as _pos, concat('FA', cast(id % 11000 as string)) as `Award ID`, concat('Recipient ', cast(recipient_id as string)) as `Recipient Name`,
+       concat(cast(cast(amount_awarded as bigint) as string), '.00') as `Award Amount`, case when id % 3 = 0 then 'bad' else '12' end as `Total Outlays`,
+       description as `Description`, concat({_iso('start_date')}, ' 00:00') as `Start Date`, concat('Department of Nation ', cast(agency_id as string)) as `Awarding Agency`
+from {{grant}}
+"""
+VIEWS["land_coop"] = f"""
+select id as _pos, case when id % 67 = 0 then '' else concat('DIR-', cast(id % 8000 as string)) end as contract_number, concat({_iso('start_date')}, 'T00:00:00') as contract_start,
+       {_iso('end_date')} as contract_termination_date, concat('Vendor ', cast(vendor_id as string)) as primary_vendor_name,
+       case when id % 5 = 0 then '' else description end as rfo_description, case when id % 7 = 0 then '' else 'IT' end as contract_type,
+       case when id % 7 = 0 then '' else source end as contract_subtype
+from {{contract}}
+"""
+VIEWS["land_sales"] = f"""
+select id as _pos, 'C-' || cast(vendor_id * 20 as string) as contract_number, case when id % 50 = 0 then '-5' when id % 51 = 0 then 'x' else cast(amount as string) end as purchase_amount,
+       'Vendor ' || cast(vendor_id as string) as vendor_name, 'Customer ' || cast(agency_id as string) as customer_name, {_iso('payment_date')} as contract_start_date,
+       description as rfo_description
+from {{payment}}
+"""
+VIEWS["land_salary"] = """
+select id as _pos, case when id % 3 = 0 then '' else 'Ann' end as `FIRST NAME`, case when id % 3 = 0 then '' else concat('Lee ', cast(id % 400 as string)) end as `LAST NAME`,
+       concat('Worker ', cast(id % 300 as string)) as `Name`, concat('A', cast(agency_id % 5 as string)) as `AGENCY`, concat('Dept ', cast(agency_id % 5 as string)) as `AGENCY NAME`, job_title as `CLASS TITLE`,
+       concat('$', cast(annual_salary as string)) as `ANNUAL`, case when id % 2 = 0 then '2001-02-03T00:00:00' else '4/5/1999' end as `HIRE DATE`
+from {employee}
+"""
+VIEWS["land_permit"] = """
+select id as _pos, case when id % 41 = 0 then '' else taxpayer_normalized end as taxpayer_name, case when id % 10 = 3 then '' else cast(id % 997 as string) end as taxpayer_number,
+       concat('Shop ', cast(id as string)) as business_name, cast(null as string) as physical_address, concat(cast(id as string), ' Main') as address,
+       case when id % 2 = 0 then 'closed' end as permit_status, '1999-12-31T00:00:00' as first_sale_date
+from {tax_permit}
+"""
+VIEWS["land_gift"] = f"""
+select id as _pos, filer_name as `filerName`, case when id % 3 = 0 then contributor_name else '' end as `contributorNameOrganization`, 'Pat' as `contributorNameFirst`,
+       concat('Doe', cast(id % 50 as string)) as `contributorNameLast`, concat('$', cast(contribution_amount as string)) as `contributionAmount`,
+       case when id % 2 = 0 then replace({_iso('contribution_date')}, '-', '') else {_us('contribution_date')} end as `contributionDate`, '' as `contributorCity`
+from {{contribution}}
+"""
+VIEWS["land_exclusion"] = """
+select id as _pos, case when id % 29 = 0 then '' else concat('S4', cast(id % 80 as string)) end as `SAM Number`, case when id % 4 = 0 then '' else entity_name end as `Name`,
+       'Dr' as `Prefix`, 'Sam' as `First`, '' as `Middle`, case when id % 8 = 0 then 'Roe' else '' end as `Last`, address as `Address 1`, case when id % 2 = 0 then 'Suite 4' end as `Address 2`,
+       '01-JAN-1999' as `Active Date`, case when id % 3 = 0 then '07/30/2001' when id % 3 = 1 then '2001-07-31' else 'Indefinite' end as `Termination Date`, exclusion_type as `Exclusion Type`
+from {debarred}
+"""
+VIEWS["land_exclusion_json"] = """
+select id as _pos, concat('J', cast(id % 60 as string)) as `samNumber`,
+       named_struct('name', case when id % 4 = 0 then '' else entity_name end, 'firstName', 'Sam', 'lastName', 'Roe') as `exclusionIdentification`,
+       named_struct('exclusionType', exclusion_type) as `exclusionDetails`, named_struct('addressLine1', address, 'city', 'X') as `exclusionAddress`,
+       named_struct('activeDate', '1999-02-03', 'terminationDate', case when id % 3 = 0 then '2001-07-30' end) as `exclusionActions`
+from {debarred}
+"""
+VIEWS["land_bid"] = f"""
+select l_orderkey * 10 + l_linenumber as _pos, case when l_linenumber = 1 then '' else concat('CSJ', cast(l_partkey as string)) end as control_section_job_csj,
+       concat('CC', cast(l_partkey as string)) as controlling_project_id_ccsj, case when l_linenumber = 2 then 'Engineer''s Estimate' else v.name end as vendor_name,
+       concat('$', cast(cast(l_extendedprice as decimal(15,2)) as string)) as bid_total_amount, concat(cast(l_linenumber as string), '.0') as bid_rank_sequence_number,
+       {_iso('l_shipdate')} as project_actual_let_date, l_returnflag as county
+from {{lineitem}} join {{vendor}} v on v.id = l_suppkey
+"""
+VIEWS["land_construction"] = f"""
+select id as _pos, cast(id % 5000 as string) as contract_number, case when id % 4 = 0 then '' else cast(id % 3 as string) end as controlling_project_id_ccsj, description as contractor,
+       {_iso('start_date')} as date_work_begin, {_iso('end_date')} as date_work_accepted, case when id % 2 = 0 then cast(current_value as string) end as final_contract_amount,
+       cast(max_value as string) as original_contract_amount, source as county
+from {{contract}}
+"""
+VIEWS["land_book"] = """
+select p_partkey as _pos, cast(p_size as string) as `Class`, p_brand as `Item`, p_name as `Description` from {part}
+"""
+VIEWS["land_page"] = f"""
+select vendor_id as page_id, concat('<html><body><table><tr><td>x</td></tr></table><table class="wide dataTable">',
+  '<thead><tr><th> Contract # </th><th>Vendor Name</th><th>Start Date</th></tr></thead><tbody>', rows, '</tbody></table></body></html>') as html
+from (select vendor_id, array_join(array_sort(collect_list(concat('<tr><td><a href="/d/', cast(id as string), '"> ', contract_number, ' </a></td><td>Vendor <b>', cast(vendor_id as string),
+        '</b></td><td>', {_us('start_date')}, '</td><td>&lt;', source, '&gt;</td></tr><tr><td>short</td></tr>'))), '') as rows from {{contract}} group by vendor_id)
+"""
+
 _REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
@@ -201,5 +323,5 @@ def ctes(*names: str) -> str:
     parts = []
     for n in closure(names):
         text = _REF.sub(lambda m: m.group(1) if m.group(1) in BASE else m.group(1) + "_v", VIEWS[n])
-        parts.append(f"{n}_v as ({text.replace('{{', '{').replace('}}', '}').strip()})")
+        parts.append(f"{n}_v as ({text.replace('{{', '{').replace('}}', '}').replace('`', chr(34)).replace('named_struct(', 'NAMED(').strip()})")
     return ",\n".join(parts)

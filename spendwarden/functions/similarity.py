@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .addresses import normalize_address
@@ -73,11 +73,14 @@ def possible(a: Column, b: Column, cutoff: float) -> Column:
     return 200.0 * F.least(la, lb) >= cutoff * (la + lb)
 
 
-def addresses_match(a: Column, b: Column, threshold: float = 0.85) -> Column:
-    """Equal after cleaning, or similar streets whose ZIP codes do not differ."""
-    pa, pb = normalize_address(a), normalize_address(b)
+def match_addresses(df: DataFrame, a: str, b: str, out: str, threshold: float = 0.85) -> DataFrame:
+    """df with a flag: the addresses are equal after cleaning, or have similar streets and no differing ZIP codes."""
     both = F.coalesce((F.length(a) > 0) & (F.length(b) > 0), F.lit(False))
-    zips_differ = F.coalesce((pa["zip_code"] != pb["zip_code"]) & (pa["zip_code"] != "") & (pb["zip_code"] != ""), F.lit(False))
-    streets = F.coalesce((F.length(pa["street"]) > 0) & (F.length(pb["street"]) > 0), F.lit(False))
-    alike = F.coalesce(ratio(pa["street"], pb["street"]) / 100.0 >= threshold, F.lit(False))
-    return both & ((pa["normalized"] == pb["normalized"]) | (~zips_differ & streets & alike))
+    parsed = df.withColumn("_a", normalize_address(F.col(a))).withColumn("_b", normalize_address(F.col(b)))
+    known = F.coalesce((F.length("_a.zip_code") > 0) & (F.length("_b.zip_code") > 0), F.lit(False))
+    streets = F.coalesce((F.length("_a.street") > 0) & (F.length("_b.street") > 0), F.lit(False))
+    scored = parsed.withColumn("_score", ratio(F.col("_a.street"), F.col("_b.street")))
+    alike = streets & (F.coalesce("_score", F.lit(0.0)) >= threshold * 100)
+    same = F.col("_a.normalized") == F.col("_b.normalized")
+    differ = known & (F.col("_a.zip_code") != F.col("_b.zip_code"))
+    return scored.withColumn(out, both & (same | (~F.coalesce(differ, F.lit(False)) & alike))).drop("_a", "_b", "_score")

@@ -41,7 +41,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order, kee
             return F.col(f"o.{c}")
         o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
         if c in keep_always:
-            return F.when(F.col("o._old"), o).otherwise(n)
+            return F.coalesce(o, n)
         if c in keep_if_null:
             return F.when(F.col("n._new"), F.coalesce(n, o)).otherwise(o)
         return F.when(F.col("n._new"), n).otherwise(o)
