@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from spendwarden.operators import tables
 from spendwarden.plans import alerts, duplicates, employee_match, reports, requests, sync_log
 from spendwarden.plans import engine
 
@@ -206,3 +207,51 @@ def _run_all(t, p):
 
 register("d45_run_all", _ALL, _run_all)
 register("d46_run_rule", _ALL, lambda t, p: engine.run_rule("payment-anomalies", t, p).groupBy("alert_type", "severity").agg(F.count("*").alias("findings")))
+
+
+def _relations(t):
+    """Old and new relationship rows in either order of the pair."""
+    old = t["orders"].selectExpr("o_custkey as vendor_id_1", "o_orderkey % 97 as vendor_id_2", "'similar_name' as relationship_type",
+                                 "cast(o_totalprice / 1000000 as decimal(5,4)) as confidence_score", "o_orderpriority as evidence")
+    new = t["lineitem"].selectExpr("l_suppkey as vendor_id_1", "l_partkey % 97 as vendor_id_2", "'similar_name' as relationship_type",
+                                   "cast(l_discount * 5 as decimal(5,4)) as confidence_score", "l_returnflag as evidence")
+    return tables.ordered_pair(old, "vendor_id_1", "vendor_id_2"), tables.ordered_pair(new, "vendor_id_1", "vendor_id_2")
+
+
+_KEEP = ["vendor_id_1", "vendor_id_2", "relationship_type"]
+
+
+def _k03(t, p):
+    old, new = _relations(t)
+    return tables.keep_best(tables.keep_best(old.limit(0), old, _KEEP, "confidence_score"), new, _KEEP, "confidence_score")
+
+
+register("k03_relationship_upsert", "orders lineitem", _k03, """
+with o as (select least(o_custkey, o_orderkey % 97) as a, greatest(o_custkey, o_orderkey % 97) as b, cast(o_totalprice / 1000000 as decimal(5,4)) as c, o_orderpriority as e, 0 as n from orders),
+m as (select least(l_suppkey, l_partkey % 97) as a, greatest(l_suppkey, l_partkey % 97) as b, cast(l_discount * 5 as decimal(5,4)) as c, l_returnflag as e, 1 as n from lineitem)
+select a as vendor_id_1, b as vendor_id_2, 'similar_name' as relationship_type, max(c)::double as confidence_score, first(e order by c desc, n, e desc) as evidence
+from (select * from o union all select * from m) group by 1, 2""")
+
+
+def _k04(t, p):
+    rows = employee_match.entity_match_rows(employee_match.name_matches(t, p), employee_match.address_sides(t))
+    weaker = rows.withColumn("confidence_score", F.lit(0.5))
+    return tables.keep_best(weaker, rows, ["entity_type_1", "entity_id_1", "entity_type_2", "entity_id_2", "match_type"], "confidence_score").select(
+        "entity_id_1", "entity_id_2", "match_type", F.round("confidence_score", 6).alias("confidence_score"))
+
+
+register("k04_entity_match_upsert", "employee vendor payment", _k04, f"""with {_EMP}, {_SIDES}
+select employee_id as entity_id_1, vendor_id as entity_id_2, 'name' as match_type, round(score / 100, 6) as confidence_score from em union all
+select es.id, min(vs.id), 'address', 0.85 from es join vs on vs.address = es.address group by es.id""")
+register("k06_insert_absent", "contract", lambda t, p: tables.insert_absent(
+    t["contract"].where("source = 'F'").select("contract_number", "description"), t["contract"].selectExpr("concat('C-', cast(vendor_id as string)) as contract_number", "description", "id"),
+    ["contract_number"], F.col("id")).select("contract_number", "description"), """
+select contract_number, description from contract_v where source = 'F' union all
+select 'C-' || vendor_id, first(description order by id) from contract_v where 'C-' || vendor_id not in (select contract_number from contract_v where source = 'F') group by 1""")
+register("k06_upsert", "contract", lambda t, p: tables.upsert(
+    t["contract"].where("source = 'F'").select("contract_number", "description", "agency_id"),
+    t["contract"].selectExpr("concat('C-', cast(vendor_id as string)) as contract_number", "description", "agency_id", "id"), ["contract_number"], F.col("id"), keep_if_null=("agency_id",)), """
+with n as (select 'C-' || vendor_id as k, last(description order by id) as d, arg_max(struct_pack(x := agency_id), id).x as a from contract_v group by 1),
+o as (select * from contract_v where source = 'F')
+select coalesce(n.k, o.contract_number) as contract_number, case when n.k is null then o.description else n.d end as description,
+       case when n.k is null then o.agency_id else coalesce(n.a, o.agency_id) end as agency_id from n full join o on o.contract_number = n.k""")

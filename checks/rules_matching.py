@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from spendwarden.plans import clustering, crossref, duplicates, employee_match, network, related, screening
 
+from spendwarden.session import cut
+
 from .registry import P, register
 from .sqltext import best_cte, names_cte, norm_line, norm_name, norm_parts, pairs_cte, ratio_sql
 
@@ -49,11 +51,11 @@ links as materialized (select src, dst from one_way union select dst, src from o
 
 
 def _pairs(t):
-    return clustering.pair_relationships(t, P)
+    return cut(clustering.pair_relationships(t, P))
 
 
 def _members(t):
-    return clustering.address_members(t)
+    return cut(clustering.address_members(t))
 
 
 register("d06_related_vendor_duplicates", "vendor payment", lambda t, p: duplicates.related_vendor_duplicates(t, p.but(duplicate_payment_window_days=60), _members(t)),

@@ -15,10 +15,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     is the input of the next round, so a chain shrinks as fast as a star. Only minima per node are aggregated,
     partially before the shuffle, so a hub with very many edges costs no more per edge than any other node.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    label = cut(nodes.select("node", F.col("node").alias("rep")))
-    live = cut(pairs.where("a <> b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    pairs = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"))
+    label = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("rep"))
+    apart = pairs.where("a <> b")
+    live = cut(apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     turn = 0
     while not live.isEmpty():
         turn += 1
@@ -27,10 +27,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
 
         near = live.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        parent = cut(near.select(F.col("a").alias("node"), F.least("m", rank("a"))["id"].alias("up")))
-        moved = parent.select(F.col("node").alias("rep"), "up")
-        label = cut(label.join(moved, "rep", "left").select("node", F.coalesce("up", "rep").alias("rep")))
+        parent = cut(near.select(F.col("a").alias("rep"), F.least("m", rank("a"))["id"].alias("up")))
+        label = label.join(parent, "rep", "left").select("node", F.coalesce("up", "rep").alias("rep"))
         pa, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
         live = cut(live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        if turn % 8 == 0:
+            label = cut(label)
+    label = cut(label)
     least = label.groupBy("rep").agg(F.min("node").alias("component"))
     return label.join(least, "rep").select("node", "component")

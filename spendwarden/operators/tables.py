@@ -47,3 +47,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order, kee
         return F.when(F.col("n._new"), n).otherwise(o)
 
     return both.select(*[value(c).alias(c) for c in existing.columns])
+
+
+def ordered_pair(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The same rows with the smaller id in column a."""
+    return df.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
+
+
+def keep_best(existing: DataFrame, incoming: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """One row per key, the one with the highest score; on equal scores the existing one. Running twice changes nothing."""
+    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.select(*existing.columns).withColumn("_new", F.lit(1)))
+    row = F.struct(*[F.col(c) for c in existing.columns])
+    rest = [F.col(c) for c in existing.columns if c not in (*keys, score)]
+    return both.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(score), -F.col("_new"), *rest)).alias("_row")).select("_row.*")

@@ -14,6 +14,7 @@ from ..functions.scalars import severity
 from ..functions.similarity import possible, ratio
 from ..operators.fuzzy_join import best_matches, fuzzy_pairs
 from ..params import Params
+from ..session import cut
 
 
 def _key_name():
@@ -30,10 +31,10 @@ def address_members(t: dict) -> DataFrame:
     Two vendors of nearly one name are taken for one vendor and left out.
     """
     norm = normalize_address(F.col("address"), F.col("city"), F.col("state"), F.col("zip_code"))["normalized"]
-    at = (
+    at = cut(
         t["vendor"].where(F.length("address") > 0)
-        .select(norm.alias("address"), F.col("id").alias("vendor_id"), _key_name().alias("name")).where("address <> ''")
-    )
+        .select(norm.alias("address"), F.col("id").alias("vendor_id"), _key_name().alias("name"))
+    ).where("address <> ''")
     who = F.struct("vendor_id", "name")
     groups = at.groupBy("address").agg(F.count("*").alias("vendors"), F.min(who).alias("a"), F.max(who).alias("b")).where("vendors > 1")
     twins = (

@@ -9,6 +9,7 @@ from ..functions.addresses import normalize_address
 from ..functions.scalars import json_text, severity
 from ..operators.fuzzy_join import best_matches, fuzzy_pairs
 from ..params import Params
+from ..session import cut
 
 
 def _paid(t: dict) -> DataFrame:
@@ -44,7 +45,7 @@ def address_sides(t: dict) -> DataFrame:
     e = t["employee"].where(F.length(json_text(raw, "address")) > 0).select(home.alias("address"), F.lit("employee").alias("side"), "id")
     seat = normalize_address(F.col("address"), F.col("city"), F.col("state"), F.col("zip_code"))["normalized"]
     v = t["vendor"].where(F.length("address") > 0).select(seat.alias("address"), F.lit("vendor").alias("side"), "id")
-    both = e.unionByName(v).where("address <> ''")
+    both = cut(e.unionByName(v)).where("address <> ''")
     shared = both.groupBy("address").agg(F.max(F.col("side") == "employee").alias("e"), F.max(F.col("side") == "vendor").alias("v")).where("e and v")
     return both.join(shared.select("address"), "address", "left_semi")
 

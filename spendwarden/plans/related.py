@@ -9,6 +9,7 @@ from ..functions.scalars import severity
 from ..operators.components import connected_components
 from ..operators.fuzzy_join import best_matches, fuzzy_pairs
 from ..params import Params
+from ..session import cut
 from .network import vendor_links
 
 _D = "decimal(38,2)"
@@ -62,7 +63,7 @@ def contributor_triangles(t: dict, p: Params, name_matches: DataFrame, address_m
     name_matches: (employee_id, vendor_id). address_matches: (address, side, id) with side employee or vendor; of the
     vendors at an address the one paid most is named, so no pairs within an address are built.
     """
-    rich = contributing_vendors(t, p)
+    rich = cut(contributing_vendors(t, p))
     by_name = name_matches.select("employee_id", "vendor_id", F.lit("name").alias("match_type"))
     best = (
         address_matches.where("side = 'vendor'").select("address", F.col("id").alias("vendor_id")).join(rich, "vendor_id")
