@@ -24,10 +24,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         turn += 1
 
         def rank(c: str):
-            return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))
+            return F.xxhash64(F.lit(turn), F.col(c))
 
-        near = live.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        parent = cut(near.select(F.col("a").alias("rep"), F.least("m", rank("a"))["id"].alias("up")))
+        near = live.groupBy("a").agg(F.min(rank("b")).alias("h"), F.min_by("b", rank("b")).alias("m"))
+        parent = cut(near.select(F.col("a").alias("rep"), F.when(F.col("h") < rank("a"), F.col("m")).otherwise(F.col("a")).alias("up")))
         label = label.join(parent, "rep", "left").select("node", F.coalesce("up", "rep").alias("rep"))
         pa, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
         live = cut(live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())

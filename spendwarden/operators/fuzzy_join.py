@@ -11,8 +11,9 @@ ceil(t*(p+q)/2) long. From that follow, without losing a match:
 * bit signatures: bigrams and letters hashed into bits. Each differing bit needs a differing element, so
   too many differing bits rule a pair out before its text is compared.
 
-Spark groups names by key. A key held by many names is spread over a grid of cells, so that no task sees a whole
-hot key; within a cell signatures are compared as arrays and only surviving pairs leave. They are made
+Spark groups names by key. A key held by very many names is first combined with the wider keys of the same names
+(matching names share one of those too), and what is still crowded is spread over a grid of cells, so that no task
+sees a whole hot key. Within a cell signatures are compared as arrays and only surviving pairs leave. They are made
 distinct and scored on their whole texts.
 """
 
@@ -33,6 +34,8 @@ from ..session import cut
 
 BUCKETS = 1 << 14  # bound of the frequency table kept on the driver
 CELL_ROWS = 4096  # names of one key that one cell may hold
+CROWD_CELLS = 64  # a key needing more cells than this is refined first
+WIDEST = 3  # bigrams in the refining keys
 SAMPLE_NAMES = 20000  # names looked at to choose the key width
 PAIR_COST, KEY_COST = 3e-8, 5e-6  # seconds per compared pair and per key row
 STEP_ROWS, STEP_PAIRS = 1 << 16, 1 << 20
@@ -254,7 +257,7 @@ def _distinct_names(df: DataFrame, column: str) -> DataFrame:
 
 
 def fuzzy_pairs(left: DataFrame, left_name: str, right: DataFrame, right_name: str, cutoff: float,
-                grams: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+                grams: int | None = None, cell_rows: int = CELL_ROWS, crowd_cells: int = CROWD_CELLS) -> DataFrame:
     """All (left_name, right_name, score) of distinct names with score >= cutoff (percent). No pair is lost."""
     same = left is right and left_name == right_name
     lnames = cut(_distinct_names(left, left_name))
@@ -273,6 +276,20 @@ def fuzzy_pairs(left: DataFrame, left_name: str, right: DataFrame, right_name: s
     lk = cut(keyed(lnames)) if crowded else keyed(lnames)
     rk = lk if same else (cut(keyed(rnames)) if crowded else keyed(rnames))
 
+    if crowded and grams < WIDEST and total > cell_rows * crowd_cells:
+        limit = F.count("*") > cell_rows * crowd_cells
+        both_keys = lk.select("key") if same else lk.select("key").unionByName(rk.select("key"))
+        packed = cut(both_keys.groupBy("key").agg(limit.alias("much")).where("much").select("key"))
+        if not packed.isEmpty():
+            wide = _keys_only(_Plan(cutoff, WIDEST), rarity)
+
+            def refined(k: DataFrame) -> DataFrame:
+                inside = k.join(packed, "key", "left_semi").withColumn("wide", F.explode(wide("name")))
+                return cut(k.join(packed, "key", "left_anti").unionByName(inside.withColumn("key", F.xxhash64("key", "wide")).drop("wide")))
+
+            lk = refined(lk)
+            rk = lk if same else refined(rk)
+
     def cells(k: DataFrame, name: str) -> DataFrame:
         parts = F.ceil(F.count("*") / cell_rows).cast("int").alias(name)
         return k.groupBy("key").agg(parts).where(F.col(name) > 1)

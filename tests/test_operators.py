@@ -48,8 +48,12 @@ def test_two_sided_pairs_equal_brute_force(spark, cutoff, grams, cell_rows):
 def test_a_key_shared_by_most_names_is_spread_and_exact(spark):
     names = [f"ACME WORKS {i:04d} INC" for i in range(300)] + ["ZEBRA HALL", "ZEBRA HALLS"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = {(r[0], r[1]) for r in fuzzy_pairs(df, "n", df, "n", 90, 1, 16).collect()}
-    assert got == set(brute(names, names, 90))
+    want = set(brute(names, names, 90))
+    for crowd_cells in (1, 4, 64):
+        assert {(r[0], r[1]) for r in fuzzy_pairs(df, "n", df, "n", 90, 1, 16, crowd_cells).collect()} == want
+    other = spark.createDataFrame([(n,) for n in names[::7]], "m string")
+    got = {(r[0], r[1]) for r in fuzzy_pairs(df, "n", other, "m", 85, 1, 8, 2).collect()}
+    assert got == set(brute(names, names[::7], 85))
 
 
 def test_join_kinds_and_top_k(spark):
