@@ -17,6 +17,7 @@ from .views import tables
 P = Params(as_of=dt.date(2001, 7, 31))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # the SQL without its view CTEs, for queries made of others
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -47,6 +48,7 @@ def register(key: str, views: str, fn: Callable, sql: str | None = None, sql_vie
         raise ValueError(key)
     QUERIES[key] = run
     if sql:
+        BODIES[key] = sql
         wanted = names if sql_views is None else tuple(sql_views.split())
         from .views import BASE
         ORACLE[key] = statement(tuple(n for n in wanted if n not in BASE), sql)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -10,9 +11,10 @@ from spendwarden.operators import tables
 from spendwarden.plans import alerts, duplicates, employee_match, reports, requests, sync_log
 from spendwarden.plans import engine
 
-from .registry import P, register
-from .rules_matching import _EMP, _SIDES
-from .rules_relational import fy
+from .registry import BODIES, P, register
+from .rules_matching import _EMP, _SIDES, EDGES, MEMBERS, PAIRS
+from .rules_relational import _split_sql, fy
+from .sqltext import names_cte
 
 D = P.as_of
 _PD = "(select vendor_id, sum(amount) as total, count(*) as payments from payment_v where vendor_id is not null group by 1)"
@@ -205,8 +207,45 @@ def _run_all(t, p):
     return found.groupBy("alert_type", "severity").agg(F.count("*").alias("findings"))
 
 
-register("d45_run_all", _ALL, _run_all)
-register("d46_run_rule", _ALL, lambda t, p: engine.run_rule("payment-anomalies", t, p).groupBy("alert_type", "severity").agg(F.count("*").alias("findings")))
+def _with_defaults() -> dict[str, str]:
+    """Rule SQL with the default thresholds in place of those the single queries use."""
+    since = "2000-08-05"
+    out = {"d01": _split_sql(45000, 50000, since, "'high'"),
+           "d02": _split_sql(22000, 25000, since, "case when g.cv < 0.1 and g.n >= 5 then 'high' else 'medium' end")}
+    changes = {
+        "d04_exact_duplicates": (), "d05_near_duplicates": (), "d06_related_vendor_duplicates": (("<= 60", "<= 30"),), "d07_address_clusters": (),
+        "d08_similar_name_alerts": (), "d09_sequential_alerts": (), "d11_round_numbers": (("n >= 4", "n >= 5"), ("0.08", "0.25")), "d12_large_first_payments": (),
+        "d13_over_contract": (), "d14_unlisted_vendors": (), "d15_august_spikes": (("0.09", "0.20"),), "d16_high_confidentiality": (("0.10", "0.20"),),
+        "d17_confidentiality_spikes": (("rn >= 5 and hn >= 10 and r > h + 0.01", "rn >= 50 and hn >= 100 and r > h + 0.10"),),
+        "d18_vendor_confidentiality": (("r >= 0.20", "r >= 0.50"),), "d21_hub_vendors": (("m + 2 * sd", "m + 3 * sd"), ("d > m + sd", "d > m + 2 * sd")),
+        "d22_vendor_clusters": (), "d23_exclusive": (("0.002", "0.80"),), "d25_raw_address_clusters": (), "d27_pay_to_play": (), "d28_unregistered_vendors": (),
+        "d30_employee_vendor_names": (), "d31_employee_vendor_addresses": (), "d32_ghost_vendors": (), "d33_incomplete_addresses": (), "d34_suspicious_addresses": (),
+        "d35_fiscal_year_rush": (), "d36_vendor_year_end": (), "d37_year_end_clusters": (), "d38_related_party_networks": (), "d39_triangles": (),
+        "d40_circular_patterns": (), "d41_debarred_vendors": (),
+    }
+    for key, pairs in changes.items():
+        body = BODIES[key]
+        for old, new in pairs:
+            if old not in body:
+                raise ValueError((key, old))
+            body = body.replace(old, new)
+        for block in (MEMBERS, PAIRS, EDGES, names_cte("nm", "vendor_v", "name_normalized")):  # stated once, in front
+            body = body.replace(block, "")
+        body = re.sub(r"^\s*with[\s,]*(?=select)", "", body)
+        body = re.sub(r"^\s*with[\s,]+", "with recursive ", body)
+        out[key] = body
+    return out
+
+
+def _counts(parts: list[str]) -> str:
+    rows = " union all ".join(f"(select alert_type, severity from ({b.strip()}) as r{i})" for i, b in enumerate(parts))
+    return f"select alert_type, severity, count(*) as findings from ({rows}) group by 1, 2"
+
+
+_RULE_SQL = _with_defaults()
+register("d45_run_all", _ALL, _run_all, f"with {MEMBERS}, {PAIRS}, {EDGES} " + _counts(list(_RULE_SQL.values())))
+register("d46_run_rule", _ALL, lambda t, p: engine.run_rule("payment-anomalies", t, p).groupBy("alert_type", "severity").agg(F.count("*").alias("findings")),
+         _counts([b for k, b in _RULE_SQL.items() if k[:3] in ("d11", "d12", "d13", "d14", "d15")]))
 
 
 def _relations(t):
