@@ -11,7 +11,7 @@ from ..session import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): component is the least node id of its connected part.
 
-    Each round every node merges into the neighbour that comes first in a fresh hashed order, and the merged graph
+    Each round every node follows, twice, the neighbour that comes first in a fresh hashed order, and the merged graph
     is the input of the next round, so a chain shrinks as fast as a star. Only minima per node are aggregated,
     partially before the shuffle, so a hub with very many edges costs no more per edge than any other node.
     """
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return F.xxhash64(F.lit(turn), F.col(c))
 
         near = live.groupBy("a").agg(F.min(rank("b")).alias("h"), F.min_by("b", rank("b")).alias("m"))
-        parent = cut(near.select(F.col("a").alias("rep"), F.when(F.col("h") < rank("a"), F.col("m")).otherwise(F.col("a")).alias("up")))
+        step = near.select(F.col("a").alias("rep"), F.when(F.col("h") < rank("a"), F.col("m")).otherwise(F.col("a")).alias("up"))
+        ahead = step.select(F.col("rep").alias("up"), F.col("up").alias("far"))
+        parent = cut(step.join(ahead, "up").select("rep", F.col("far").alias("up")))  # two steps at once
         label = label.join(parent, "rep", "left").select("node", F.coalesce("up", "rep").alias("rep"))
         pa, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
         live = cut(live.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
