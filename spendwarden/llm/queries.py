@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_tests, source_mix
+from . import bpe_backtrack, secret_tests, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,8 @@ select doc_id, size, source_size, target, size * (floor(rate)::bigint + case whe
 @query
 def op5_secret_tests(spark, sf_dir):
     return secret_tests.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_bpe_backtrack(spark, sf_dir):
+    return bpe_backtrack.round_trip(table(spark, sf_dir, "documents"))
