@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_backtrack, secret_tests, source_mix
+from . import bpe_backtrack, lang_crf, secret_tests, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op5_secret_tests(spark, sf_dir):
 @query
 def op8_bpe_backtrack(spark, sf_dir):
     return bpe_backtrack.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lang_crf(spark, sf_dir):
+    return lang_crf.language_report(table(spark, sf_dir, "documents"))
