@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_backtrack, lang_crf, secret_tests, source_mix
+from . import bpe_backtrack, lang_crf, quality_knn, secret_tests, source_mix, voronoi_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,23 @@ def op8_bpe_backtrack(spark, sf_dir):
 @query
 def op9_lang_crf(spark, sf_dir):
     return lang_crf.language_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_knn(spark, sf_dir):
+    return quality_knn.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_voronoi_knn(spark, sf_dir):
+    return voronoi_knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op10_voronoi_knn"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+           where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
