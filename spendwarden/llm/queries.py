@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_backtrack, lang_crf, quality_knn, secret_tests, source_mix, voronoi_knn
+from . import bpe_backtrack, dart_minhash, lang_crf, quality_knn, secret_tests, source_mix, voronoi_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,8 @@ p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigin
 r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from p)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
+
+
+@query
+def op7_dart_minhash(spark, sf_dir):
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
