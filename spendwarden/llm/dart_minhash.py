@@ -25,6 +25,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, WIDE = 24, 5  # a pair of similarity 0.8 shares a band with probability 1 - 7e-5
 COORDS = BANDS * WIDE
+CENTRES = 16
 DARTS = COORDS * (math.log(COORDS) + 2)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,8 +124,8 @@ def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs(a, b) whose texts have at least that similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "compared")
-    rows = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi"), "compared")
+    rows = pairs.hint("merge").join(texts.toDF("a", "ta"), "a").hint("merge").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,47 +135,57 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return written(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
-def _labelled(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """reps with comp, the least id that links lead to."""
-    parts = connected_components(links, "a", "b")
-    return written(reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "classes")
+def _centred(rows: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows(key, rep, n, comp) those of buckets that hold different classes, and the centres of these buckets.
+
+    Centres are the members that meet the most others in all their buckets. In a group of edited copies that is the text
+    they were made from, to which all are most similar.
+    """
+    open_ = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m")
+    sized = rows.join(open_, "key")
+    ranked = written(sized.drop("m").join(sized.groupBy("rep").agg(F.sum("m").alias("met")), "rep"), "buckets")
+    if centres == 1:
+        best = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"), "n", "comp")).alias("c"))
+        best = best.select("key", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.comp").alias("centre_comp"))
+    else:
+        place = F.expr("row_number() over (partition by key order by met desc, rep)")
+        best = ranked.withColumn("place", place).where(F.col("place") <= centres).select("key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("comp").alias("centre_comp"))
+    return ranked.drop("met"), best
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id of every row: the least doc_id among the documents that links of at least that similarity lead to.
 
-    Texts with the same shingles are one class at once. In each band's bucket all members are compared with the first one,
-    which costs no pairs within the bucket. Where members of a bucket are still in different classes, buckets are refined
-    by a second shared band, and there the members of different classes are compared with one another; nothing is cut off.
-    Every link is verified on the whole texts. Texts without words are classes of their own, rows without id have a null
-    class, rows of one id count as one document, an empty table gives an empty one, other columns don't matter.
+    Texts with the same shingles are one class at once. In each band's bucket every member is compared with the most
+    central one, which costs no pairs within the bucket. In buckets that still hold different classes, members are
+    compared with the CENTRES most central ones of other classes, then with the next ones, until a round finds no more links. Every link is verified on the
+    whole texts. Texts without words are classes of their own, rows without id have a null class, rows of one id count
+    as one document, an empty table gives an empty one, other columns don't matter.
     """
     signed = written(_signed(docs), "signed")
     reps = written(signed.where("n > 0 and doc_id is not null").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "representatives")
-    keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
-    first = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("an"))
-    near_size = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)  # noqa: E731  else they can't be so similar
-    stars = keyed.join(first, "key").where((F.col("rep") != F.col("a")) & near_size(F.col("n"), F.col("an")))
-    pairs = written(stars.select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, docs, least)
-    named = _labelled(reps, links)
-
-    split = lambda rows: rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    keyed = named.select("rep", "n", "comp", F.explode("bands").alias("key"))
-    open_ = keyed.join(split(keyed), "key", "left_semi").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # BANDS at most
-    two = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(BANDS)), lambda y: F.xxhash64(x, y))))
-    finer = written(open_.select("rep", "n", "comp", F.explode(two).alias("key")), "refined")
-    finer = written(finer.join(split(finer), "key", "left_semi"), "refined-open")
-    left, right = finer.toDF("key", "a", "an", "ac"), finer.toDF("key", "b", "bn", "bc")
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & near_size(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        named = _labelled(reps, links.union(_verified(more, docs, least)))
-    found = named.select("ka", "kb", "n", F.col("comp").alias("class_id"))
+    rows = reps.select("rep", "n", F.col("rep").alias("comp"), F.explode("bands").alias("key")).distinct()
+    links = comps = None
+    while True:
+        rows, centres = _centred(rows, 1 if links is None else CENTRES)
+        similar_size = F.least("n", "centre_n") >= F.lit(least) * F.greatest("n", "centre_n")  # else they can't be so similar
+        pairs = rows.join(centres, "key").where((F.col("comp") != F.col("centre_comp")) & similar_size)
+        new = _verified(pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), docs, least)
+        if new.isEmpty():
+            break
+        done = centres.select("key", F.col("centre").alias("rep"))
+        others = rows if links is None else rows.join(done, ["key", "rep"], "left_anti")
+        links = new if links is None else links.union(new)
+        comps = connected_components(links, "a", "b")
+        rows = others.drop("comp").join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("rep", "n", "comp", "key")
+    if comps is None:
+        found = reps.select("ka", "kb", "n", F.col("rep").alias("class_id"))
+    else:
+        found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", "n", F.coalesce("component", "rep").alias("class_id"))
     return signed.join(found, ["ka", "kb", "n"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def first_of_class(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The rows of docs, with all columns, whose id is their class's; rows without id stay."""
     others = classes(docs, least).where("doc_id <> class_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs["doc_id"].cast("long") == F.col("_other"), "left_anti")
+    return docs.join(others.hint("merge"), docs["doc_id"].cast("long") == F.col("_other"), "left_anti")
