@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_backtrack, dart_minhash, lang_crf, quality_knn, secret_tests, source_mix, voronoi_knn
+from . import arc_to_warc, bpe_backtrack, dart_minhash, html_blocks, lang_crf, quality_knn, rare_digest, secret_tests, source_mix, voronoi_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,29 @@ select query_id, rank, vec_id, score from r where rank <= 5
 @query
 def op7_dart_minhash(spark, sf_dir):
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_blocks(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_rare_digest(spark, sf_dir):
+    return rare_digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_arc_to_warc(spark, sf_dir):
+    return arc_to_warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op1_arc_to_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to
+from h
+"""
