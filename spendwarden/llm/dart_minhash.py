@@ -25,7 +25,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, WIDE = 24, 5  # a pair of similarity 0.8 shares a band with probability 1 - 7e-5
 COORDS = BANDS * WIDE
-CENTRES = 16
+CENTRES = 4  # members of a bucket that all others are compared with in a round
+HOPS = 3
 DARTS = COORDS * (math.log(COORDS) + 2)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,6 +154,16 @@ def _centred(rows: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
     return ranked.drop("met"), best
 
 
+def _grouped(links: DataFrame) -> DataFrame:
+    """(node, component): the least id within HOPS links of a node. Enough to tell most classes apart between rounds."""
+    both = links.union(links.select("b", "a")).distinct()
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    for _ in range(HOPS - 1):
+        least = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
+        label = label.join(least, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"))
+    return written(label, "groups")
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id of every row: the least doc_id among the documents that links of at least that similarity lead to.
 
@@ -176,11 +187,12 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         done = centres.select("key", F.col("centre").alias("rep"))
         others = rows if links is None else rows.join(done, ["key", "rep"], "left_anti")
         links = new if links is None else links.union(new)
-        comps = connected_components(links, "a", "b")
+        comps = _grouped(links)
         rows = others.drop("comp").join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("rep", "n", "comp", "key")
     if comps is None:
         found = reps.select("ka", "kb", "n", F.col("rep").alias("class_id"))
     else:
+        comps = connected_components(links.distinct(), "a", "b")
         found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", "n", F.coalesce("component", "rep").alias("class_id"))
     return signed.join(found, ["ka", "kb", "n"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
