@@ -70,7 +70,9 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield name, zlib.decompress(content.as_py(), 31)
+            data = zlib.decompress(content.as_py(), 31)
+            if data:  # an empty table leaves an empty file
+                yield name, data
 
 
 def write_arc(pages: DataFrame) -> str:

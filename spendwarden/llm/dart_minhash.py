@@ -26,7 +26,7 @@ SIMILAR = 0.8
 BANDS, WIDE = 24, 5  # a pair of similarity 0.8 shares a band with probability 1 - 7e-5
 COORDS = BANDS * WIDE
 CENTRES = 4  # members of a bucket that all others are compared with in a round
-HOPS = 3
+HOPS = 2  # enough for links from one centre
 DARTS = COORDS * (math.log(COORDS) + 2)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,10 +122,8 @@ def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(na + nb - both, 1)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs(a, b) whose texts have at least that similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi"), "compared")
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs(a, b) whose texts(doc_id, text) have at least that similarity."""
     rows = pairs.hint("merge").join(texts.toDF("a", "ta"), "a").hint("merge").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +174,15 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     signed = written(_signed(docs), "signed")
     reps = written(signed.where("n > 0 and doc_id is not null").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "representatives")
     rows = reps.select("rep", "n", F.col("rep").alias("comp"), F.explode("bands").alias("key")).distinct()
-    links = comps = None
+    texts = links = comps = None
     while True:
         rows, centres = _centred(rows, 1 if links is None else CENTRES)
+        if texts is None:  # later rounds need no others
+            met = rows.select(F.col("rep").alias("doc_id")).distinct()
+            texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.hint("merge"), "doc_id", "left_semi"), "compared")
         similar_size = F.least("n", "centre_n") >= F.lit(least) * F.greatest("n", "centre_n")  # else they can't be so similar
         pairs = rows.join(centres, "key").where((F.col("comp") != F.col("centre_comp")) & similar_size)
-        new = _verified(pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), docs, least)
+        new = _verified(pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), texts, least)
         if new.isEmpty():
             break
         done = centres.select("key", F.col("centre").alias("rep"))
