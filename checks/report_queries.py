@@ -193,7 +193,7 @@ register("k08_current_alerts", "alert lineitem", lambda t, p: alerts.current_ale
 with ev as (select l_orderkey as alert_id, case l_returnflag when 'A' then 'acknowledged' when 'R' then 'resolved' else 'false_positive' end as status,
   l_linestatus = 'F' as noted, l_shipdate as ts from lineitem)
 select a.id, coalesce((select first(e.status order by e.ts desc, e.status desc) from ev e where e.alert_id = a.id), a.status) as status,
-  (select count(*) from ev e where e.alert_id = a.id and e.noted) as notes, (select max(ts) from ev e where e.alert_id = a.id and e.status = 'acknowledged') as acknowledged_at,
+  (select string_agg('seen', chr(10)) from ev e where e.alert_id = a.id and e.noted) as notes, (select max(ts) from ev e where e.alert_id = a.id and e.status = 'acknowledged') as acknowledged_at,
   (select max(ts) from ev e where e.alert_id = a.id and e.status <> 'acknowledged') as resolved_at from alert_v a""")
 
 _ALL = "vendor payment contract agency employee contribution tax_permit debarred alert entity_match"

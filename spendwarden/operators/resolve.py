@@ -80,14 +80,18 @@ def resolve_agencies(rows: DataFrame, agencies: DataFrame, by_code: bool = True)
 
 
 def coded_agencies(rows: DataFrame, agencies: DataFrame, prefix: str = "FED_", separator: str = "_") -> DataFrame:
-    """New agencies with codes made unique by numbering: base, base2, base3 and so on after those in use."""
+    """New agencies with codes made unique by numbering: base, base2, base3 and so on, whichever are free."""
     fresh = rows.select(F.nullif(F.col("agency_name"), F.lit("")).alias("name")).where(F.col("name").isNotNull()).distinct().join(
         agencies.select("name"), "name", "left_anti")
     fresh = fresh.withColumn("base", F.concat(F.lit(prefix), initials_code(F.col("name"))))
-    bare = F.regexp_replace("agency_code", rf"{separator}\d+$", "")
-    used = agencies.groupBy(bare.alias("base")).agg(F.count("*").alias("used"))
+    # a code stands for itself and, with a number at its end, for a numbered one of the code before it
+    end = F.regexp_extract("agency_code", rf"{separator}(\d+)$", 1)
+    numbers = agencies.select(F.col("agency_code").alias("base"), F.lit(1).alias("n")).unionByName(
+        agencies.withColumn("_end", end).select(F.regexp_replace("agency_code", rf"{separator}\d+$", "").alias("base"), F.col("_end").try_cast("int").alias("n")).where("n >= 2"))
+    used = numbers.groupBy("base").agg(F.sort_array(F.collect_set("n")).alias("used"))
     w = Window.partitionBy("base").orderBy("name")
-    n = F.row_number().over(w) + F.coalesce("used", F.lit(0))
-    numbered = fresh.join(used, "base", "left").withColumn("n", n)
+    place = F.row_number().over(w)
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("place"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    numbered = fresh.join(used, "base", "left").withColumn("place", place).withColumn("n", free)
     code = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit(separator), F.col("n").cast("string")))
     return numbered.select(surrogate_id(F.lit("agency"), F.col("name")).alias("id"), code.alias("agency_code"), "name", F.lit("federal").alias("category"))

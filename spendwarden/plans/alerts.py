@@ -73,16 +73,19 @@ def append_alerts(rows: DataFrame, path: str) -> None:
 def current_alerts(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Alerts with their latest status and the time of each change.
 
-    events: (alert_id, status, note, at), append only.
+    events: (alert_id, status, note, at), append only. Notes are added in order of time, a line each, to those the alert has.
     """
     def last(status: str):
         return F.max(F.when(F.col("status") == status, F.col("at")))
 
     state = events.groupBy("alert_id").agg(
         F.max_by("status", F.struct("at", "status")).alias("_status"), last("acknowledged").alias("acknowledged_at"),
-        F.max(F.when(F.col("status").isin(*CLOSED), F.col("at"))).alias("resolved_at"), F.count("note").alias("notes"))
+        F.max(F.when(F.col("status").isin(*CLOSED), F.col("at"))).alias("resolved_at"), F.sort_array(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("at", "note")))).alias("_notes"))
+    old = F.col("notes").cast("string") if "notes" in alerts.columns else F.lit(None).cast("string")
+    new = F.transform("_notes", lambda x: x["note"])
+    text = F.concat_ws("\n", F.array_compact(F.concat(F.array(old), F.coalesce(new, F.array().cast("array<string>")))))
     out = alerts.join(state, alerts["id"] == state["alert_id"], "left")
-    return out.withColumn("status", F.coalesce("_status", "status")).withColumn("notes", F.coalesce("notes", F.lit(0))).drop("_status", "alert_id")
+    return out.withColumn("notes", F.nullif(text, F.lit(""))).withColumn("status", F.coalesce("_status", "status")).drop("_status", "_notes", "alert_id")
 
 
 def status_event(alert_id: int, status: str, note: str | None, at, spark) -> DataFrame:

@@ -33,8 +33,9 @@ def raw_address_clusters(t: dict, p: Params, open_alerts: DataFrame | None = Non
     )
     if open_alerts is not None:
         known = open_alerts.where(F.col("alert_type") == "address_cluster").select(
-            F.left(F.get_json_object("evidence", "$.address"), F.lit(50)).alias("_head")).distinct()
-        per = per.join(known, F.left("address", F.lit(50)) == F.col("_head"), "left_anti")
+            *[F.get_json_object("evidence", f"$.{c}").alias(f"_{c}") for c in ("address", "city", "state")]).distinct()
+        same = (F.col("address") == F.col("_address")) & (F.coalesce("_city", "city") == F.col("city")) & F.coalesce("_state", "state").eqNullSafe(F.col("state"))
+        per = per.join(known, same, "left_anti")
     both = F.col("total_payments") + F.col("total_contracts")
     return per.select(
         F.lit("address_cluster").alias("alert_type"), severity("low", ("medium", both > 100000), ("high", both > 1000000)).alias("severity"),

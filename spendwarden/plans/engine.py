@@ -74,8 +74,6 @@ def rules(s: Shared) -> dict[str, Callable[[], list[DataFrame]]]:
     t, p = s.t, s.p
 
     def network_rules() -> list[DataFrame]:
-        if t["vendor"].select("id").unionByName(t["agency"].select("id")).limit(10).count() < 10:
-            return []
         return [network.hub_vendors(t, p, s.edges), network.vendor_clusters(t, p, s.edges, s.pairs, s.members), network.exclusive_relationships(t, p, s.edges)]
 
     return {

@@ -102,8 +102,11 @@ def linked_pair_count(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def network_stats(t: dict, edges: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
     """One row: nodes, edges, mean degrees and number of connected parts, lone nodes included."""
     vendors, agencies = t["vendor"].select("id"), t["agency"].select("id")
-    links = vendor_links(pairs, members).select((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst")).unionByName(
-        edges.select((F.col("vendor_id") * 2).alias("src"), (F.col("agency_id") * 2 + 1).alias("dst")))
+    def node(kind: str, c: str):
+        return F.concat(F.lit(kind), F.col(c).cast("string"))
+
+    links = vendor_links(pairs, members).select(node("v", "src").alias("src"), node("v", "dst").alias("dst")).unionByName(
+        edges.select(node("v", "vendor_id").alias("src"), node("a", "agency_id").alias("dst")))
     parts = connected_components(links)
     one = [
         vendors.agg(F.count("*").alias("n")).select(F.lit("vendors").alias("k"), "n"),

@@ -28,9 +28,9 @@ def debarred_matches(t: dict, p: Params) -> DataFrame:
         .where(F.col("total_payments") >= p.debarment_min_payment)
     )
     vendors = t["vendor"].select(F.col("id").alias("vendor_id"), F.col("name_normalized").alias("vname"),
-                                 normalize_vendor_name(F.left("address", F.lit(100))).alias("vaddr")).join(paid, "vendor_id")
+                                 normalize_vendor_name(F.col("address")).alias("vaddr")).join(paid, "vendor_id")
     listed = _active(t).select(F.col("id").alias("x_id"), F.col("name_normalized").alias("xname"),
-                               normalize_vendor_name(F.left("address", F.lit(100))).alias("xaddr"))
+                               normalize_vendor_name(F.col("address")).alias("xaddr"))
     names = listed.where(F.length("xname") > 0).groupBy("xname").agg(F.count("*").alias("exclusions"), F.min("x_id").alias("exclusion_id"))
     exact = vendors.join(names, F.col("vname") == F.col("xname")).withColumn("score", F.lit(1.0)).withColumn("match_type", F.lit("exact_name"))
     rest = vendors.where(F.length("vname") > 0).join(names.select(F.col("xname").alias("vname")), "vname", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def map_payments(df: DataFrame) -> DataFrame:
 def map_payee_payments(df: DataFrame, dataset: str) -> DataFrame:
     """Payments by payee, columns drifting by dataset. Deduplicate after resolution with first_payments."""
     fy_text = F.left(filled(df, "fiscal_year", "fy"), F.lit(4)).try_cast("int")
-    from_name = next((y for y in range(2020, 2030) if str(y) in dataset), None)
+    from_name = next((int(y) for y in re.findall(r"(?<!\d)(?:19|20)\d\d(?!\d)", dataset)), None)
     date_text = filled(df, "payment_date", "date", "check_date")
     date = F.when(F.contains(date_text, F.lit("T")), F.try_to_date(F.substring_index(date_text, "T", 1), "yyyy-MM-dd")).otherwise(
         F.try_to_date(F.left(date_text, F.lit(10)), "yyyy-M-d"))

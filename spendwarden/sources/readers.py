@@ -12,7 +12,8 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", glob: str | None = None) -> DataFrame:
-    r = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False).option("quote", '"').option("escape", '"')
+    """Files of one header, quoted line ends included; a file with another header is an error, not silently misread."""
+    r = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("enforceSchema", False).option("quote", '"').option("escape", '"')
     if glob:
         r = r.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     return with_position(r.csv(path))
