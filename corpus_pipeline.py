@@ -9,7 +9,7 @@ from spendwarden.llm.store import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of which no language holds half of the words, go."""
+    """Documents without letters, and those of which no language holds three tenths of the words, go."""
     return lang_crf.known_only(docs, lang_crf.train(docs))
 
 

@@ -309,7 +309,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return _labelled(docs, model, ["doc_id"]).withColumnRenamed("k0", "doc_id")
 
 
-def known_only(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+def known_only(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known and holds at least that share of the words."""
     rows = _labelled(docs, model, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
