@@ -25,8 +25,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, WIDE = 24, 5  # a pair of similarity 0.8 shares a band with probability 1 - 7e-5
 COORDS = BANDS * WIDE
-CENTRES = 4  # members of a bucket that all others are compared with in a round
-HOPS = 2  # enough for links from one centre
+CENTRES = 8  # members of a bucket that all others are compared with in a round after the first
+HOPS = 2  # enough for links to one centre
 DARTS = COORDS * (math.log(COORDS) + 2)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,35 +131,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             for part in slices(batch, "ta"):
                 yield part.select(["a", "b"]).filter(pa.array(jaccard(part.column(2), part.column(3)) >= least))
 
-    return written(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    return written(rows.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _centred(rows: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows(key, rep, n, comp) those of buckets that hold different classes, and the centres of these buckets.
+def _members(reps: DataFrame) -> DataFrame:
+    """rep, n, keys (its buckets that hold others too), met (members of these, added up) of the texts that meet others."""
+    rows = reps.select("rep", "n", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    per = rows.join(sizes, "key").groupBy("rep", "n").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("met"))
+    return written(per, "members")
 
-    Centres are the members that meet the most others in all their buckets. In a group of edited copies that is the text
-    they were made from, to which all are most similar.
+
+def _centred(rows: DataFrame, centres: int) -> DataFrame:
+    """rows(key, rep, n, met, comp) of the buckets that hold different classes, with the centres of their bucket.
+
+    Centres are the members that meet the most others in all their buckets, one from each of so many hashed parts of
+    the bucket. In a group of edited copies that is the text they were made from, to which all are most similar.
+    """
+    who = F.struct("met", F.bitwise_not("rep").alias("back"), "n", "comp")  # of equal ones the least id
+    part = F.pmod(F.xxhash64("rep"), F.lit(centres))
+    names = [f"c{i}" for i in range(centres)]
+    best = [F.max(F.when(part == i, who)).alias(c) for i, c in enumerate(names)]
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *best).where("lo < hi")
+    return written(rows.join(open_.select("key", F.array_compact(F.array(*names)).alias("centres")), "key"), "buckets")
+
+
+def _to_compare(rows: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of members and centres of another class whose sizes let them be so similar."""
+    n = F.col("n")
+    other = F.filter("centres", lambda c: (c["comp"] != F.col("comp")) & (F.least(n, c["n"]) >= F.lit(least) * F.greatest(n, c["n"])))
+    pairs = rows.select("rep", F.explode(other).alias("c")).select("rep", F.bitwise_not("c.back").alias("centre"))
+    return pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps(node, component) after links have tied some components together.
+
+    First everything takes the least id within HOPS links, which is nearly all where links lead to a few centres; what
+    links still tie together then becomes one.
     """
-    open_ = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m")
-    sized = rows.join(open_, "key")
-    ranked = written(sized.drop("m").join(sized.groupBy("rep").agg(F.sum("m").alias("met")), "rep"), "buckets")
-    if centres == 1:
-        best = ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("back"), "n", "comp")).alias("c"))
-        best = best.select("key", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.comp").alias("centre_comp"))
-    else:
-        place = F.expr("row_number() over (partition by key order by met desc, rep)")
-        best = ranked.withColumn("place", place).where(F.col("place") <= centres).select("key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("comp").alias("centre_comp"))
-    return ranked.drop("met"), best
-
-
-def _grouped(links: DataFrame) -> DataFrame:
-    """(node, component): the least id within HOPS links of a node. Enough to tell most classes apart between rounds."""
-    both = links.union(links.select("b", "a")).distinct()
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    ends = links.join(comps.toDF("a", "src"), "a").join(comps.toDF("b", "dst"), "b").where("src <> dst").select("src", "dst")
+    both = written(ends.union(ends.select("dst", "src")).distinct().toDF("a", "b"), "ends")
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
     for _ in range(HOPS - 1):
-        least = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        label = label.join(least, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"))
-    return written(label, "groups")
+        least = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("up").alias("m"))
+        label = label.join(least, F.col("node") == F.col("a")).select("node", F.least("up", "m").alias("up"))
+    label = written(label, "groups")
+    rest = both.join(label.toDF("a", "src"), "a").join(label.toDF("b", "dst"), "b").where("src < dst").select("src", "dst").distinct()
+    top = label.join(connected_components(rest).toDF("up", "top"), "up", "left").select(F.col("node").alias("component"), F.coalesce("top", "up").alias("top"))
+    return written(comps.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "groups")
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -167,34 +187,30 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Texts with the same shingles are one class at once. In each band's bucket every member is compared with the most
     central one, which costs no pairs within the bucket. In buckets that still hold different classes, members are
-    compared with the CENTRES most central ones of other classes, then with the next ones, until a round finds no more links. Every link is verified on the
-    whole texts. Texts without words are classes of their own, rows without id have a null class, rows of one id count
-    as one document, an empty table gives an empty one, other columns don't matter.
+    compared with CENTRES central ones of other classes, then with the next ones, until such a round finds no more
+    links. Every link is verified on the whole texts. Texts without words are classes of their own, rows without id
+    have a null class, rows of one id count as one document, an empty table gives an empty one, other columns don't matter.
     """
     signed = written(_signed(docs), "signed")
     reps = written(signed.where("n > 0 and doc_id is not null").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "representatives")
-    rows = reps.select("rep", "n", F.col("rep").alias("comp"), F.explode("bands").alias("key")).distinct()
-    texts = links = comps = None
+    members = _members(reps)
+    met = members.select(F.col("rep").alias("doc_id"))
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.hint("merge"), "doc_id", "left_semi"), "compared")
+    comps = members.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    rows = members.select(F.explode("keys").alias("key"), "rep", "n", "met", F.col("rep").alias("comp"))
+    turn = 0
     while True:
-        rows, centres = _centred(rows, 1 if links is None else CENTRES)
-        if texts is None:  # later rounds need no others
-            met = rows.select(F.col("rep").alias("doc_id")).distinct()
-            texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.hint("merge"), "doc_id", "left_semi"), "compared")
-        similar_size = F.least("n", "centre_n") >= F.lit(least) * F.greatest("n", "centre_n")  # else they can't be so similar
-        pairs = rows.join(centres, "key").where((F.col("comp") != F.col("centre_comp")) & similar_size)
-        new = _verified(pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct(), texts, least)
-        if new.isEmpty():
+        buckets = _centred(rows, CENTRES if turn else 1)
+        links = _verified(_to_compare(buckets, least), texts, least)
+        more = not links.isEmpty()
+        if turn and not more:
             break
-        done = centres.select("key", F.col("centre").alias("rep"))
-        others = rows if links is None else rows.join(done, ["key", "rep"], "left_anti")
-        links = new if links is None else links.union(new)
-        comps = _grouped(links)
-        rows = others.drop("comp").join(comps.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("rep", "n", "comp", "key")
-    if comps is None:
-        found = reps.select("ka", "kb", "n", F.col("rep").alias("class_id"))
-    else:
-        comps = connected_components(links.distinct(), "a", "b")
-        found = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", "n", F.coalesce("component", "rep").alias("class_id"))
+        turn += 1
+        rows = buckets.where(~F.exists("centres", lambda c: c["back"] == F.bitwise_not("rep"))).select("key", "rep", "n", "met", "comp")
+        if more:
+            comps = _merged(comps, links)
+            rows = rows.drop("comp").join(comps.toDF("rep", "comp"), "rep")
+    found = reps.join(comps.toDF("rep", "component"), "rep", "left").select("ka", "kb", "n", F.coalesce("component", "rep").alias("class_id"))
     return signed.join(found, ["ka", "kb", "n"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
