@@ -7,7 +7,7 @@ from spendwarden.plans import clustering, crossref, duplicates, employee_match,
 from spendwarden.session import cut
 
 from .registry import P, register
-from .sqltext import best_cte, names_cte, norm_line, norm_name, norm_parts, pairs_cte, ratio_sql
+from .sqltext import names_cte, norm_line, norm_name, norm_parts, pairs_cte, ratio_sql
 
 MEMBERS = f"""
 {names_cte('nm', 'vendor_v', 'name_normalized')},
@@ -22,11 +22,9 @@ members as materialized (select a.address, a.vendor_id, g.vendors from addr a jo
 PAIRS = f"""
 {pairs_cte('half', 'nm', 'nm', 85, 'a.name < b.name and ')},
 pr as (select * from half union all select right_name, left_name, score from half union all select name, name, 100.0 from nm),
-{best_cte('best', 'pr', 10)},
-holder as (select name_normalized as name, max(id) as id from vendor_v group by 1),
-rel_name as materialized (select v.id as vendor_id_1, h.id as vendor_id_2, 'similar_name' as relationship_type, b.score / 100 as confidence_score
-  from best b join vendor_v v on v.name_normalized = b.left_name join holder h on h.name = b.right_name
-  where b.left_name <> b.right_name and v.id < h.id),
+rel_name as materialized (select distinct least(v.id, w.id) as vendor_id_1, greatest(v.id, w.id) as vendor_id_2, 'similar_name' as relationship_type, b.score / 100 as confidence_score
+  from pr b join vendor_v v on v.name_normalized = b.left_name join vendor_v w on w.name_normalized = b.right_name
+  where b.left_name <> b.right_name and not exists (select 1 from vendor_v x where x.name_normalized = w.name_normalized and x.id < w.id)),
 rel_seq as materialized (select least(v.id, w.id) as vendor_id_1, greatest(v.id, w.id) as vendor_id_2, 'sequential_id' as relationship_type,
   {ratio_sql('a', 'b')} / 100 as confidence_score, v.id as first_vendor
   from vendor_v v join vendor_v w on cast(w.vendor_id as bigint) = cast(v.vendor_id as bigint) + 1
@@ -61,7 +59,7 @@ def _members(t):
 register("d06_related_vendor_duplicates", "vendor payment", lambda t, p: duplicates.related_vendor_duplicates(t, p.but(duplicate_payment_window_days=60), _members(t)),
          f"""with {MEMBERS},
 pay as (select m.address, m.vendor_id, p.amount, p.payment_date, p.id from members m join payment_v p on p.vendor_id = m.vendor_id where p.amount >= 1000),
-mine as (select address, vendor_id, amount, arg_max(struct_pack(d := payment_date), id).d as payment_date from pay group by all)
+mine as (select distinct address, vendor_id, amount, payment_date from pay)
 select 'related_vendor_duplicate' as alert_type, 'medium' as severity, 'vendor' as entity_type, a.vendor_id as entity_id, max(b.vendor_id) as related_vendor_id,
        cast(a.amount as double) as amount, a.payment_date, a.address as shared_address
 from mine a join pay b on b.address = a.address and b.amount = a.amount and b.vendor_id > a.vendor_id
@@ -167,9 +165,9 @@ select e.id as employee_id, v.id as vendor_id, round(score / 100, 4) as confiden
 from pr join employee_v e on e.name_normalized = left_name join listed v on v.name_normalized = right_name""")
 _GIFTS = """gifts as materialized (select contributor_normalized as name, sum(contribution_amount) as s, count(distinct filer_name) as r from contribution_v
   where contribution_amount >= 500 and contributor_normalized is not null group by 1 having sum(contribution_amount) >= 5000)"""
-_PLAY = f"""{_GIFTS}, {names_cte('gn', 'gifts', 'name')}, {names_cte('vn', 'vendor_v', 'name_normalized')}, {pairs_cte('pr', 'gn', 'vn', 90)}, {best_cte('best', 'pr', 5)}"""
+_PLAY = f"""{_GIFTS}, {names_cte('gn', 'gifts', 'name')}, {names_cte('vn', 'vendor_v', 'name_normalized')}, {pairs_cte('pr', 'gn', 'vn', 90)}"""
 register("d27_pay_to_play", "contribution vendor payment contract", crossref.pay_to_play, f"""with {_PLAY},
-m as (select g.name, g.s, g.r, b.score, (select max(id) from vendor_v v where v.name_normalized = b.right_name) as vid from best b join gifts g on g.name = b.left_name),
+m as (select g.name, g.s, g.r, b.score, v.id as vid from pr b join gifts g on g.name = b.left_name join vendor_v v on v.name_normalized = b.right_name),
 x as (select m.*, coalesce((select sum(amount) from payment_v p where p.vendor_id = vid), 0) as ps, coalesce((select sum(current_value) from contract_v c where c.vendor_id = vid), 0) as cs from m)
 select 'pay_to_play' as alert_type, case when (ps + cs)::double / s::double > 100 then 'high' when (ps + cs)::double / s::double > 10 then 'medium' else 'low' end as severity,
        'vendor' as entity_type, vid as entity_id, name as contributor_name, s::double as total_contributions, r as recipients, ps::double as vendor_payments,
@@ -177,7 +175,7 @@ select 'pay_to_play' as alert_type, case when (ps + cs)::double / s::double > 10
 register("d27_contribution_recipients", "contribution vendor payment contract",
          lambda t, p: crossref.contribution_recipients(t, p, crossref.pay_to_play(t, p)), f"""with {_PLAY}
 select name as contributor_name, filer_name, place from (select contributor_normalized as name, filer_name, row_number() over (partition by contributor_normalized order by filer_name) as place
-from (select distinct contributor_normalized, filer_name from contribution_v where contribution_amount >= 500 and contributor_normalized in (select left_name from best))) where place <= 10""")
+from (select distinct contributor_normalized, filer_name from contribution_v where contribution_amount >= 500 and contributor_normalized in (select left_name from pr))) where place <= 10""")
 register("d28_unregistered_vendors", "vendor payment tax_permit", crossref.unregistered_vendors, f"""with
 sus as materialized (select v.id, v.name, v.name_normalized, sum(amount) as s from vendor_v v join payment_v p on p.vendor_id = v.id where not in_cmbl and state = 'TX'
   group by 1, 2, 3 having sum(amount) >= 10000),
@@ -194,13 +192,13 @@ select 'contract', id, contract_number, null from contract_v where vendor_id = 8
 select 'risk', count(*), 'Shares address with ' || count(*) || ' other vendors', null from near having count(*) >= 2 union all
 select 'alert', id, upper(severity) || ': ' || title, null from alert_v where entity_type = 'vendor' and entity_id = 8""")
 
-_EMP = f"""{names_cte('en', 'employee_v', 'name_normalized')}, {names_cte('vn', 'vendor_v', 'name_normalized')}, {pairs_cte('pe', 'en', 'vn', 90)}, {best_cte('be', 'pe', 5)},
+_EMP = f"""{names_cte('en', 'employee_v', 'name_normalized')}, {names_cte('vn', 'vendor_v', 'name_normalized')}, {pairs_cte('be', 'en', 'vn', 90)},
 pd as materialized (select vendor_id, count(*) as n, sum(amount) as s, max(payment_date) as d from payment_v where vendor_id is not null group by 1 having sum(amount) <> 0),
-em as materialized (select e.id as employee_id, e.name as employee_name, h.id as vendor_id, be.score, pd.n, pd.s, pd.d from be join employee_v e on e.name_normalized = be.left_name
-  join (select name_normalized, max(id) as id from vendor_v group by 1) h on h.name_normalized = be.right_name join pd on pd.vendor_id = h.id)"""
+em as materialized (select e.id as employee_id, e.name as employee_name, min(h.id) as vendor_id, count(*) as vendors, be.score, sum(pd.n)::bigint as n, sum(pd.s) as s, max(pd.d) as d
+  from be join employee_v e on e.name_normalized = be.left_name join vendor_v h on h.name_normalized = be.right_name join pd on pd.vendor_id = h.id group by e.id, e.name, be.right_name, be.score)"""
 register("d30_employee_vendor_names", "employee vendor payment", lambda t, p: employee_match.name_alerts(employee_match.name_matches(t, p)), f"""with {_EMP}
 select 'employee_vendor_match' as alert_type, case when score >= 98 or (score >= 95 and s >= 100000) then 'high' else 'medium' end as severity, 'employee' as entity_type,
-       employee_id as entity_id, employee_name, vendor_id, round(score / 100, 4) as name_similarity, n as payment_count, s::double as total_payments, d as last_payment from em""")
+       employee_id as entity_id, employee_name, vendor_id, vendors, round(score / 100, 4) as name_similarity, n as payment_count, s::double as total_payments, d as last_payment from em""")
 _SIDES = f"""
 ea as (select id, json_extract_string(raw_data, '$.address') as a, json_extract_string(raw_data, '$.city') as c, json_extract_string(raw_data, '$.state') as s,
   coalesce(json_extract_string(raw_data, '$.zip'), '') as z from employee_v),
@@ -226,7 +224,7 @@ select 'related_party_network' as alert_type, case when n >= 5 or s >= 2000000 o
        component as entity_id, n as network_size, s::double as total_value, kinds, rels as relationship_count from z join k using (component) where n >= 3 and s >= 500000""")
 _RICH = f"""paidv as materialized (select v.id, v.name_normalized, p.s, p.n from vendor_v v join (select vendor_id, sum(amount) as s, count(*) as n from payment_v group by 1 having sum(amount) <> 0) p
   on p.vendor_id = v.id),
-{names_cte('pn', 'paidv', 'name_normalized')}, {names_cte('cn', 'contribution_v', 'contributor_normalized')}, {pairs_cte('pc', 'pn', 'cn', 80)}, {best_cte('bc', 'pc', 5)},
+{names_cte('pn', 'paidv', 'name_normalized')}, {names_cte('cn', 'contribution_v', 'contributor_normalized')}, {pairs_cte('bc', 'pn', 'cn', 80)},
 rich as materialized (select v.id as vendor_id, any_value(v.s) as s, any_value(v.n) as n, sum(c.contribution_amount) as given, count(*) as gifts from bc
   join paidv v on v.name_normalized = bc.left_name join contribution_v c on c.contributor_normalized = bc.right_name group by 1)"""
 
@@ -260,8 +258,8 @@ select 'circular_payment_pattern' as alert_type, case when c >= 3 or t1 + t2 >=
        related_vendor_id, relationship_type, c as common_agencies, t1::double as total_1, t2::double as total_2 from x where t1 >= 50000 and t2 >= 50000""")
 
 _SCREEN = f"""paid as (select vendor_id, sum(amount) as s from payment_v where vendor_id is not null group by 1 having sum(amount) >= 1000),
-vv as materialized (select v.id as vendor_id, v.name_normalized as vname, {norm_name('left(v.address, 100)')} as vaddr, s from vendor_v v join paid on paid.vendor_id = v.id),
-xx as materialized (select id as x_id, name_normalized as xname, {norm_name('left(address, 100)')} as xaddr from debarred_v where is_active),
+vv as materialized (select v.id as vendor_id, v.name_normalized as vname, {norm_name('v.address')} as vaddr, s from vendor_v v join paid on paid.vendor_id = v.id),
+xx as materialized (select id as x_id, name_normalized as xname, {norm_name('address')} as xaddr from debarred_v where is_active),
 nx as materialized (select xname, count(*) as exclusions, min(x_id) as exclusion_id from xx group by 1),
 rest as materialized (select * from vv where vname not in (select xname from nx)),
 {names_cte('ln', 'rest', 'vname')}, {names_cte('rn', 'nx', 'xname')}, {pairs_cte('pr', 'ln', 'rn', 90)},

@@ -91,11 +91,6 @@ def pairs_cte(out: str, left: str, right: str, cutoff: float, extra: str = "") -
   where score >= {cutoff})"""
 
 
-def best_cte(out: str, pairs: str, k: int) -> str:
-    return (f"{out} as (select left_name, right_name, score from (select *, row_number() over (partition by left_name order by score desc, "
-            f"right_name) as rn from {pairs}) where rn <= {k})")
-
-
 def statement(views: tuple[str, ...], body: str) -> str:
     """One SQL statement: the views it needs, its own CTEs (body may start with 'with') and the query."""
     body = body.strip()

@@ -23,7 +23,6 @@ class Params:
     related_duplicate_min_amount: float = 1000
 
     vendor_name_similarity: float = 0.85
-    similar_names_kept: int = 10
     sequential_similarity: float = 0.70
 
     round_number_amounts: tuple = (10000, 25000, 50000, 100000)
@@ -53,10 +52,8 @@ class Params:
     min_single_contribution: float = 500
     min_contribution_for_alert: float = 5000
     ghost_vendor_min_amount: float = 10000
-    contributor_matches_kept: int = 5
 
     employee_vendor_name_similarity: float = 0.90
-    employee_matches_kept: int = 5
 
     ghost_vendor_min_payment: float = 25000
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import severity_rank
 
 KEY = ["alert_type", "entity_type", "entity_id"]
+PART = {"pay_to_play": "contributor_name", "debarred_vendor": "exclusion_id"}  # evidence that tells an entity's alerts of one type apart
 CLOSED = ("resolved", "false_positive")
 
 # What each kind of alert says.
@@ -44,17 +45,24 @@ def as_findings(df: DataFrame, rule_order: int = 0) -> DataFrame:
         F.col("entity_id").cast("bigint").alias("entity_id"), evidence.alias("evidence"), F.lit(rule_order).alias("rule_order"))
 
 
+def _part() -> Column:
+    """What the type's PART names in the evidence; empty for types without."""
+    kinds = [F.when(F.col("alert_type") == kind, F.get_json_object("evidence", f"$.{field}")) for kind, field in PART.items()]
+    return F.coalesce(*kinds, F.lit("")).alias("_part")
+
+
 def new_alerts(findings: DataFrame, existing: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Findings that become alerts: the best per entity and type, unless an open alert has it already.
 
-    Rule order decides, then severity, then evidence. Findings without an entity all pass.
+    Contributors to one vendor and exclusions of one vendor are alerts of their own. Rule order decides, then severity,
+    then evidence. Findings without an entity all pass.
     """
     row = F.struct(*[F.col(c) for c in findings.columns])
     order = F.struct(F.col("rule_order"), -severity_rank(F.col("severity")), F.col("evidence"))
     named = findings.where(F.col("entity_id").isNotNull())
-    best = named.groupBy(*key).agg(F.min_by(row, order).alias("_r")).select("_r.*")
-    open_ = existing.where(~F.col("status").isin(*CLOSED)).select(*key).distinct()
-    fresh = best.join(open_, key, "left_anti").select(*findings.columns)
+    best = named.groupBy(*key, _part()).agg(F.min_by(row, order).alias("_r")).select("_r.*", "_part")
+    open_ = existing.where(~F.col("status").isin(*CLOSED)).select(*key, _part()).distinct()
+    fresh = best.join(open_, [*key, "_part"], "left_anti").select(*findings.columns)
     return fresh.unionByName(findings.where(F.col("entity_id").isNull()))
 
 

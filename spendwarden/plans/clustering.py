@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.addresses import normalize_address, parse_full_address
 from ..functions.scalars import severity
 from ..functions.similarity import possible, ratio
-from ..operators.fuzzy_join import best_matches, fuzzy_pairs
+from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
 from ..session import cut
 
@@ -66,17 +66,22 @@ def address_relationships(members: DataFrame) -> DataFrame:
 
 
 def name_relationships(t: dict, p: Params) -> DataFrame:
-    """Pairs of vendors with similar, not equal, names: per vendor the best names, itself among the kept number."""
+    """Pairs of vendors with similar, not equal, names.
+
+    A vendor is tied to the lowest vendor id of each similar name. Where names have one vendor each these are all
+    pairs; where many vendors share a name, all of them are still linked, without a row for every pair of them.
+    """
     named = t["vendor"].where(F.col("name_normalized").isNotNull()).select(F.col("id"), "name_normalized")
     cutoff = int(p.vendor_name_similarity * 100)
-    near = best_matches(fuzzy_pairs(named, "name_normalized", named, "name_normalized", cutoff), p.similar_names_kept)
-    near = near.where("left_name <> right_name")
-    holder = named.groupBy(F.col("name_normalized").alias("right_name")).agg(F.max("id").alias("vendor_id_2"))
-    mine = named.select(F.col("id").alias("vendor_id_1"), F.col("name_normalized").alias("left_name"))
-    return near.join(holder, "right_name").join(mine, "left_name").where("vendor_id_1 < vendor_id_2").select(
-        "vendor_id_1", "vendor_id_2", F.lit("similar_name").alias("relationship_type"),
-        (F.col("score") / 100).alias("confidence_score"),
-        F.to_json(F.struct(F.col("left_name").alias("name1"), F.col("right_name").alias("name2"))).alias("evidence"))
+    near = fuzzy_pairs(named, "name_normalized", named, "name_normalized", cutoff).where("left_name <> right_name")
+    lowest = named.groupBy(F.col("name_normalized").alias("right_name")).agg(F.min("id").alias("low"))
+    mine = named.select("id", F.col("name_normalized").alias("left_name"))
+    first = F.col("id") < F.col("low")
+    names = F.struct(F.when(first, F.col("left_name")).otherwise(F.col("right_name")).alias("name1"),
+                     F.when(first, F.col("right_name")).otherwise(F.col("left_name")).alias("name2"))
+    return near.join(lowest, "right_name").join(mine, "left_name").select(
+        F.least("id", "low").alias("vendor_id_1"), F.greatest("id", "low").alias("vendor_id_2"), F.lit("similar_name").alias("relationship_type"),
+        (F.col("score") / 100).alias("confidence_score"), F.to_json(names).alias("evidence")).distinct()
 
 
 def similar_name_alerts(t: dict, p: Params, relationships: DataFrame) -> DataFrame:

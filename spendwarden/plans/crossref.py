@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import normalize_vendor_name
 from ..functions.scalars import severity, share
 from ..functions.similarity import possible, ratio
-from ..operators.fuzzy_join import best_matches, fuzzy_pairs
+from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
 
 
@@ -62,15 +62,15 @@ def employee_vendor_scan(t: dict, p: Params) -> DataFrame:
 
 
 def pay_to_play(t: dict, p: Params) -> DataFrame:
-    """Contributors whose name is close to a vendor's."""
+    """Contributors whose name is close to a vendor's: a row per contributor name and vendor, every vendor of a name included."""
     gifts = (
         t["contribution"].where((F.col("contribution_amount") >= p.min_single_contribution) & (F.length("contributor_normalized") > 0))
         .groupBy(F.col("contributor_normalized").alias("contributor_name"))
         .agg(F.sum("contribution_amount").alias("total_contributions"), F.count_distinct("filer_name").alias("recipients"))
         .where(F.col("total_contributions") >= p.min_contribution_for_alert)
     )
-    holder = t["vendor"].where(F.length("name_normalized") > 0).groupBy("name_normalized").agg(F.max("id").alias("vendor_id"))
-    near = best_matches(fuzzy_pairs(gifts, "contributor_name", holder, "name_normalized", p.name_match_threshold), p.contributor_matches_kept)
+    holder = t["vendor"].where(F.length("name_normalized") > 0).select("name_normalized", F.col("id").alias("vendor_id"))
+    near = fuzzy_pairs(gifts, "contributor_name", holder, "name_normalized", p.name_match_threshold)
     paid, worth = F.coalesce("paid", F.lit(0)), F.coalesce("worth", F.lit(0))
     roi = share(paid + worth, F.col("total_contributions"))
     return (

@@ -84,14 +84,14 @@ def near_duplicate_payments(t: dict, p: Params) -> DataFrame:
 def related_vendor_duplicates(t: dict, p: Params, members: DataFrame) -> DataFrame:
     """Vendors at one address paid the same amount within the window.
 
-    members: (address, vendor_id) of the shared addresses. One row per vendor and amount: the vendor's payment of
-    that amount with the highest id against the payments of vendors with higher ids at the address, of which the
-    highest id is named. Dates are compared per address, amount and day, so no pairs of vendors are built.
+    members: (address, vendor_id) of the shared addresses. One row per vendor, amount and day on which the vendor was
+    paid it, against the payments of vendors with higher ids at the address, of which the highest id is named. Dates
+    are compared per address, amount and day, so no pairs of vendors are built.
     """
     w_days = p.duplicate_payment_window_days
-    pay = t["payment"].where(F.col("amount") >= p.related_duplicate_min_amount).select("id", "vendor_id", "amount", "payment_date")
+    pay = t["payment"].where(F.col("amount") >= p.related_duplicate_min_amount).select("vendor_id", "amount", "payment_date")
     at = members.select("address", "vendor_id").join(pay, "vendor_id")
-    mine = at.groupBy("address", "vendor_id", "amount").agg(F.max_by("payment_date", "id").alias("payment_date"))
+    mine = at.distinct()
     day = F.datediff(F.col("payment_date"), F.lit("1970-01-01"))
     per_day = (
         at.groupBy("address", "amount", "payment_date").agg(F.max("vendor_id").alias("top"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import normalize_address
 from ..functions.scalars import json_text, severity
-from ..operators.fuzzy_join import best_matches, fuzzy_pairs
+from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
 from ..session import cut
 
@@ -19,14 +19,20 @@ def _paid(t: dict) -> DataFrame:
 
 
 def name_matches(t: dict, p: Params) -> DataFrame:
-    """(employee_id, vendor_id, confidence, ...) for the best vendor names of each employee; vendors must be paid."""
+    """(employee_id, vendor_id, confidence, ...) for every similar vendor name of an employee; vendors must be paid.
+
+    All paid vendors of one name are one row: their number, payments and sums, and the lowest of their ids. So a name
+    that many employees and many vendors have makes a row per employee, not per pair.
+    """
     e = t["employee"].where(F.length("name_normalized") > 0).select(
         F.col("id").alias("employee_id"), F.col("name").alias("employee_name"), F.col("name_normalized").alias("left_name"))
-    holder = t["vendor"].where(F.length("name_normalized") > 0).groupBy(F.col("name_normalized").alias("right_name")).agg(F.max("id").alias("vendor_id"))
-    cutoff = int(p.employee_vendor_name_similarity * 100)
-    near = best_matches(fuzzy_pairs(e, "left_name", holder, "right_name", cutoff), p.employee_matches_kept)
-    return e.join(near, "left_name").join(holder, "right_name").join(_paid(t), "vendor_id").select(
-        "employee_id", "employee_name", "vendor_id", (F.col("score") / 100).alias("confidence"), "payment_count", "total_payments", "last_payment")
+    named = t["vendor"].where(F.length("name_normalized") > 0).select(F.col("id").alias("vendor_id"), F.col("name_normalized").alias("right_name"))
+    holder = cut(named.join(_paid(t), "vendor_id").groupBy("right_name").agg(
+        F.min("vendor_id").alias("vendor_id"), F.count("*").alias("vendors"), F.sum("payment_count").alias("payment_count"),
+        F.sum("total_payments").alias("total_payments"), F.max("last_payment").alias("last_payment")))
+    near = fuzzy_pairs(e, "left_name", holder, "right_name", int(p.employee_vendor_name_similarity * 100))
+    return e.join(near, "left_name").join(holder, "right_name").select(
+        "employee_id", "employee_name", "vendor_id", "vendors", (F.col("score") / 100).alias("confidence"), "payment_count", "total_payments", "last_payment")
 
 
 def name_alerts(matches: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def name_alerts(matches: DataFrame) -> DataFrame:
     return matches.select(
         F.lit("employee_vendor_match").alias("alert_type"),
         severity("medium", ("high", ((c >= 0.95) & (total >= 100000)) | (c >= 0.98))).alias("severity"),
-        F.lit("employee").alias("entity_type"), F.col("employee_id").alias("entity_id"), "employee_name", "vendor_id",
+        F.lit("employee").alias("entity_type"), F.col("employee_id").alias("entity_id"), "employee_name", "vendor_id", "vendors",
         F.round(c, 4).alias("name_similarity"), "payment_count", "total_payments", "last_payment")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import severity
 from ..operators.components import connected_components
-from ..operators.fuzzy_join import best_matches, fuzzy_pairs
+from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
 from ..session import cut
 from .network import vendor_links
@@ -42,7 +42,7 @@ def related_party_networks(t: dict, p: Params, pairs: DataFrame, members: DataFr
 
 
 def contributing_vendors(t: dict, p: Params) -> DataFrame:
-    """Paid vendors with contributions under a similar name (best five contributor names)."""
+    """Paid vendors with contributions under a similar name, all such contributor names added up."""
     gifts = (
         t["contribution"].where(F.length("contributor_normalized") > 0).groupBy(F.col("contributor_normalized").alias("right_name"))
         .agg(F.sum("contribution_amount").alias("given"), F.count("*").alias("gifts"))
@@ -50,7 +50,7 @@ def contributing_vendors(t: dict, p: Params) -> DataFrame:
     paid = t["payment"].where(F.col("vendor_id").isNotNull()).groupBy("vendor_id").agg(
         F.sum("amount").alias("vendor_payments"), F.count("*").alias("payment_count")).where("vendor_payments <> 0")
     v = t["vendor"].where(F.length("name_normalized") > 0).select(F.col("id").alias("vendor_id"), "name_normalized").join(paid, "vendor_id")
-    near = best_matches(fuzzy_pairs(v, "name_normalized", gifts, "right_name", p.triangle_similarity * 100), p.contributor_matches_kept)
+    near = fuzzy_pairs(v, "name_normalized", gifts, "right_name", p.triangle_similarity * 100)
     named = v.join(near.withColumnRenamed("left_name", "name_normalized"), "name_normalized").join(gifts, "right_name")
     return named.groupBy("vendor_id").agg(
         F.sum("given").alias("total_contributions"), F.sum("gifts").alias("contribution_count"),
@@ -82,7 +82,7 @@ def triangle_recipients(t: dict, p: Params, triangles: DataFrame, k: int = 10) -
     """Who received the contributions of each vendor in a triangle, top k."""
     names = t["vendor"].join(triangles.select(F.col("vendor_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("vendor_id"), "name_normalized")
     gifts = t["contribution"].where(F.length("contributor_normalized") > 0)
-    near = best_matches(fuzzy_pairs(names, "name_normalized", gifts, "contributor_normalized", p.triangle_similarity * 100), p.contributor_matches_kept)
+    near = fuzzy_pairs(names, "name_normalized", gifts, "contributor_normalized", p.triangle_similarity * 100)
     per = gifts.groupBy(F.col("contributor_normalized").alias("right_name"), "filer_name").agg(F.sum("contribution_amount").alias("amount"))
     total = names.join(near.withColumnRenamed("left_name", "name_normalized"), "name_normalized").join(per, "right_name").groupBy(
         "vendor_id", "filer_name").agg(F.sum("amount").alias("amount"))

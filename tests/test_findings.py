@@ -8,7 +8,7 @@ from helpers import table
 
 from spendwarden.operators import resolve
 from spendwarden.params import Params
-from spendwarden.plans import alerts, crossref
+from spendwarden.plans import alerts, clustering, crossref, duplicates, employee_match
 from spendwarden.sources import readers
 
 
@@ -42,3 +42,49 @@ def test_quoted_line_ends_and_other_headers(spark, tmp_path):
     (tmp_path / "two.csv").write_text("city,name\nDALLAS,OTHER\n" * 1)
     with pytest.raises(Exception, match="CSV"):
         readers.read_csv(spark, str(tmp_path)).collect()
+
+
+P = Params(as_of=dt.date(2001, 7, 31))
+
+
+def test_every_vendor_of_a_name_counts(spark):
+    """The vendor with the highest id is not the paid one; employees see all paid vendors of the name together."""
+    v = [{"id": i, "name": "ACME INC", "name_normalized": "ACME INC"} for i in (5, 7, 9)]
+    t = {"vendor": table(spark, "vendor", *v), "employee": table(spark, "employee", {"id": 1, "name": "ACME INC", "name_normalized": "ACME INC"}),
+         "payment": table(spark, "payment", {"id": 1, "vendor_id": 5, "amount": 60}, {"id": 2, "vendor_id": 7, "amount": 50})}
+    got = employee_match.name_matches(t, P).collect()
+    assert [(r["employee_id"], r["vendor_id"], r["vendors"], r["payment_count"], float(r["total_payments"])) for r in got] == [(1, 5, 2, 2, 110.0)]
+
+
+def test_similar_names_have_no_limit_and_link_all_holders(spark):
+    names = [f"{c}ACME BUILDING SUPPLIES" for c in "ABCDEFGHIJKLM"]  # more than ten equally close to each other
+    v = [{"id": i + 1, "name": n, "name_normalized": n} for i, n in enumerate([*names, names[0]])]
+    got = {(r["vendor_id_1"], r["vendor_id_2"]) for r in clustering.name_relationships({"vendor": table(spark, "vendor", *v)}, P).collect()}
+    assert got == {(a, b) for a in range(1, 14) for b in range(a + 1, 14)} | {(a, 14) for a in range(2, 14)}
+
+
+def test_seven_equally_close_vendors_of_a_contributor(spark):
+    names = [f"ACME BUILDING SUPPLIES{c}" for c in "ABCDEFG"]
+    t = {"vendor": table(spark, "vendor", *[{"id": i + 1, "name": n, "name_normalized": n} for i, n in enumerate(names)]),
+         "contribution": table(spark, "contribution", {"id": 1, "contributor_normalized": "ACME BUILDING SUPPLIES", "contribution_amount": 6000, "filer_name": "F"}),
+         "payment": table(spark, "payment"), "contract": table(spark, "contract")}
+    assert {r["entity_id"] for r in crossref.pay_to_play(t, P).collect()} == set(range(1, 8))
+
+
+def test_every_payment_day_is_compared(spark):
+    rows = [(1, 1, "2001-01-01"), (2, 1, "2001-06-01"), (3, 2, "2001-01-02")]  # the payment with the highest id is far away
+    t = {"payment": table(spark, "payment", *[{"id": i, "vendor_id": v, "amount": 1000, "payment_date": d} for i, v, d in rows])}
+    m = spark.createDataFrame([("X", 1), ("X", 2)], "address string, vendor_id bigint")
+    got = [(r["entity_id"], r["related_vendor_id"], str(r["payment_date"])) for r in duplicates.related_vendor_duplicates(t, P, m).collect()]
+    assert got == [(1, 2, "2001-01-01")]
+
+
+def test_contributors_and_exclusions_are_alerts_of_their_own(spark):
+    cols = "alert_type string, severity string, title string, description string, entity_type string, entity_id bigint, evidence string, rule_order int"
+    found = spark.createDataFrame([("pay_to_play", "low", "t", "d", "vendor", 1, f'{{"contributor_name": "{c}"}}', 0) for c in "AB"]
+                                  + [("debarred_vendor", "low", "t", "d", "vendor", 1, f'{{"exclusion_id": {i}}}', 0) for i in (1, 2, 2)]
+                                  + [("ghost_vendor", "low", "t", "d", "vendor", 1, f'{{"n": {i}}}', 0) for i in (1, 2)], cols)
+    open_ = spark.createDataFrame([("pay_to_play", "vendor", 1, '{"contributor_name": "A"}', "new"), ("debarred_vendor", "vendor", 1, '{"exclusion_id": 1}', "resolved")],
+                                  "alert_type string, entity_type string, entity_id bigint, evidence string, status string")
+    got = sorted((r["alert_type"], r["evidence"]) for r in alerts.new_alerts(found, open_).collect())
+    assert got == [("debarred_vendor", '{"exclusion_id": 1}'), ("debarred_vendor", '{"exclusion_id": 2}'), ("ghost_vendor", '{"n": 1}'), ("pay_to_play", '{"contributor_name": "B"}')]
