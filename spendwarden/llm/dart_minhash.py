@@ -25,7 +25,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, WIDE = 24, 5  # a pair of similarity 0.8 shares a band with probability 1 - 7e-5
 COORDS = BANDS * WIDE
-CENTRES = 8  # members of a bucket that all others are compared with in a round after the first
+CENTRES = (1, 8)  # members of a bucket that all others are compared with, round by round
+SLOTS = 1 << 20  # counters for how common shingles are; they order shingles and never decide results
+CELL = 256  # members of one shingle that meet the others in one cell
 HOPS = 2  # enough for links to one centre
 DARTS = COORDS * (math.log(COORDS) + 2)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -164,6 +166,78 @@ def _to_compare(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
+
+
+def _common(left: DataFrame) -> np.ndarray:
+    """How many units of left's texts fall into each slot: for single ones 1, at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                count += np.bincount(_slot(units(part.column(0))[0]), minlength=SLOTS)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["slot", "n"])
+
+    found = left.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(left: DataFrame, common: np.ndarray, least: float) -> DataFrame:
+    """rep, comp, n, shingle, place, brief: the first places of each text's units, the rarest first, that others have too.
+
+    Two texts of n >= m units and that similarity have least * n of them in common, and 2 * least / (1 + least) * m. Their
+    first common one thus stands in the larger text among the first n - least * n + 1, and in the smaller one among the
+    fewer places called brief.
+    """
+    shared = left.sparkSession.sparkContext.broadcast(common)  # of a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, of = units(part.column(2))
+                count = np.diff(of)
+                text = np.repeat(np.arange(len(count)), count)
+                often = shared.value[_slot(hashes)]
+                order = np.lexsort((hashes, often, text))
+                place = np.arange(len(hashes)) - np.repeat(of[:-1], count)
+                reach, brief = (count - np.ceil(count * share - 1e-6).astype(np.int64) for share in (least, 2 * least / (1 + least)))
+                keep = (place <= reach[text]) & (often[order] > 1)
+                of_ = pa.array(text[keep])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of_), part.column(1).take(of_), pa.array(count).take(of_), pa.array(hashes[order][keep].view(np.int64)),
+                                                  pa.array(place[keep]), pa.array(place[keep] <= brief[text[keep]])], names=["rep", "comp", "n", "shingle", "place", "brief"])
+
+    return written(left.select("rep", "comp", "text").mapInArrow(run, "rep bigint, comp bigint, n bigint, shingle bigint, place bigint, brief boolean"), "prefixes")
+
+
+def _left_over(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of the members that rounds have left in buckets of different classes, without loss.
+
+    A join on the rarest shingles of these members; sizes and places say which pairs can still be so similar. The members
+    that have a crowded shingle in brief are dealt to cells of about CELL, each of which meets all others.
+    """
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    who = rows.join(open_, "key").select("rep", "comp").distinct()
+    left = written(who.join(texts.toDF("rep", "text").hint("merge"), "rep"), "left")
+    rare = _prefixes(left, _common(left), least)
+    cells = F.ceil(F.sum(F.col("brief").cast("int")) / CELL).cast("int").alias("cells")
+    keys = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), cells).where("lo < hi and cells > 0").select("shingle", "cells")
+    met = written(rare.join(keys, "shingle"), "met")
+    one = met.where("brief").withColumn("cell", F.pmod(F.xxhash64("rep"), "cells").cast("int")).drop("brief", "cells")
+    all_ = met.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("brief", "cells")
+    x, y = one.alias("x"), all_.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep"))
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    can = (F.col("x.n") >= F.lit(least) * F.col("y.n")) & (rest >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cell") == F.col("y.cell"))
+    pairs = x.join(y.hint("merge"), same & smaller & can & (F.col("x.comp") != F.col("y.comp")))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps(node, component) after links have tied some components together.
 
@@ -187,9 +261,10 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     Texts with the same shingles are one class at once. In each band's bucket every member is compared with the most
     central one, which costs no pairs within the bucket. In buckets that still hold different classes, members are
-    compared with CENTRES central ones of other classes, then with the next ones, until such a round finds no more
-    links. Every link is verified on the whole texts. Texts without words are classes of their own, rows without id
-    have a null class, rows of one id count as one document, an empty table gives an empty one, other columns don't matter.
+    compared with some more central ones of other classes. What is left in buckets of different classes is joined
+    without loss on rare shingles, so that every pair of a bucket is judged, whatever the centres are like. Every link
+    is verified on the whole texts. Texts without words are classes of their own, rows without id have a null class,
+    rows of one id count as one document, an empty table gives an empty one, other columns don't matter.
     """
     signed = written(_signed(docs), "signed")
     reps = written(signed.where("n > 0 and doc_id is not null").groupBy("ka", "kb", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "representatives")
@@ -198,18 +273,16 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.hint("merge"), "doc_id", "left_semi"), "compared")
     comps = members.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     rows = members.select(F.explode("keys").alias("key"), "rep", "n", "met", F.col("rep").alias("comp"))
-    turn = 0
-    while True:
-        buckets = _centred(rows, CENTRES if turn else 1)
+    for centres in CENTRES:
+        buckets = _centred(rows, centres)
         links = _verified(_to_compare(buckets, least), texts, least)
-        more = not links.isEmpty()
-        if turn and not more:
-            break
-        turn += 1
         rows = buckets.where(~F.exists("centres", lambda c: c["back"] == F.bitwise_not("rep"))).select("key", "rep", "n", "met", "comp")
-        if more:
+        if not links.isEmpty():
             comps = _merged(comps, links)
             rows = rows.drop("comp").join(comps.toDF("rep", "comp"), "rep")
+    links = _verified(_left_over(rows, texts, least), texts, least)
+    if not links.isEmpty():
+        comps = _merged(comps, links)
     found = reps.join(comps.toDF("rep", "component"), "rep", "left").select("ka", "kb", "n", F.coalesce("component", "rep").alias("class_id"))
     return signed.join(found, ["ka", "kb", "n"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 

@@ -244,6 +244,28 @@ def test_classes_equal_brute_force(spark, docs, odd, none):
     assert dart_minhash.first_of_class(odd).columns == odd.columns and dart_minhash.classes(none).count() == 0
 
 
+def test_near_copies_within_a_template_group(spark):
+    """Texts of one template share their buckets and are no near-copies; the pairs among them are far from every centre."""
+    def edited(tag, first=None):  # nine of 400 words are the text's own
+        return " ".join(f"{first if first and i == 20 else tag}x{i}" if i in range(20, 380, 40) else f"w{i}" for i in range(400))
+
+    texts = {k: edited(f"t{k}") for k in range(500)}  # 0.796 similar, each to each
+    for k in range(20):  # 0.817 similar
+        texts[1000 + k], texts[2000 + k] = edited(f"a{k}", f"p{k}"), edited(f"b{k}", f"p{k}")
+    sets = {i: shingles(texts[i]) for i in (0, 1, 1000, 2000)}
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]) and len(sets[1000] & sets[2000]) > 0.8 * len(sets[1000] | sets[2000])
+    made = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {i: r["class_id"] for i, r in rows_of(dart_minhash.classes(made)).items()}
+    assert got == {i: i - 1000 if i >= 2000 else i for i in texts}
+
+
+def test_cells_do_not_change_classes(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, dart_minhash.classes(docs).collect()))
+    monkeypatch.setattr(dart_minhash, "CELL", 2)
+    monkeypatch.setattr(dart_minhash, "CENTRES", (1,))
+    assert sorted(map(tuple, dart_minhash.classes(docs).collect())) == whole
+
+
 # tokens
 
 def test_tokens_equal_library(docs, odd, none):
