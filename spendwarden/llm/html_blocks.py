@@ -22,7 +22,9 @@ from .texts import slices
 BLOCK = frozenset("address article aside blockquote body center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 NEST = frozenset("article aside blockquote div dl fieldset figure footer form header main nav ol section table ul".split())
 SKIP = frozenset("button canvas datalist iframe math noscript object option script select style svg template textarea title".split())
-OUTSIDE = frozenset("aside footer form nav".split())
+OUTSIDE = frozenset("aside footer nav".split())
+WITH = re.compile(r"(?<![^\s_-])(?:with|without|has|no)[_-]\S*", re.I)  # with-sidebar, no-comments: what a layout goes with, not what it is
+INTRO = 20  # words of articles up to which an article may still be the first
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|"
     r"pager|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
@@ -55,15 +57,18 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, bool, bool]] = []
-        self.open: list[tuple[str, bool]] = []  # element, whether it starts something outside the main text
+        self.open: list[tuple[str, int]] = []  # element, whether something outside the main text starts there: 1 by its name or as form, 2 as element
         self.skip: list[tuple[str, int]] = []
         self.text: list[str] = []
-        self.link = self.linked = 0
+        self.link = self.linked = self.told = 0
 
     def flush(self):
         words = " ".join("".join(self.text).split())
         if words:
-            self.blocks.append((words, self.linked, any(o for _, o in self.open), any(t in ("article", "main") for t, _ in self.open)))
+            outside, inner = any(o for _, o in self.open), any(t in ("article", "main") for t, _ in self.open)
+            self.blocks.append((words, self.linked, outside, inner))
+            if inner and not outside:
+                self.told += len(words.split())
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -73,9 +78,12 @@ class _Blocks(HTMLParser):
             self.flush()
             self.link = 0
             if tag in NEST:
-                named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+                named = WITH.sub(" ", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))
                 inner = any(t in ("article", "main") for t, _ in self.open)
-                self.open.append((tag, tag in OUTSIDE or tag == "header" and not inner or tag not in ("article", "main") and bool(HINT.search(named))))
+                if tag in ("article", "main") and self.told < INTRO:  # what holds the first article is a wrapper, whatever its name
+                    self.open = [(t, 0 if o == 1 else o) for t, o in self.open]
+                element = tag in OUTSIDE or tag == "header" and not inner
+                self.open.append((tag, 2 if element else int(tag == "form" or tag not in ("article", "main") and bool(HINT.search(named)))))
         elif tag == "a":
             self.link = 1
         elif tag == "br":

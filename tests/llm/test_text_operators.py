@@ -183,6 +183,23 @@ def test_pages_equal_their_articles(spark, sf):
         assert pages[r["page_id"]]["text"] == want and pages[r["page_id"]]["n_chars"] == len(want)
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout with-sidebar'", "div id='content' class='no-comments'", "div class='page has-left-sidebar'", "div class='post widget'",
+                                     "section class='related'", "form id=aspnet"])
+def test_wrappers_keep_their_article(wrapper):
+    story, aside = "The council met on Monday and agreed to pay for the new bridge over the river. " * 4, "<p>More of the same for you to read today and tomorrow</p>"
+    tag = wrapper.split()[0]
+    for inner in ("article", "main"):
+        page = f"<body><{wrapper}><{inner}><h1>Bridge</h1><p>{story}</p><div class=related>{aside}</div><section id=comments><article>{aside}</article></section></{inner}><div class=sidebar>{aside}</div></{tag}>"
+        assert html_blocks.main_text(page) == "Bridge\n" + story.strip()
+
+
+def test_layout_names_are_no_hints():
+    story = "The council met on Monday and agreed to pay for the new bridge over the river. " * 4
+    for name in ("layout with-sidebar", "no-comments", "page_has_left_sidebar", "without-nav"):
+        assert html_blocks.main_text(f"<div class='{name}'><p>{story}</p><p>{story}</p></div>") == "\n".join([story.strip()] * 2)
+    assert html_blocks.main_text(f"<div class='sidebar no-padding'><p>{story}</p></div><aside><article><p>{story}</p></article></aside>") == ""
+
+
 # fingerprints
 
 def test_fingerprints(spark, docs, odd, none):
