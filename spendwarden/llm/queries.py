@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, bpe_backtrack, dart_minhash, html_blocks, lang_crf, quality_knn, rare_digest, secret_tests, source_mix, voronoi_knn
+from . import arc_to_warc, bpe_backtrack, cholesky_whitening, dart_minhash, fp_tree_rank, html_blocks, lang_crf, line_crf, quality_knn, rare_digest, secret_tests, source_mix, voronoi_knn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,38 @@ select page_id, payload_bytes,
     case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to
 from h
 """
+
+
+@query
+def op11_fp_tree_rank(spark, sf_dir):
+    return fp_tree_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_fp_tree_rank"] = r"""
+with words as (select doc_id, row_number() over () as r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents where text is not null),
+d as (select doc_id, r, t, len(t)::bigint as n from words where len(t) > 0),
+c as (select count(*)::bigint as docs, sum(n)::bigint as total from d),
+i as (select item_id, row_number() over () as i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+q as (select item_id, i, term, count(*)::bigint as q from i group by all),
+e as (select r, unnest(t) as term from d),
+f as (select r, term, count(*)::bigint as tf from e where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from f, c group by term, docs),
+m as (select doc_id, r, 25 + (75 * n * docs) // total as m from d, c),
+s as (select item_id, i, doc_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+      from q join f using (term) join w using (term) join m using (r) group by all),
+p as (select item_id, i, doc_id, score, (row_number() over (partition by i order by score desc, doc_id))::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from p where rank <= 10
+"""
+
+
+@query
+def op12_cholesky_whitening(spark, sf_dir):
+    return cholesky_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.rules_report(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))

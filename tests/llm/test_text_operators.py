@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, sf, key):
     from checks.compare import canon
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df, rel = queries.QUERIES[key](spark, sf), con.sql(queries.ORACLE[key])
     cols, names = sorted(df.columns), list(rel.columns)
