@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from spendwarden.operators import tables
-from spendwarden.plans import alerts, duplicates, employee_match, reports, requests, sync_log
+from spendwarden.plans import alerts, duplicates, employee_match, reports, requests, splitting, sync_log
 from spendwarden.plans import engine
 
 from .registry import BODIES, P, register
@@ -120,13 +120,16 @@ select contributor_normalized, contributor_name, sum(contribution_amount)::doubl
 group by 1, 2 order by sum(contribution_amount) desc, 1, 2 limit 100""")
 register("q31_requests", "pia_request", lambda t, p: requests.list_requests(t["pia_request"], "pending"), """
 select * from pia_request_v where status = 'pending' order by submitted_date desc, id desc limit 20""")
-register("q32_draft_requests", "alert contract", lambda t, p: requests.draft_requests(t["alert"], t["contract"]).select(
+_SPLIT_P = P.but(contract_splitting_min=20000, contract_splitting_max=500000, contract_splitting_months=60)
+register("q32_draft_requests", "alert contract", lambda t, p: requests.draft_requests(t["alert"], splitting.alert_contracts(t["alert"], t["contract"], _SPLIT_P)).select(
     "related_alert_id", "agency_id", "subject", "status", "letter", F.regexp_count("request_text", F.lit(r"(?m)^  - C-")).alias("listed")), """
 select a.id as related_alert_id, (a.entity_id % 25) as agency_id, 'Records Request: ' || title as subject, 'draft' as status,
   case alert_type when 'contract_splitting' then 'splitting' when 'duplicate_payment' then 'duplicate' when 'vendor_cluster_name' then 'relationship' else 'general' end as letter,
-  case when alert_type = 'contract_splitting' then least(coalesce(c.n, 0), 10) else 0 end as listed
-from (select * exclude (entity_id), entity_id as eid, cast(json_extract_string(evidence, '$.agency_id') as bigint) as entity_id from alert_v) a
-left join (select vendor_id, count(*) as n from contract_v group by 1) c on c.vendor_id = a.eid""")
+  case when alert_type = 'contract_splitting' then (select count(*) from contract_v c where c.vendor_id = a.eid and c.agency_id = a.entity_id
+    and c.current_value between 20000 and 500000 and c.start_date >= date '2001-07-31' - 1800) else 0 end as listed
+from (select * exclude (entity_id), entity_id as eid, cast(json_extract_string(evidence, '$.agency_id') as bigint) as entity_id from alert_v) a""")
+register("q31_show_request", "pia_request agency alert", lambda t, p: requests.show_request(t["pia_request"], t["agency"], t["alert"], 6), """
+select r.*, a.name as agency_name, o.title as alert_title from pia_request_v r left join agency_v a on a.id = r.agency_id left join alert_v o on o.id = r.related_alert_id where r.id = 6""")
 register("q33_submit_and_overdue", "pia_request", lambda t, p: requests.mark_overdue(requests.submit(t["pia_request"], F.col("submitted_date")), D).select(
     "id", "status", "submitted_date", "due_date"), """
 with days as (select r.id, d::date as d, row_number() over (partition by r.id order by d) as n from pia_request_v r, unnest(generate_series(r.submitted_date + 1, r.submitted_date + 16, interval 1 day)) as x(d)

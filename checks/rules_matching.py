@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spendwarden.plans import clustering, crossref, duplicates, employee_match, network, related, screening
 
 from spendwarden.session import cut
@@ -24,7 +26,7 @@ PAIRS = f"""
 pr as (select * from half union all select right_name, left_name, score from half union all select name, name, 100.0 from nm),
 rel_name as materialized (select distinct least(v.id, w.id) as vendor_id_1, greatest(v.id, w.id) as vendor_id_2, 'similar_name' as relationship_type, b.score / 100 as confidence_score
   from pr b join vendor_v v on v.name_normalized = b.left_name join vendor_v w on w.name_normalized = b.right_name
-  where b.left_name <> b.right_name and not exists (select 1 from vendor_v x where x.name_normalized = w.name_normalized and x.id < w.id)),
+  where b.left_name <> b.right_name),
 rel_seq as materialized (select least(v.id, w.id) as vendor_id_1, greatest(v.id, w.id) as vendor_id_2, 'sequential_id' as relationship_type,
   {ratio_sql('a', 'b')} / 100 as confidence_score, v.id as first_vendor
   from vendor_v v join vendor_v w on cast(w.vendor_id as bigint) = cast(v.vendor_id as bigint) + 1
@@ -49,7 +51,11 @@ links as materialized (select src, dst from one_way union select dst, src from o
 
 
 def _pairs(t):
-    return cut(clustering.pair_relationships(t, P))
+    return cut(clustering.sequential_relationships(t, P).drop("first_vendor"))
+
+
+def _alike(t):
+    return cut(clustering.similar_names(t, P))
 
 
 def _members(t):
@@ -77,23 +83,25 @@ _NAMES = f"{names_cte('nm', 'vendor_v', 'name_normalized')}, {PAIRS}"
 
 
 def _r6(df):
-    from pyspark.sql import functions as F
     return df.withColumn("confidence_score", F.round("confidence_score", 6))
 
 
-register("d08_similar_names", "vendor", lambda t, p: _r6(clustering.name_relationships(t, p).drop("evidence")), f"""with {_NAMES}
-select vendor_id_1, vendor_id_2, relationship_type, round(confidence_score, 6) as confidence_score from rel_name""")
-register("d08_similar_name_alerts", "vendor", lambda t, p: clustering.similar_name_alerts(t, p, clustering.name_relationships(t, p)), f"""with {_NAMES}
-select 'vendor_cluster_name' as alert_type, 'medium' as severity, 'vendor' as entity_type, vendor_id_1 as entity_id, vendor_id_2 as related_vendor_id,
-       v.name as name_1, w.name as name_2, round(confidence_score, 4) as similarity
-from rel_name r join vendor_v v on v.id = r.vendor_id_1 join vendor_v w on w.id = r.vendor_id_2
-where confidence_score >= 0.9 and length(v.address) > 0 and length(w.address) > 0 and {norm_line('v.address')} <> {norm_line('w.address')}""")
+register("d08_similar_names", "vendor", lambda t, p: _r6(clustering.name_relationships(t, _alike(t))), f"""with {_NAMES}
+select v.id as vendor_id, b.left_name as name, b.right_name as other_name, count(*) as other_vendors, min(w.id) as first_vendor, 'similar_name' as relationship_type,
+       round(b.score / 100, 6) as confidence_score
+from pr b join vendor_v v on v.name_normalized = b.left_name join vendor_v w on w.name_normalized = b.right_name where b.left_name <> b.right_name group by 1, 2, 3, b.score""")
+register("d08_similar_name_alerts", "vendor", lambda t, p: clustering.similar_name_alerts(t, p, _alike(t)), f"""with {_NAMES}
+select 'vendor_cluster_name' as alert_type, 'medium' as severity, 'vendor' as entity_type, v.id as entity_id, min(w.id) as related_vendor_id, count(*) as related_vendors,
+       v.name as name_1, arg_min(w.name, w.id) as name_2, round(b.score / 100, 4) as similarity
+from pr b join vendor_v v on v.name_normalized = b.left_name join vendor_v w on w.name_normalized = b.right_name
+where b.left_name <> b.right_name and b.score >= 90 and length(v.address) > 0 and length(w.address) > 0 and {norm_line('v.address')} <> {norm_line('w.address')}
+group by v.id, v.name, b.right_name, b.score""")
 register("d09_sequential_ids", "vendor", lambda t, p: _r6(clustering.sequential_relationships(t, p).drop("evidence")), f"""with {_NAMES}
 select vendor_id_1, vendor_id_2, relationship_type, round(confidence_score, 6) as confidence_score, first_vendor from rel_seq""")
 register("d09_sequential_alerts", "vendor", lambda t, p: clustering.sequential_alerts(clustering.sequential_relationships(t, p)), f"""with {_NAMES}
 select 'vendor_cluster_sequential' as alert_type, 'low' as severity, 'vendor' as entity_type, first_vendor as entity_id,
        vendor_id_1 + vendor_id_2 - first_vendor as related_vendor_id, round(confidence_score, 4) as similarity from rel_seq where confidence_score >= 0.85""")
-register("d10_related_vendors", "vendor", lambda t, p: _r6(clustering.related_to(t, 8, _pairs(t), _members(t))), f"""with {MEMBERS}, {PAIRS},
+register("d10_related_vendors", "vendor", lambda t, p: _r6(clustering.related_to(t, 8, _pairs(t), _members(t), _alike(t))), f"""with {MEMBERS}, {PAIRS},
 r as (select vendor_id_2 as id, relationship_type, confidence_score from pairs where vendor_id_1 = 8 union all
       select vendor_id_1, relationship_type, confidence_score from pairs where vendor_id_2 = 8 union all
       select b.vendor_id, 'same_address', 0.8 from members a join members b on a.address = b.address where a.vendor_id = 8 and b.vendor_id <> 8)
@@ -101,9 +109,12 @@ select r.id, relationship_type, round(confidence_score::double, 6) as confidence
 
 register("d20_spending_edges", "payment contract vendor agency", lambda t, p: network.spending_edges(t), f"""with {EDGES}
 select vendor_id, agency_id, payment_count, payment_total::double as payment_total, contract_count, contract_value::double as contract_value from edges""")
-register("d20_vendor_links", "vendor", lambda t, p: network.vendor_links(_pairs(t), _members(t)).distinct(), f"""with {MEMBERS}, {PAIRS}
-select vendor_id_1 as src, vendor_id_2 as dst from pairs union
-select lo, vendor_id from (select *, min(vendor_id) over (partition by address) as lo from members) where vendor_id > lo""")
+register("d20_vendor_links", "vendor", lambda t, p: network.vendor_links(t, _pairs(t), _members(t), _alike(t)).distinct(), f"""with {MEMBERS}, {PAIRS},
+low as (select name_normalized as name, min(id) as lo from vendor_v where name_normalized in (select left_name from pr where left_name <> right_name) group by 1)
+select vendor_id_1 as src, vendor_id_2 as dst from rel_seq union
+select lo, vendor_id from (select *, min(vendor_id) over (partition by address) as lo from members) where vendor_id > lo union
+select lo, v.id from low join vendor_v v on v.name_normalized = low.name where v.id > lo union
+select a.lo, b.lo from pr join low a on a.name = left_name join low b on b.name = right_name where left_name < right_name""")
 _HUB = P.but(hub_sigmas=1.0)
 _HUB_SQL = f"""with {EDGES},
 deg as (select vendor_id, count(*) as d, sum(payment_total) as s from edges group by 1), st as (select avg(d) as m, stddev_pop(d::double) as sd from deg)
@@ -120,9 +131,9 @@ def _hub_agencies(t, p):
 register("d21_hub_agencies", "payment contract vendor agency", _hub_agencies, f"""with {EDGES},
 deg as (select vendor_id, count(*) as d from edges group by 1), st as (select avg(d) as m, stddev_pop(d::double) as sd from deg)
 select vendor_id, agency_id, payment_total::double as payment_total, place from (select e.*, row_number() over (partition by e.vendor_id
-  order by payment_total desc, agency_id) as place from edges e join deg using (vendor_id) cross join st where d > m + sd and d >= 10) where place <= 20""")
+  order by payment_total desc, agency_id) as place from edges e join deg using (vendor_id) cross join st where d > m + sd and d >= 10)""")
 register("d22_vendor_clusters", "payment contract vendor agency",
-         lambda t, p: network.vendor_clusters(t, p, network.spending_edges(t), _pairs(t), _members(t)), f"""with {MEMBERS}, {PAIRS}, {EDGES}, {LINKS}, {REACH},
+         lambda t, p: network.vendor_clusters(t, p, network.spending_edges(t), _pairs(t), _members(t), _alike(t)), f"""with {MEMBERS}, {PAIRS}, {EDGES}, {LINKS}, {REACH},
 sz as (select component, count(*) as n from label group by 1 having count(*) between 3 and 20),
 ag as (select l.component, sz.n, e.agency_id, count(*) as c, sum(payment_total) as s from label l join sz using (component) join edges e on e.vendor_id = l.vendor_id group by 1, 2, 3)
 select 'vendor_cluster' as alert_type, case when n >= 5 and sum(s) >= 1000000 then 'high' else 'medium' end as severity, 'vendor' as entity_type,
@@ -137,7 +148,7 @@ from (select agency_id, max(payment_total)::double as x, sum(payment_total)::dou
              first(vendor_id order by payment_total desc, vendor_id) as top from edges group by 1) g join agency_v a on a.id = g.agency_id
 where total >= 100000 and x / total >= 0.002""")
 register("d24_network_stats", "payment contract vendor agency",
-         lambda t, p: network.network_stats(t, network.spending_edges(t), _pairs(t), _members(t)), f"""with {MEMBERS}, {PAIRS}, {EDGES},
+         lambda t, p: network.network_stats(t, network.spending_edges(t), _pairs(t), _members(t), _alike(t)), f"""with {MEMBERS}, {PAIRS}, {EDGES},
 one_way as materialized (select vendor_id_1 as src, vendor_id_2 as dst from pairs union
   select m.vendor_id, n.vendor_id from members m join members n on n.address = m.address and m.vendor_id < n.vendor_id),
 both_kinds as (select src * 2 as src, dst * 2 as dst from one_way union all select vendor_id * 2, agency_id * 2 + 1 from edges),
@@ -157,12 +168,12 @@ select 'address_cluster' as alert_type, case when ps + cs > 1000000 then 'high'
        lo as entity_id, address, city, state, n as vendor_count, ps::double as total_payments, cs::double as total_contracts from {_RAW}""")
 register("d25_raw_address_vendors", "vendor payment contract", lambda t, p: crossref.raw_address_vendors(t, crossref.raw_address_clusters(t, p)), f"""
 select address, city, state, place, id, vendor_id, name from (select v.*, row_number() over (partition by v.address, v.city, v.state order by v.id) as place
-from vendor_v v join {_RAW} g on g.address = v.address and g.city = v.city and g.state = v.state) where place <= 10""")
+from vendor_v v join {_RAW} g on g.address = v.address and g.city = v.city and g.state = v.state)""")
 register("d26_employee_vendor_scan", "employee vendor", crossref.employee_vendor_scan, f"""with
 listed as (select * from vendor_v where in_cmbl or risk_score is not null),
 {names_cte('en', 'employee_v', 'name_normalized')}, {names_cte('vn', 'listed', 'name_normalized')}, {pairs_cte('pr', 'en', 'vn', 90)}
-select e.id as employee_id, v.id as vendor_id, round(score / 100, 4) as confidence, score >= 95 as alerting
-from pr join employee_v e on e.name_normalized = left_name join listed v on v.name_normalized = right_name""")
+select e.id as employee_id, min(v.id) as vendor_id, count(*) as vendors, round(score / 100, 4) as confidence, score >= 95 as alerting
+from pr join employee_v e on e.name_normalized = left_name join listed v on v.name_normalized = right_name group by e.id, right_name, score""")
 _GIFTS = """gifts as materialized (select contributor_normalized as name, sum(contribution_amount) as s, count(distinct filer_name) as r from contribution_v
   where contribution_amount >= 500 and contributor_normalized is not null group by 1 having sum(contribution_amount) >= 5000)"""
 _PLAY = f"""{_GIFTS}, {names_cte('gn', 'gifts', 'name')}, {names_cte('vn', 'vendor_v', 'name_normalized')}, {pairs_cte('pr', 'gn', 'vn', 90)}"""
@@ -175,23 +186,13 @@ select 'pay_to_play' as alert_type, case when (ps + cs)::double / s::double > 10
 register("d27_contribution_recipients", "contribution vendor payment contract",
          lambda t, p: crossref.contribution_recipients(t, p, crossref.pay_to_play(t, p)), f"""with {_PLAY}
 select name as contributor_name, filer_name, place from (select contributor_normalized as name, filer_name, row_number() over (partition by contributor_normalized order by filer_name) as place
-from (select distinct contributor_normalized, filer_name from contribution_v where contribution_amount >= 500 and contributor_normalized in (select left_name from pr))) where place <= 10""")
+from (select distinct contributor_normalized, filer_name from contribution_v where contribution_amount >= 500 and contributor_normalized in (select left_name from pr)))""")
 register("d28_unregistered_vendors", "vendor payment tax_permit", crossref.unregistered_vendors, f"""with
 sus as materialized (select v.id, v.name, v.name_normalized, sum(amount) as s from vendor_v v join payment_v p on p.vendor_id = v.id where not in_cmbl and state = 'TX'
   group by 1, 2, 3 having sum(amount) >= 10000),
 {names_cte('sn', 'sus', 'name_normalized')}, {names_cte('tn', 'tax_permit_v', 'taxpayer_normalized')}, {pairs_cte('pr', 'sn', 'tn', 90)}
 select 'ghost_vendor' as alert_type, case when s > 100000 then 'high' when s > 25000 then 'medium' else 'low' end as severity, 'vendor' as entity_type, id as entity_id,
        name as vendor_name, s::double as total_payments from sus where name_normalized not in (select left_name from pr)""")
-register("d29_entity_network", "vendor contract employee alert",
-         lambda t, p: crossref.entity_network(t, 8, None, t["alert"]), f"""with {names_cte('nm', 'vendor_v', 'name_normalized')},
-near as (select w.* from vendor_v v join vendor_v w on w.address = v.address and w.city = v.city and w.id <> v.id where v.id = 8)
-select 'same_address' as kind, id, name as label, null::double as score from near union all
-select 'similar_name', w.id, w.name, round({ratio_sql('a', 'b')}, 4) from vendor_v v join nm a on a.name = v.name_normalized cross join nm b join vendor_v w on w.name_normalized = b.name
-  where v.id = 8 and w.id <> 8 and {ratio_sql('a', 'b')} >= 85 and {ratio_sql('a', 'b')} < 100 union all
-select 'contract', id, contract_number, null from contract_v where vendor_id = 8 union all
-select 'risk', count(*), 'Shares address with ' || count(*) || ' other vendors', null from near having count(*) >= 2 union all
-select 'alert', id, upper(severity) || ': ' || title, null from alert_v where entity_type = 'vendor' and entity_id = 8""")
-
 _EMP = f"""{names_cte('en', 'employee_v', 'name_normalized')}, {names_cte('vn', 'vendor_v', 'name_normalized')}, {pairs_cte('be', 'en', 'vn', 90)},
 pd as materialized (select vendor_id, count(*) as n, sum(amount) as s, max(payment_date) as d from payment_v where vendor_id is not null group by 1 having sum(amount) <> 0),
 em as materialized (select e.id as employee_id, e.name as employee_name, min(h.id) as vendor_id, count(*) as vendors, be.score, sum(pd.n)::bigint as n, sum(pd.s) as s, max(pd.d) as d
@@ -212,8 +213,27 @@ select 'employee_vendor_address_match' as alert_type, 'high' as severity, 'emplo
 from es join vs on vs.address = es.address join (select vendor_id, count(*) as n, sum(amount) as s from payment_v group by 1 having sum(amount) <> 0) p on p.vendor_id = vs.id
 group by es.id, es.address""")
 
+
+def _entity_network(t, p):
+    matches = employee_match.entity_match_rows(employee_match.name_matches(t, p), employee_match.address_sides(t))
+    return crossref.entity_network(t, NETWORK_OF, matches, t["alert"]).withColumn("score", F.round("score", 4))
+
+
+NETWORK_OF = 8
+register("d29_entity_network", "vendor contract employee payment alert", _entity_network, f"""with {_EMP}, {_SIDES}, {names_cte('nm', 'vendor_v', 'name_normalized')},
+near as (select w.* from vendor_v v join vendor_v w on w.address = v.address and w.city = v.city and w.id <> v.id where v.id = {NETWORK_OF}),
+seat as (select address, min(id) as id from vs group by 1)
+select 'same_address' as kind, id, name as label, null::double as score from near union all
+select 'similar_name', w.id, w.name, round({ratio_sql('a', 'b')}, 4) from vendor_v v join nm a on a.name = v.name_normalized cross join nm b join vendor_v w on w.name_normalized = b.name
+  where v.id = {NETWORK_OF} and w.id <> {NETWORK_OF} and {ratio_sql('a', 'b')} >= 85 and {ratio_sql('a', 'b')} < 100 union all
+select 'contract', id, contract_number, null from contract_v where vendor_id = {NETWORK_OF} union all
+select 'risk', count(*), 'Shares address with ' || count(*) || ' other vendors', null from near having count(*) >= 2 union all
+select 'employee', employee_id, employee_name, round(score / 100, 4) from em where vendor_id = {NETWORK_OF} union all
+select 'employee', e.id, e.name, 0.85 from seat join es on es.address = seat.address join employee_v e on e.id = es.id where seat.id = {NETWORK_OF} union all
+select 'alert', id, upper(severity) || ': ' || title, null from alert_v where entity_type = 'vendor' and entity_id = {NETWORK_OF}""")
+
 register("d38_related_party_networks", "vendor payment entity_match",
-         lambda t, p: related.related_party_networks(t, p, _pairs(t), _members(t), t["entity_match"]), f"""with {MEMBERS}, {PAIRS},
+         lambda t, p: related.related_party_networks(t, p, _pairs(t), _members(t), t["entity_match"], _alike(t)), f"""with {MEMBERS}, {PAIRS},
 all_pairs as materialized (select vendor_id_1 as src, vendor_id_2 as dst, relationship_type as kind from pairs union all
   select m.vendor_id, n.vendor_id, 'same_address' from members m join members n on n.address = m.address and m.vendor_id < n.vendor_id union all
   select entity_id_1, entity_id_2, 'match ' || match_type from entity_match_v),
@@ -245,12 +265,15 @@ register("d39_triangle_recipients", "employee vendor payment contribution", lamb
 select vendor_id, filer_name, amount, place from (select v.id as vendor_id, filer_name, sum(contribution_amount)::double as amount,
   row_number() over (partition by v.id order by sum(contribution_amount) desc, filer_name) as place
   from paidv v join bc on bc.left_name = v.name_normalized join contribution_v c on c.contributor_normalized = bc.right_name
-  where v.id in (select vendor_id from tri join rich using (vendor_id)) group by 1, 2) where place <= 10""")
+  where v.id in (select vendor_id from tri join rich using (vendor_id)) group by 1, 2)""")
 register("d40_circular_patterns", "vendor payment contract agency",
-         lambda t, p: related.circular_patterns(t, p, network.spending_edges(t), _pairs(t), _members(t)), f"""with {MEMBERS}, {PAIRS}, {EDGES},
+         lambda t, p: related.circular_patterns(t, p, network.spending_edges(t), _pairs(t), _members(t), _alike(t)), f"""with {MEMBERS}, {PAIRS}, {EDGES},
 pe as (select vendor_id, agency_id, payment_total as s from edges where payment_count > 0),
-x as (select p.vendor_id_1 as entity_id, p.vendor_id_2 as related_vendor_id, relationship_type, count(*) as c, sum(a.s) as t1, sum(b.s) as t2 from pairs p
+x as (select p.vendor_id_1 as entity_id, p.vendor_id_2 as related_vendor_id, relationship_type, count(*) as c, sum(a.s) as t1, sum(b.s) as t2 from rel_seq p
   join pe a on a.vendor_id = p.vendor_id_1 join pe b on b.vendor_id = p.vendor_id_2 and b.agency_id = a.agency_id where confidence_score >= 0.7 group by 1, 2, 3
+  union all select id, min(lo), 'similar_name', count(*), sum(s), sum(o) from (
+    select v.id, n.right_name, a.agency_id, a.s, min(w.id) as lo, sum(b.s) as o from pr n join vendor_v v on v.name_normalized = n.left_name join vendor_v w on w.name_normalized = n.right_name
+    join pe a on a.vendor_id = v.id join pe b on b.vendor_id = w.id and b.agency_id = a.agency_id where n.left_name <> n.right_name group by 1, 2, 3, 4) group by id, right_name
   union all select vendor_id, null, 'same_address', count(*), sum(s), sum(o) from (
     select m.vendor_id, m.address, a.agency_id, a.s, sum(b.s) as o from members m join pe a on a.vendor_id = m.vendor_id
     join members n on n.address = m.address and n.vendor_id <> m.vendor_id join pe b on b.vendor_id = n.vendor_id and b.agency_id = a.agency_id group by 1, 2, 3, 4) group by 1, address)
@@ -273,7 +296,7 @@ select 'debarred_vendor' as alert_type, case when match_type = 'exact_name' or s
        'vendor' as entity_type, vendor_id as entity_id, match_type, matched, exclusion_id, exclusions, round(score, 4) as match_score, s::double as total_payments from allm""")
 register("d41_largest_payments", "vendor payment debarred", lambda t, p: screening.largest_payments(t, screening.debarred_vendors(t, p)), f"""with {_SCREEN}
 select vendor_id, place, id, amount::double as amount, payment_date, agency_id from (select p.*, row_number() over (partition by vendor_id order by amount desc, id) as place
-from payment_v p where vendor_id in (select vendor_id from allm)) where place <= 5""")
+from payment_v p where vendor_id in (select vendor_id from allm))""")
 
 
 def _screen_sql(name_sql: str, cutoff: float) -> str:

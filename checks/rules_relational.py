@@ -38,7 +38,7 @@ register("d02_contract_splitting_small", "contract vendor agency", lambda t, p:
          _split_sql(5000, 25000, "1997-08-20", "case when g.cv < 0.1 and g.n >= 5 then 'high' else 'medium' end"))
 register("d01_splitting_contracts", "contract vendor agency",
          lambda t, p: splitting.splitting_contracts(t, _WIDE, splitting.contract_splitting(t, _WIDE), 20000, 50000), """
-select vendor_id, agency_id, contract_number, cast(current_value as double) as current_value, start_date, left(description, 100) as description
+select vendor_id, agency_id, contract_number, cast(current_value as double) as current_value, start_date, description
 from (select *, count(*) over (partition by vendor_id, agency_id) as n from contract_v
       where current_value between 20000 and 50000 and start_date >= date '1998-08-15' and vendor_id is not null) where n >= 3""")
 register("d03_splitting_candidates", "contract vendor", lambda t, p: splitting.splitting_candidates(t, 2, 50000, 30000), """
@@ -201,4 +201,4 @@ select agency_id, fiscal_year, vendor_id, amount, place from (
   select p.agency_id, g.f as fiscal_year, p.vendor_id, sum(p.amount)::double as amount,
          row_number() over (partition by p.agency_id, g.f order by sum(p.amount) desc, p.vendor_id) as place
   from payment_v p join {_LAST} g on g.agency_id = p.agency_id and g.f = {fy('p.payment_date')}
-  where month(payment_date) = 8 and day(payment_date) >= 27 and vendor_id is not null group by 1, 2, 3) where place <= 10""")
+  where month(payment_date) = 8 and day(payment_date) >= 27 and vendor_id is not null group by 1, 2, 3)""")

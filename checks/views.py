@@ -151,7 +151,7 @@ from {lineitem}
 VIEWS["pia_request"] = """
 select o_orderkey as id, o_orderkey % 25 as agency_id, concat('Request ', cast(o_orderkey as string)) as subject,
        case when o_orderstatus = 'O' then 'draft' when o_orderstatus = 'P' then 'pending' else 'received' end as status,
-       cast(o_orderdate as date) as submitted_date, cast(o_orderdate as date) + 14 as due_date
+       cast(o_orderdate as date) as submitted_date, cast(o_orderdate as date) + 14 as due_date, o_orderkey as related_alert_id
 from {orders}
 """
 

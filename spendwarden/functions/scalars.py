@@ -114,3 +114,8 @@ def severity(default: str, *cases: tuple[str, Column]) -> Column:
     for name, cond in reversed(cases):
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
     return F.lit(default) if expr is None else expr.otherwise(default)
+
+
+def first_places(ranked, k: int | None):
+    """The rows of a ranked table with place up to k; all of them where k is None."""
+    return ranked if k is None else ranked.where(F.col("place") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_vendor_name
-from ..functions.scalars import clip, initials_code
+from ..functions.scalars import initials_code
 
 
 def surrogate_id(*cols):
@@ -48,7 +48,7 @@ def _agency_keys(rows: DataFrame, by_code: bool) -> DataFrame:
     made = initials_code(name)
     if by_code and "agency_code" in rows.columns:
         made = F.coalesce(F.nullif(F.trim("agency_code"), F.lit("")), made)
-    return rows.withColumn("_name", name).withColumn("_code", F.when(name.isNotNull(), clip(made, 20)))
+    return rows.withColumn("_name", name).withColumn("_code", F.when(name.isNotNull(), made))
 
 
 def link_agencies(rows: DataFrame, agencies: DataFrame, by_code: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """Vendors that may be one party: same address, similar name, neighbouring ids.
 
-Shared addresses are kept as membership rows (address, vendor), never as all pairs of an address. Where pair-shaped
-rows are wanted, each member is tied to the lowest vendor id of its address.
+Shared addresses are kept as membership rows (address, vendor), similar names as rows (name, other name): vendors belong to
+a name by their cleaned name. Neither is ever spread to all pairs of vendors. A vendor is judged against all vendors of an
+address or of a similar name at once, and where edges are wanted the members of a group are tied to its lowest vendor id.
 """
 
 from __future__ import annotations
@@ -65,39 +66,63 @@ def address_relationships(members: DataFrame) -> DataFrame:
         F.lit(0.8).alias("confidence_score"), F.to_json(F.struct("address")).alias("evidence"))
 
 
-def name_relationships(t: dict, p: Params) -> DataFrame:
-    """Pairs of vendors with similar, not equal, names.
+def similar_names(t: dict, p: Params) -> DataFrame:
+    """(name, other_name, confidence_score): every pair of similar, not equal, vendor names, in both directions."""
+    named = t["vendor"].select("name_normalized")
+    near = fuzzy_pairs(named, "name_normalized", named, "name_normalized", int(p.vendor_name_similarity * 100)).where("left_name <> right_name")
+    return near.select(F.col("left_name").alias("name"), F.col("right_name").alias("other_name"), (F.col("score") / 100).alias("confidence_score"))
 
-    A vendor is tied to the lowest vendor id of each similar name. Where names have one vendor each these are all
-    pairs; where many vendors share a name, all of them are still linked, without a row for every pair of them.
+
+def _named(t: dict) -> DataFrame:
+    return t["vendor"].where(F.col("name_normalized").isNotNull()).select(F.col("id").alias("vendor_id"), F.col("name_normalized").alias("name"))
+
+
+def name_relationships(t: dict, names: DataFrame) -> DataFrame:
+    """A row per vendor and similar name, with how many vendors have that name and the lowest id of theirs."""
+    mine = _named(t)
+    group = mine.groupBy(F.col("name").alias("other_name")).agg(F.count("*").alias("other_vendors"), F.min("vendor_id").alias("first_vendor"))
+    return names.join(group, "other_name").join(mine, "name").select(
+        "vendor_id", "name", "other_name", "other_vendors", "first_vendor", F.lit("similar_name").alias("relationship_type"), "confidence_score")
+
+
+def name_links(t: dict, names: DataFrame) -> DataFrame:
+    """(src, dst) edges that join the vendors of every two similar names: each name's vendors to its lowest id, and these ids."""
+    mine = _named(t).join(names.select("name").distinct(), "name", "left_semi")
+    low = mine.groupBy("name").agg(F.min("vendor_id").alias("src"))
+    within = mine.join(low, "name").where("vendor_id <> src").select("src", F.col("vendor_id").alias("dst"))
+    across = names.where("name < other_name").join(low, "name").join(low.select(F.col("name").alias("other_name"), F.col("src").alias("dst")), "other_name")
+    return within.unionByName(across.select("src", "dst"))
+
+
+def name_pair_counts(t: dict, names: DataFrame) -> DataFrame:
+    """(vendor_id, n): pairs of vendors with similar names, counted at the lowest vendor id of the name first in order."""
+    size = _named(t).groupBy("name").agg(F.count("*").alias("n"), F.min("vendor_id").alias("vendor_id"))
+    other = size.select(F.col("name").alias("other_name"), F.col("n").alias("m"))
+    return names.where("name < other_name").join(size, "name").join(other, "other_name").groupBy("vendor_id").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
+def similar_name_alerts(t: dict, p: Params, names: DataFrame) -> DataFrame:
+    """Nearly equal names at different addresses: a row per vendor and similar name with vendors elsewhere.
+
+    A name's vendors are counted per address first, so a vendor meets addresses and not vendors.
     """
-    named = t["vendor"].where(F.col("name_normalized").isNotNull()).select(F.col("id"), "name_normalized")
-    cutoff = int(p.vendor_name_similarity * 100)
-    near = fuzzy_pairs(named, "name_normalized", named, "name_normalized", cutoff).where("left_name <> right_name")
-    lowest = named.groupBy(F.col("name_normalized").alias("right_name")).agg(F.min("id").alias("low"))
-    mine = named.select("id", F.col("name_normalized").alias("left_name"))
-    first = F.col("id") < F.col("low")
-    names = F.struct(F.when(first, F.col("left_name")).otherwise(F.col("right_name")).alias("name1"),
-                     F.when(first, F.col("right_name")).otherwise(F.col("left_name")).alias("name2"))
-    return near.join(lowest, "right_name").join(mine, "left_name").select(
-        F.least("id", "low").alias("vendor_id_1"), F.greatest("id", "low").alias("vendor_id_2"), F.lit("similar_name").alias("relationship_type"),
-        (F.col("score") / 100).alias("confidence_score"), F.to_json(names).alias("evidence")).distinct()
-
-
-def similar_name_alerts(t: dict, p: Params, relationships: DataFrame) -> DataFrame:
-    """Nearly equal names at different addresses."""
-    close = relationships.where((F.col("relationship_type") == "similar_name") & (F.col("confidence_score") >= 0.9))
-
-    def side(n: int) -> DataFrame:
-        a = F.col("address")
-        return t["vendor"].where(F.length(a) > 0).select(
-            F.col("id").alias(f"vendor_id_{n}"), F.col("name").alias(f"name_{n}"), parse_full_address(a)["normalized"].alias(f"at_{n}"))
-
-    both = close.join(side(1), "vendor_id_1").join(side(2), "vendor_id_2").where("at_1 <> at_2")
-    return both.select(
+    close = names.where(F.col("confidence_score") >= 0.9)
+    at = parse_full_address(F.col("address"))["normalized"]
+    placed = cut(t["vendor"].where((F.length("address") > 0) & F.col("name_normalized").isNotNull()).select(
+        F.col("id").alias("vendor_id"), F.col("name").alias("spelled"), F.col("name_normalized").alias("name"), at.alias("at")).where(F.col("at").isNotNull()))
+    who = F.struct("vendor_id", "spelled", "at")
+    there = placed.groupBy(F.col("name").alias("other_name"), "at").agg(F.count("*").alias("n"), F.min(who).alias("low"))
+    total = there.groupBy("other_name").agg(F.sum("n").alias("total"), F.min("low").alias("first"))
+    # the lowest id away from the first one's address, for vendors that share that address
+    second = there.join(total, "other_name").where(F.col("at") != F.col("first.at")).groupBy("other_name").agg(F.min("low").alias("second"))
+    groups = total.join(second, "other_name", "left")
+    both = placed.join(close, "name").join(groups, "other_name").join(there.select("other_name", "at", "n"), ["other_name", "at"], "left")
+    here = F.coalesce("n", F.lit(0))
+    other = F.when(F.col("first.at") == F.col("at"), F.col("second")).otherwise(F.col("first"))
+    return both.where(F.col("total") > here).select(
         F.lit("vendor_cluster_name").alias("alert_type"), F.lit("medium").alias("severity"), F.lit("vendor").alias("entity_type"),
-        F.col("vendor_id_1").alias("entity_id"), F.col("vendor_id_2").alias("related_vendor_id"), "name_1", "name_2",
-        F.round("confidence_score", 4).alias("similarity"))
+        F.col("vendor_id").alias("entity_id"), other["vendor_id"].alias("related_vendor_id"), (F.col("total") - here).alias("related_vendors"),
+        F.col("spelled").alias("name_1"), other["spelled"].alias("name_2"), F.round("confidence_score", 4).alias("similarity"))
 
 
 def sequential_relationships(t: dict, p: Params) -> DataFrame:
@@ -122,18 +147,16 @@ def sequential_alerts(relationships: DataFrame) -> DataFrame:
         F.round("confidence_score", 4).alias("similarity"))
 
 
-def pair_relationships(t: dict, p: Params) -> DataFrame:
-    """Similar-name and neighbouring-id pairs in one table."""
-    return name_relationships(t, p).unionByName(sequential_relationships(t, p).drop("first_vendor"))
-
-
-def related_to(t: dict, vendor_id: int, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All vendors related to one vendor, whatever side of the pair it stands on."""
+def related_to(t: dict, vendor_id: int, pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
+    """All vendors related to one vendor: neighbouring ids on either side of a pair, similar names, the same address."""
     me = F.lit(vendor_id)
     out = pairs.where(F.col("vendor_id_1") == me).select(F.col("vendor_id_2").alias("id"), "relationship_type", "confidence_score")
     back = pairs.where(F.col("vendor_id_2") == me).select(F.col("vendor_id_1").alias("id"), "relationship_type", "confidence_score")
+    mine = _named(t).where(F.col("vendor_id") == me).select("name")
+    close = names.join(mine, "name", "left_semi").select(F.col("other_name").alias("name"), "confidence_score")
+    alike = _named(t).join(close, "name").select(F.col("vendor_id").alias("id"), F.lit("similar_name").alias("relationship_type"), "confidence_score")
     home = members.where(F.col("vendor_id") == me).select("address")
     there = members.join(home, "address", "left_semi").where(F.col("vendor_id") != me).select(
         F.col("vendor_id").alias("id"), F.lit("same_address").alias("relationship_type"), F.lit(0.8).alias("confidence_score"))
     v = t["vendor"].select("id", F.col("vendor_id").alias("vendor_vid"), "name")
-    return out.unionByName(back).unionByName(there).join(v, "id")
+    return out.unionByName(back).unionByName(alike).unionByName(there).join(v, "id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_vendor_name
-from ..functions.scalars import severity, share
+from ..functions.scalars import first_places, severity, share
 from ..functions.similarity import possible, ratio
 from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
@@ -43,22 +43,26 @@ def raw_address_clusters(t: dict, p: Params, open_alerts: DataFrame | None = Non
         "total_payments", "total_contracts")
 
 
-def raw_address_vendors(t: dict, findings: DataFrame, k: int = 10) -> DataFrame:
-    """The first k vendors of each clustered address."""
+def raw_address_vendors(t: dict, findings: DataFrame, k: int | None = None) -> DataFrame:
+    """The vendors of each clustered address by id, all or the first k."""
     f = findings.select(F.col("address").alias("a"), F.col("city").alias("c"), F.col("state").alias("s"))
     v = t["vendor"]
     at = v.join(f, (v["address"] == f["a"]) & (v["city"] == f["c"]) & v["state"].eqNullSafe(f["s"]), "left_semi")
     w = Window.partitionBy("address", "city", "state").orderBy("id")
-    return at.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("address", "city", "state", "place", "id", "vendor_id", "name")
+    return first_places(at.withColumn("place", F.row_number().over(w)), k).select("address", "city", "state", "place", "id", "vendor_id", "name")
 
 
 def employee_vendor_scan(t: dict, p: Params) -> DataFrame:
-    """Older employee check: listed or scored vendors, all matches; an alert from 95 percent."""
+    """Older employee check: listed or scored vendors, all matches; an alert from 95 percent.
+
+    All such vendors of one name are one row per employee: their number and the lowest of their ids.
+    """
     v = t["vendor"].where(F.col("in_cmbl") | F.col("risk_score").isNotNull()).select(F.col("id").alias("vendor_id"), _key().alias("right_name"))
     e = t["employee"].select(F.col("id").alias("employee_id"), _key().alias("left_name"))
     near = fuzzy_pairs(e, "left_name", v, "right_name", p.name_match_threshold)
-    return e.join(near, "left_name").join(v, "right_name").select(
-        "employee_id", "vendor_id", F.round(F.col("score") / 100, 4).alias("confidence"), (F.col("score") >= 95).alias("alerting"))
+    holder = v.groupBy("right_name").agg(F.min("vendor_id").alias("vendor_id"), F.count("*").alias("vendors"))
+    return e.join(near, "left_name").join(holder, "right_name").select(
+        "employee_id", "vendor_id", "vendors", F.round(F.col("score") / 100, 4).alias("confidence"), (F.col("score") >= 95).alias("alerting"))
 
 
 def pay_to_play(t: dict, p: Params) -> DataFrame:
@@ -85,13 +89,13 @@ def pay_to_play(t: dict, p: Params) -> DataFrame:
     )
 
 
-def contribution_recipients(t: dict, p: Params, findings: DataFrame, k: int = 10) -> DataFrame:
-    """The recipients of each flagged contributor, the first k by name."""
+def contribution_recipients(t: dict, p: Params, findings: DataFrame, k: int | None = None) -> DataFrame:
+    """The recipients of each flagged contributor by name, all or the first k."""
     g = t["contribution"].where(F.col("contribution_amount") >= p.min_single_contribution).select(
         F.col("contributor_normalized").alias("contributor_name"), "filer_name").distinct()
     w = Window.partitionBy("contributor_name").orderBy("filer_name")
     of = g.join(findings.select("contributor_name").distinct(), "contributor_name", "left_semi")
-    return of.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return first_places(of.withColumn("place", F.row_number().over(w)), k)
 
 
 def unregistered_vendors(t: dict, p: Params) -> DataFrame:
@@ -104,10 +108,9 @@ def unregistered_vendors(t: dict, p: Params) -> DataFrame:
     total = F.col("total_payments")
     shape = [F.lit("ghost_vendor").alias("alert_type"), severity("low", ("medium", total > 25000), ("high", total > 100000)).alias("severity"),
              F.lit("vendor").alias("entity_type"), F.col("vendor_id").alias("entity_id"), "vendor_name", "total_payments"]
-    if permits.isEmpty():
-        return suspects.limit(0).select(*shape)
     hits = fuzzy_pairs(suspects, "left_name", permits, "taxpayer_normalized", 90).select("left_name").distinct()
-    return suspects.join(hits, "left_name", "left_anti").select(*shape)
+    some = permits.limit(1).agg(F.count("*").alias("n")).scalar()  # without any permit on file nobody is flagged
+    return suspects.join(hits, "left_name", "left_anti").where(some > 0).select(*shape)
 
 
 def entity_network(t: dict, vendor_id: int, entity_matches: DataFrame | None = None, alerts: DataFrame | None = None) -> DataFrame:

@@ -34,8 +34,7 @@ def exact_duplicate_payments(t: dict, findings: DataFrame) -> DataFrame:
     pay = t["payment"]
     f = findings.select(F.col("entity_id").alias("f_vendor"), F.col("amount").alias("f_amount"), F.col("payment_date").alias("f_date"))
     cond = (pay["vendor_id"] == f["f_vendor"]) & (pay["amount"] == f["f_amount"]) & pay["payment_date"].eqNullSafe(f["f_date"])
-    return pay.join(f, cond, "left_semi").select("vendor_id", "amount", "payment_date", "id", "agency_id",
-                                                 F.left("description", F.lit(100)).alias("description"), "source_system")
+    return pay.join(f, cond, "left_semi").select("vendor_id", "amount", "payment_date", "id", "agency_id", "description", "source_system")
 
 
 def _chained_days(t: dict, p: Params) -> DataFrame:

@@ -39,7 +39,7 @@ class Shared:
 
     @property
     def names(self) -> DataFrame:
-        return self._once("names", lambda: clustering.name_relationships(self.t, self.p))
+        return self._once("names", lambda: clustering.similar_names(self.t, self.p))
 
     @property
     def sequential(self) -> DataFrame:
@@ -47,7 +47,7 @@ class Shared:
 
     @property
     def pairs(self) -> DataFrame:
-        return self.names.unionByName(self.sequential.drop("first_vendor"))
+        return self.sequential.drop("first_vendor")
 
     @property
     def edges(self) -> DataFrame:
@@ -74,7 +74,7 @@ def rules(s: Shared) -> dict[str, Callable[[], list[DataFrame]]]:
     t, p = s.t, s.p
 
     def network_rules() -> list[DataFrame]:
-        return [network.hub_vendors(t, p, s.edges), network.vendor_clusters(t, p, s.edges, s.pairs, s.members), network.exclusive_relationships(t, p, s.edges)]
+        return [network.hub_vendors(t, p, s.edges), network.vendor_clusters(t, p, s.edges, s.pairs, s.members, s.names), network.exclusive_relationships(t, p, s.edges)]
 
     return {
         "contract_splitting": lambda: [splitting.contract_splitting(t, p), splitting.contract_splitting_small(t, p)],
@@ -88,9 +88,9 @@ def rules(s: Shared) -> dict[str, Callable[[], list[DataFrame]]]:
         "employee_vendor": lambda: [employee_match.name_alerts(s.employee_names), employee_match.address_alerts(t, s.sides)],
         "ghost_vendors": lambda: [ghost.ghost_vendors(t, p), ghost.incomplete_addresses(t, p), ghost.suspicious_addresses(t, p)],
         "fiscal_year_rush": lambda: [fiscal.spending_rush(t, p), fiscal.vendor_year_end(t, p), fiscal.year_end_clusters(t, p)],
-        "related_party": lambda: [related.related_party_networks(t, p, s.pairs, s.members, s.matches),
+        "related_party": lambda: [related.related_party_networks(t, p, s.pairs, s.members, s.matches, s.names),
                                   related.contributor_triangles(t, p, s.employee_names, s.sides),
-                                  related.circular_patterns(t, p, s.edges, s.pairs, s.members)],
+                                  related.circular_patterns(t, p, s.edges, s.pairs, s.members, s.names)],
         "debarment": lambda: [screening.debarred_vendors(t, p)],
     }
 

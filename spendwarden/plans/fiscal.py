@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fiscal_year_of, severity, share, state_fiscal_year
+from ..functions.scalars import first_places, fiscal_year_of, severity, share, state_fiscal_year
 from ..params import Params
 
 
@@ -77,10 +77,10 @@ def year_end_clusters(t: dict, p: Params) -> DataFrame:
         "final_days_total", "payment_count", "vendor_count")
 
 
-def year_end_top_vendors(t: dict, p: Params, k: int = 10) -> DataFrame:
-    """The k vendors paid most in those days, per agency and year with a finding."""
+def year_end_top_vendors(t: dict, p: Params, k: int | None = None) -> DataFrame:
+    """The vendors paid in those days by amount, per agency and year with a finding, all or the first k."""
     per = _last_days(t, p).where(F.col("vendor_id").isNotNull()).groupBy("agency_id", "fiscal_year", "vendor_id").agg(F.sum("amount").alias("amount"))
     w = Window.partitionBy("agency_id", "fiscal_year").orderBy(F.desc("amount"), "vendor_id")
     found = year_end_clusters(t, p).select(F.col("entity_id").alias("agency_id"), "fiscal_year")
-    top = per.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    top = first_places(per.withColumn("place", F.row_number().over(w)), k)
     return top.join(found, ["agency_id", "fiscal_year"], "left_semi")

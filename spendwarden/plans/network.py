@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import severity, share
+from ..functions.scalars import first_places, severity, share
 from ..operators.components import connected_components
 from ..params import Params
+from .clustering import name_links, name_pair_counts
 
 
 def spending_edges(t: dict) -> DataFrame:
@@ -28,11 +29,12 @@ def spending_edges(t: dict) -> DataFrame:
     )
 
 
-def vendor_links(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Vendor to vendor edges that span the same components as all pairs: pairs, and a star per address."""
+def vendor_links(t: dict, pairs: DataFrame, members: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Vendor to vendor edges that span the same components as all pairs: pairs, a star per address, a star per similar name."""
     star = members.groupBy("address").agg(F.min("vendor_id").alias("src"))
-    return pairs.select(F.col("vendor_id_1").alias("src"), F.col("vendor_id_2").alias("dst")).unionByName(
+    links = pairs.select(F.col("vendor_id_1").alias("src"), F.col("vendor_id_2").alias("dst")).unionByName(
         members.join(star, "address").where("vendor_id <> src").select("src", F.col("vendor_id").alias("dst")))
+    return links if names is None else links.unionByName(name_links(t, names))
 
 
 def hub_vendors(t: dict, p: Params, edges: DataFrame) -> DataFrame:
@@ -48,16 +50,16 @@ def hub_vendors(t: dict, p: Params, edges: DataFrame) -> DataFrame:
         F.lit("vendor").alias("entity_type"), F.col("vendor_id").alias("entity_id"), "vendor_name", "agency_count", "total_value")
 
 
-def hub_agencies(edges: DataFrame, hubs: DataFrame, k: int = 20) -> DataFrame:
-    """The k agencies that pay a hub most."""
+def hub_agencies(edges: DataFrame, hubs: DataFrame, k: int | None = None) -> DataFrame:
+    """The agencies of each hub by what they pay, all or the first k."""
     w = Window.partitionBy("vendor_id").orderBy(F.desc("payment_total"), "agency_id")
     of = edges.join(hubs.select(F.col("entity_id").alias("vendor_id")), "vendor_id", "left_semi")
-    return of.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return first_places(of.withColumn("place", F.row_number().over(w)), k)
 
 
-def vendor_clusters(t: dict, p: Params, edges: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+def vendor_clusters(t: dict, p: Params, edges: DataFrame, pairs: DataFrame, members: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Small groups of linked vendors that share an agency."""
-    label = connected_components(vendor_links(pairs, members)).withColumnRenamed("node", "vendor_id")
+    label = connected_components(vendor_links(t, pairs, members, names)).withColumnRenamed("node", "vendor_id")
     sized = label.groupBy("component").agg(F.count("*").alias("vendor_count")).where(
         F.col("vendor_count").between(p.cluster_min_size, p.cluster_max_size))
     shared = (
@@ -88,31 +90,40 @@ def exclusive_relationships(t: dict, p: Params, edges: DataFrame) -> DataFrame:
         "vendor_count", F.round(part * 100, 1).alias("top_vendor_share"))
 
 
-def linked_pair_count(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct linked vendor pairs: address pairs by formula, other pairs where the two share no address."""
+def linked_pair_count(t: dict, pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct linked vendor pairs, counted by group: pairs of an address, pairs of similar names elsewhere, other pairs."""
     per = members.groupBy("address").agg(F.count("*").alias("n"))
     by_address = per.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("pairs"))
-    m1 = members.select(F.col("vendor_id").alias("vendor_id_1"), F.col("address").alias("a1"))
-    m2 = members.select(F.col("vendor_id").alias("vendor_id_2"), F.col("address").alias("a2"))
-    other = pairs.select("vendor_id_1", "vendor_id_2").distinct().join(m1, "vendor_id_1", "left").join(m2, "vendor_id_2", "left")
-    rest = other.where(~F.coalesce(F.col("a1") == F.col("a2"), F.lit(False))).agg(F.count("*").alias("pairs"))
-    return by_address.unionByName(rest).agg(F.sum("pairs").alias("pairs"))
+    by_name = name_pair_counts(t, names).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    v = t["vendor"].select(F.col("id").alias("vendor_id"), F.col("name_normalized").alias("name"))
+    here = members.select("address", "vendor_id").join(v, "vendor_id").groupBy("address", "name").agg(F.count("*").alias("n"))
+    twice = here.join(names.where("name < other_name"), "name").join(
+        here.select("address", F.col("name").alias("other_name"), F.col("n").alias("m")), ["address", "other_name"]).agg(
+        F.coalesce(-F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("pairs"))
 
+    def side(n: int) -> DataFrame:
+        return v.join(members.select("vendor_id", "address"), "vendor_id", "left").select(
+            F.col("vendor_id").alias(f"vendor_id_{n}"), F.col("name").alias("name" if n == 1 else "other_name"), F.col("address").alias(f"a{n}"))
 
-def network_stats(t: dict, edges: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    other = pairs.select("vendor_id_1", "vendor_id_2").distinct().join(side(1), "vendor_id_1", "left").join(side(2), "vendor_id_2", "left")
+    rest = other.where(~F.coalesce(F.col("a1") == F.col("a2"), F.lit(False))).join(names, ["name", "other_name"], "left_anti").agg(F.count("*").alias("pairs"))
+    return by_address.unionByName(by_name).unionByName(twice).unionByName(rest).agg(F.sum("pairs").alias("pairs"))
+
+
+def network_stats(t: dict, edges: DataFrame, pairs: DataFrame, members: DataFrame, names: DataFrame) -> DataFrame:
     """One row: nodes, edges, mean degrees and number of connected parts, lone nodes included."""
     vendors, agencies = t["vendor"].select("id"), t["agency"].select("id")
     def node(kind: str, c: str):
         return F.concat(F.lit(kind), F.col(c).cast("string"))
 
-    links = vendor_links(pairs, members).select(node("v", "src").alias("src"), node("v", "dst").alias("dst")).unionByName(
+    links = vendor_links(t, pairs, members, names).select(node("v", "src").alias("src"), node("v", "dst").alias("dst")).unionByName(
         edges.select(node("v", "vendor_id").alias("src"), node("a", "agency_id").alias("dst")))
     parts = connected_components(links)
     one = [
         vendors.agg(F.count("*").alias("n")).select(F.lit("vendors").alias("k"), "n"),
         agencies.agg(F.count("*").alias("n")).select(F.lit("agencies").alias("k"), "n"),
         edges.agg(F.count("*").alias("n")).select(F.lit("spend").alias("k"), "n"),
-        linked_pair_count(pairs, members).select(F.lit("links").alias("k"), F.col("pairs").cast("bigint").alias("n")),
+        linked_pair_count(t, pairs, members, names).select(F.lit("links").alias("k"), F.col("pairs").cast("bigint").alias("n")),
         parts.agg(F.count("*").alias("n")).select(F.lit("touched").alias("k"), "n"),
         parts.agg(F.count_distinct("component").alias("n")).select(F.lit("parts").alias("k"), "n"),
     ]

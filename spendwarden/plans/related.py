@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import severity
+from ..functions.scalars import first_places, severity
 from ..operators.components import connected_components
 from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
 from ..session import cut
+from .clustering import name_pair_counts
 from .network import vendor_links
 
 _D = "decimal(38,2)"
 
 
-def related_party_networks(t: dict, p: Params, pairs: DataFrame, members: DataFrame, matches: DataFrame) -> DataFrame:
+def related_party_networks(t: dict, p: Params, pairs: DataFrame, members: DataFrame, matches: DataFrame, names: DataFrame) -> DataFrame:
     """Linked vendors, three or more, paid a lot together. matches: vendor to vendor entity matches."""
     vv = matches.where((F.col("entity_type_1") == "vendor") & (F.col("entity_type_2") == "vendor"))
     extra = vv.select(F.col("entity_id_1").alias("src"), F.col("entity_id_2").alias("dst"))
-    label = connected_components(vendor_links(pairs, members).unionByName(extra)).withColumnRenamed("node", "vendor_id")
+    label = connected_components(vendor_links(t, pairs, members, names).unionByName(extra)).withColumnRenamed("node", "vendor_id")
     paid = t["payment"].where(F.col("vendor_id").isNotNull()).groupBy("vendor_id").agg(F.sum("amount").alias("paid"))
     per = (
         label.join(paid, "vendor_id", "left").groupBy("component")
@@ -30,6 +31,7 @@ def related_party_networks(t: dict, p: Params, pairs: DataFrame, members: DataFr
     kinds = (
         pairs.select(F.col("vendor_id_1").alias("vendor_id"), F.col("relationship_type").alias("kind"), F.lit(1).cast("bigint").alias("n"))
         .unionByName(at.select("vendor_id", F.lit("same_address").alias("kind"), F.expr("n * (n - 1) div 2").alias("n")))
+        .unionByName(name_pair_counts(t, names).select("vendor_id", F.lit("similar_name").alias("kind"), "n"))
         .unionByName(vv.select(F.col("entity_id_1").alias("vendor_id"), F.concat(F.lit("match "), "match_type").alias("kind"), F.lit(1).cast("bigint").alias("n")))
         .groupBy("vendor_id", "kind").agg(F.sum("n").alias("n")).join(label, "vendor_id")
         .groupBy("component", "kind").agg(F.sum("n").alias("n"))
@@ -78,8 +80,8 @@ def contributor_triangles(t: dict, p: Params, name_matches: DataFrame, address_m
         "vendor_payments", "payment_count", "contribution_count", "total_contributions")
 
 
-def triangle_recipients(t: dict, p: Params, triangles: DataFrame, k: int = 10) -> DataFrame:
-    """Who received the contributions of each vendor in a triangle, top k."""
+def triangle_recipients(t: dict, p: Params, triangles: DataFrame, k: int | None = None) -> DataFrame:
+    """Who received the contributions of each vendor in a triangle by amount, all or the first k."""
     names = t["vendor"].join(triangles.select(F.col("vendor_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("vendor_id"), "name_normalized")
     gifts = t["contribution"].where(F.length("contributor_normalized") > 0)
     near = fuzzy_pairs(names, "name_normalized", gifts, "contributor_normalized", p.triangle_similarity * 100)
@@ -87,14 +89,15 @@ def triangle_recipients(t: dict, p: Params, triangles: DataFrame, k: int = 10) -
     total = names.join(near.withColumnRenamed("left_name", "name_normalized"), "name_normalized").join(per, "right_name").groupBy(
         "vendor_id", "filer_name").agg(F.sum("amount").alias("amount"))
     w = Window.partitionBy("vendor_id").orderBy(F.desc("amount"), "filer_name")
-    return total.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return first_places(total.withColumn("place", F.row_number().over(w)), k)
 
 
-def circular_patterns(t: dict, p: Params, edges: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+def circular_patterns(t: dict, p: Params, edges: DataFrame, pairs: DataFrame, members: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Related vendors well paid by the same agencies.
 
-    Pairs are compared pair by pair. Vendors of one address are compared, each by itself, with the others there
-    taken together: the same for two vendors, and for more it flags every vendor of every pair that qualifies.
+    Pairs of neighbouring ids are compared pair by pair. A vendor is compared with all others of its address, and with
+    all vendors of a similar name, taken together: the same for two vendors, and for more it flags every vendor of every
+    pair that qualifies. related_vendor_id is the lowest id of a similar name among the payees.
     """
     paid = edges.where("payment_count > 0").select("vendor_id", "agency_id", "payment_total")
     e1 = paid.toDF("vendor_id_1", "agency_id", "paid_1")
@@ -107,6 +110,15 @@ def circular_patterns(t: dict, p: Params, edges: DataFrame, pairs: DataFrame, me
         .select(F.col("vendor_id_1").alias("entity_id"), F.col("vendor_id_2").alias("related_vendor_id"), "relationship_type",
                 "common_agencies", F.col("total_1").cast(_D).alias("total_1"), F.col("total_2").cast(_D).alias("total_2"))
     )
+    if names is not None:
+        named = t["vendor"].where(F.col("name_normalized").isNotNull()).select(F.col("id").alias("vendor_id"), F.col("name_normalized").alias("name"))
+        mine = named.join(paid, "vendor_id")
+        theirs = mine.groupBy(F.col("name").alias("other_name"), "agency_id").agg(F.min("vendor_id").alias("low"), F.sum("payment_total").alias("pool"))
+        alike = names.where(F.col("confidence_score") >= p.circular_min_confidence).select("name", "other_name")
+        both = both.unionByName(
+            mine.join(alike, "name").join(theirs, ["other_name", "agency_id"]).groupBy("vendor_id", "other_name")
+            .agg(F.min("low").alias("related_vendor_id"), F.count("*").alias("common_agencies"), F.sum("payment_total").cast(_D).alias("total_1"), F.sum("pool").cast(_D).alias("total_2"))
+            .select(F.col("vendor_id").alias("entity_id"), "related_vendor_id", F.lit("similar_name").alias("relationship_type"), "common_agencies", "total_1", "total_2"))
     at = members.select("address", "vendor_id").join(paid, "vendor_id")
     pool = at.groupBy("address", "agency_id").agg(F.count("*").alias("payees"), F.sum("payment_total").alias("pool")).where("payees > 1")
     here = (

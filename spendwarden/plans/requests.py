@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_business_days
+from ..functions.scalars import add_business_days, first_places
 
 RESPONSE_DAYS = 10
 
@@ -32,16 +32,16 @@ def _letter(alert_type: Column) -> Column:
     return F.coalesce(F.try_element_at(table, alert_type), F.lit("general"))
 
 
-def draft_requests(alerts: DataFrame, contracts: DataFrame | None = None, listed: int = 10) -> DataFrame:
-    """One draft per alert. contracts (vendor_id, contract_number, current_value) are listed in splitting letters."""
+def draft_requests(alerts: DataFrame, contracts: DataFrame | None = None, listed: int | None = None) -> DataFrame:
+    """One draft per alert. contracts (alert_id, contract_number, current_value), each alert's own, are listed in splitting letters, all or the first."""
     a = alerts.withColumn("letter", _letter(F.col("alert_type")))
     if contracts is not None:
-        w = Window.partitionBy("vendor_id").orderBy("contract_number")
+        w = Window.partitionBy("alert_id").orderBy("contract_number")
         line = F.format_string("  - %s: $%s", "contract_number", F.format_number("current_value", 2))
-        first = contracts.withColumn("n", F.row_number().over(w)).where(F.col("n") <= listed)
-        per = first.groupBy(F.col("vendor_id").alias("entity_id")).agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-        a = a.join(per, "entity_id", "left")
+        first = first_places(contracts.withColumn("place", F.row_number().over(w)), listed)
+        per = first.groupBy(F.col("alert_id").alias("id")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+        a = a.join(per, "id", "left")
     else:
         a = a.withColumn("lines", F.lit(None).cast("string"))
     asks = F.try_element_at(F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv]), F.col("letter"))
@@ -76,3 +76,11 @@ def mark_overdue(requests: DataFrame, as_of) -> DataFrame:
 def list_requests(requests: DataFrame, status: str | None = None, k: int = 20) -> DataFrame:
     df = requests if status is None else requests.where(F.col("status") == status)
     return df.orderBy(F.desc("submitted_date"), F.desc("id")).limit(k)
+
+
+def show_request(requests: DataFrame, agencies: DataFrame, alerts: DataFrame, request_id: int) -> DataFrame:
+    """One request with all its fields, its agency's name and the title of the alert it came from; no row for an unknown id."""
+    a = agencies.select(F.col("id").alias("agency_id"), F.col("name").alias("agency_name"))
+    o = alerts.select(F.col("id").alias("related_alert_id"), F.col("title").alias("alert_title"))
+    one = requests.where(F.col("id") == request_id)
+    return one.join(a, "agency_id", "left").join(o, "related_alert_id", "left").select(*requests.columns, "agency_name", "alert_title")

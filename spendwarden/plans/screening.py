@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_vendor_name
-from ..functions.scalars import severity
+from ..functions.scalars import first_places, severity
 from ..functions.similarity import possible, ratio
 from ..operators.fuzzy_join import fuzzy_pairs
 from ..params import Params
@@ -64,11 +64,11 @@ def debarred_vendors(t: dict, p: Params) -> DataFrame:
         F.round(s, 4).alias("match_score"), "total_payments")
 
 
-def largest_payments(t: dict, findings: DataFrame, k: int = 5) -> DataFrame:
-    """The k largest payments of each flagged vendor."""
+def largest_payments(t: dict, findings: DataFrame, k: int | None = None) -> DataFrame:
+    """The payments of each flagged vendor by amount, all or the k largest."""
     w = Window.partitionBy("vendor_id").orderBy(F.desc("amount"), "id")
     of = t["payment"].join(findings.select(F.col("entity_id").alias("vendor_id")).distinct(), "vendor_id", "left_semi")
-    return of.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("vendor_id", "place", "id", "amount", "payment_date", "agency_id")
+    return first_places(of.withColumn("place", F.row_number().over(w)), k).select("vendor_id", "place", "id", "amount", "payment_date", "agency_id")
 
 
 def _scored(listed: DataFrame, name, cutoff: float) -> DataFrame:

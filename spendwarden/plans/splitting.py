@@ -57,8 +57,23 @@ def splitting_contracts(t: dict, p: Params, findings: DataFrame, low: float, hig
     keys = findings.select(F.col("entity_id").alias("f_vendor"), F.col("agency_id").alias("f_agency"))
     c = _in_band(t["contract"], low, high, since)
     return c.join(keys, (c["vendor_id"] == F.col("f_vendor")) & c["agency_id"].eqNullSafe(F.col("f_agency")), "left_semi").select(
-        "vendor_id", "agency_id", "contract_number", "current_value", "start_date",
-        F.left("description", F.lit(100)).alias("description"))
+        "vendor_id", "agency_id", "contract_number", "current_value", "start_date", "description")
+
+
+def alert_contracts(alerts: DataFrame, contracts: DataFrame, p: Params) -> DataFrame:
+    """(alert_id, contract_number, current_value): the contracts behind stored splitting alerts.
+
+    Vendor, agency and threshold are the alert's own; an alert without a threshold is one of the main threshold.
+    """
+    high = F.coalesce(F.get_json_object("evidence", "$.threshold").try_cast("double"), F.lit(float(p.contract_splitting_max)))
+    band = F.when(high == float(p.esbd_threshold), float(p.esbd_band)).otherwise(float(p.contract_splitting_max - p.contract_splitting_min))
+    a = alerts.where(F.col("alert_type") == "contract_splitting").select(
+        F.col("id").alias("alert_id"), F.col("entity_id").alias("_vendor"), F.get_json_object("evidence", "$.agency_id").try_cast("bigint").alias("_agency"),
+        (high - band).alias("_low"), high.alias("_high"))
+    since = p.as_of - dt.timedelta(days=p.contract_splitting_months * 30)
+    c = contracts.where((F.col("start_date") >= F.lit(since)) & F.col("vendor_id").isNotNull())
+    own = (c["vendor_id"] == a["_vendor"]) & c["agency_id"].eqNullSafe(a["_agency"]) & c["current_value"].cast("double").between(a["_low"], a["_high"])
+    return c.join(a, own).select("alert_id", "contract_number", "current_value")
 
 
 def splitting_candidates(t: dict, min_contracts: int = 2, threshold: float = 50000, buffer: float = 5000) -> DataFrame:

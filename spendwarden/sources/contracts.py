@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_vendor_name
-from ..functions.scalars import clip, parse_date, parse_money
+from ..functions.scalars import parse_date, parse_money
 from ..operators.tables import pick_per_key
 from .readers import filled, have, known, pick, raw
 
@@ -26,7 +26,7 @@ def map_contract_csv(df: DataFrame) -> DataFrame:
     codes = F.regexp_extract_all(pick(df, "NGIP Codes and Categories", "NIGP Codes and Categories"), F.lit(r"(\d{3}-\d{2})"), F.lit(1))
     return _first(df.select(
         F.nullif(number, F.lit("")).alias("contract_number"), pick(df, "Vendor").alias("vendor_name"), pick(df, "Agency").alias("agency_name"),
-        clip(filled(df, "Subject"), 500).alias("description"), parse_money(filled(df, "Current Contract Value")).alias("current_value"),
+        filled(df, "Subject").alias("description"), parse_money(filled(df, "Current Contract Value")).alias("current_value"),
         parse_date(filled(df, "Award Date"), ISO, US).alias("start_date"), parse_date(filled(df, "Completion Date"), US, ISO).alias("end_date"),
         F.when(F.size(codes) > 0, codes).alias("nigp_codes"), F.lit("LBB").alias("source"), raw(df).alias("raw_data"), "_pos").where("contract_number is not null"), "contract_number")
 
@@ -69,7 +69,7 @@ def map_awards(df: DataFrame, award_type: str, fiscal_year: int) -> DataFrame:
     award = filled(df, "Award ID")
     return _first(df.select(
         award.alias("grant_number"), filled(df, "Recipient Name").alias("vendor_name"), filled(df, "Awarding Agency", "Awarding Sub Agency").alias("agency_name"),
-        clip(filled(df, "Description"), 500).alias("program_name"), parse_money(known(df, "Award Amount", default="0")).alias("amount_awarded"),
+        filled(df, "Description").alias("program_name"), parse_money(known(df, "Award Amount", default="0")).alias("amount_awarded"),
         parse_money(known(df, "Total Outlays", default="0")).alias("amount_disbursed"), F.lit(fiscal_year).alias("fiscal_year"),
         parse_date(have(df, "Start Date"), ISO, cut=10).alias("start_date"), parse_date(have(df, "End Date"), ISO, cut=10).alias("end_date"),
         F.lit(f"usaspending_{award_type}").alias("source"), award.alias("federal_award_id"), raw(df).alias("raw_data"), "_pos").where("grant_number is not null"), "grant_number")
@@ -82,7 +82,7 @@ def map_cooperative(df: DataFrame) -> DataFrame:
     described = F.when((kind == "") & (sub == ""), text).when(text == "", pair).otherwise(F.concat(text, F.lit(" ["), pair, F.lit("]")))
     return _first(df.select(
         filled(df, "contract_number").alias("contract_number"), known(df, "primary_vendor_name", default="").alias("vendor_name"),
-        F.nullif(clip(described, 500), F.lit("")).alias("description"), parse_date(have(df, "contract_start"), "yyyy-MM-dd", cut=10).alias("start_date"),
+        F.nullif(described, F.lit("")).alias("description"), parse_date(have(df, "contract_start"), "yyyy-MM-dd", cut=10).alias("start_date"),
         parse_date(have(df, "contract_termination_date"), "yyyy-MM-dd", cut=10).alias("end_date"), F.lit("dir_contracts").alias("source"),
         raw(df).alias("raw_data"), "_pos").where("contract_number is not null"), "contract_number")
 
@@ -92,7 +92,7 @@ def sales_rollup(df: DataFrame) -> DataFrame:
     rows = df.select(
         filled(df, "contract_number").alias("contract_number"), known(df, "purchase_amount", default="0").try_cast("decimal(15,2)").alias("amount"),
         known(df, "vendor_name", default="").alias("vendor_name"), known(df, "customer_name", default="").alias("agency_name"),
-        F.nullif(clip(known(df, "rfo_description", default=""), 500), F.lit("")).alias("description"),
+        F.nullif(known(df, "rfo_description", default=""), F.lit("")).alias("description"),
         parse_date(have(df, "contract_start_date"), "yyyy-MM-dd", cut=10).alias("start_date"),
         parse_date(have(df, "contract_termination_date"), "yyyy-MM-dd", cut=10).alias("end_date"), "_pos").where("contract_number is not null and amount > 0")
     head = F.struct("vendor_name", "agency_name", "description", "start_date", "end_date", "_pos")

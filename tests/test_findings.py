@@ -8,7 +8,7 @@ from helpers import table
 
 from spendwarden.operators import resolve
 from spendwarden.params import Params
-from spendwarden.plans import alerts, clustering, crossref, duplicates, employee_match
+from spendwarden.plans import alerts, clustering, crossref, duplicates, employee_match, network, related
 from spendwarden.sources import readers
 
 
@@ -59,8 +59,33 @@ def test_every_vendor_of_a_name_counts(spark):
 def test_similar_names_have_no_limit_and_link_all_holders(spark):
     names = [f"{c}ACME BUILDING SUPPLIES" for c in "ABCDEFGHIJKLM"]  # more than ten equally close to each other
     v = [{"id": i + 1, "name": n, "name_normalized": n} for i, n in enumerate([*names, names[0]])]
-    got = {(r["vendor_id_1"], r["vendor_id_2"]) for r in clustering.name_relationships({"vendor": table(spark, "vendor", *v)}, P).collect()}
-    assert got == {(a, b) for a in range(1, 14) for b in range(a + 1, 14)} | {(a, 14) for a in range(2, 14)}
+    t = {"vendor": table(spark, "vendor", *v)}
+    got = {(r["vendor_id"], r["other_name"]): (r["other_vendors"], r["first_vendor"]) for r in clustering.name_relationships(t, clustering.similar_names(t, P)).collect()}
+    ids = {n: [x["id"] for x in v if x["name"] == n] for n in names}
+    assert got == {(x["id"], n): (len(ids[n]), min(ids[n])) for x in v for n in names if n != x["name"]}
+
+
+TWO_NAMES = [{"id": i, "name": n, "name_normalized": n, "address": a} for i, n, a in
+             ((1, "ABLE BUILDING", "1 Elm St"), (5, "ABLE BUILDING", "2 Elm St"), (2, "ABLEE BUILDING", "1 Elm St"), (6, "ABLEE BUILDING", "9 Oak St"))]
+
+
+def test_all_vendors_of_two_shared_names_are_judged(spark):
+    t = {"vendor": table(spark, "vendor", *TWO_NAMES)}
+    names = clustering.similar_names(t, P)
+    none = spark.createDataFrame([], "vendor_id_1 bigint, vendor_id_2 bigint, relationship_type string, confidence_score double")
+    alone = spark.createDataFrame([], "address string, vendor_id bigint, vendors bigint")
+    related_ids = lambda i: sorted(r["id"] for r in clustering.related_to(t, i, none, alone, names).collect())
+    assert [related_ids(i) for i in (1, 2, 5, 6)] == [[2, 6], [1, 5], [2, 6], [1, 5]]
+    got = {r["entity_id"]: (r["related_vendor_id"], r["related_vendors"]) for r in clustering.similar_name_alerts(t, P, names).collect()}
+    assert got == {1: (6, 1), 5: (2, 2), 2: (5, 1), 6: (1, 2)}  # 1 and 2 share an address
+    edges = spark.createDataFrame([(5, 1, 60000.0, 1), (6, 1, 70000.0, 1), (1, 2, 90000.0, 1)], "vendor_id bigint, agency_id bigint, payment_total double, payment_count int")
+    circles = {r["entity_id"]: (r["related_vendor_id"], r["relationship_type"]) for r in related.circular_patterns(t, P, edges, none, alone, names).collect()}
+    assert circles == {5: (6, "similar_name"), 6: (5, "similar_name")}
+    links = {(r["src"], r["dst"]) for r in network.vendor_links(t, none, alone, names).collect()}
+    assert links == {(1, 5), (2, 6), (1, 2)}
+    both = spark.createDataFrame([("1 ELM ST", 1, 2), ("1 ELM ST", 2, 2)], "address string, vendor_id bigint, vendors bigint")
+    twice = spark.createDataFrame([(5, 6, "sequential_id", 0.9), (1, 5, "sequential_id", 0.9)], none.schema)
+    assert network.linked_pair_count(t, twice, both, names).first()["pairs"] == 5  # (1,2) (1,6) (2,5) (5,6) by name, (1,5) by id
 
 
 def test_seven_equally_close_vendors_of_a_contributor(spark):
