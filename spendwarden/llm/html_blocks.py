@@ -1,16 +1,18 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over words and link densities.
 
-A page becomes a row of text blocks. Each block is described by its words, link density, those of its neighbours, and
-whether it stands in an article or in an element that names itself a menu, advert or the like. The tree is grown from the
-small labelled table below.
+A page becomes a row of text blocks. Each block is described by its words and link density, by those of the block before
+and the block after, and by one feature for where it stands: in the page's article, outside it, or unknown. The tree is
+grown from the small table of labelled pages below. Pages without telling elements are decided by words and links alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,77 +20,99 @@ from pyspark.sql import DataFrame
 
 from .texts import slices
 
-# fixed values: elements that end a block, that nest, and whose content is no text
+# fixed values: elements that end a block, that nest, whose content is no text, that are never main text, and headings
 BLOCK = frozenset("address article aside blockquote body center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 NEST = frozenset("article aside blockquote div dl fieldset figure footer form header main nav ol section table ul".split())
-SKIP = frozenset("button canvas datalist iframe math noscript object option script select style svg template textarea title".split())
+SKIP = frozenset("button canvas datalist iframe noscript object option script select style svg template textarea title".split())
 OUTSIDE = frozenset("aside footer nav".split())
-WITH = re.compile(r"(?<![^\s_-])(?:with|without|has|no)[_-]\S*", re.I)  # with-sidebar, no-comments: what a layout goes with, not what it is
-INTRO = 20  # words of articles up to which an article may still be the first
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|"
-    r"pager|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-
-FEATURES = ("outside", "article", "words", "links", "words before", "links before", "words after", "links after")
-# fixed values: the labelled table; a row holds the features in order, then 1 for main text
-LABELLED = (
-    (0, 1, 9, 0.0, 0, 0.0, 60, 0.0, 1), (0, 1, 60, 0.0, 9, 0.0, 45, 0.0, 1), (0, 1, 1, 0.0, 60, 0.0, 30, 0.0, 1),
-    (0, 1, 3, 0.0, 40, 0.1, 0, 0.0, 1), (0, 1, 120, 0.05, 1, 0.0, 4, 0.0, 1), (0, 1, 25, 0.3, 80, 0.0, 70, 0.0, 1),
-    (0, 1, 12, 0.0, 2, 1.0, 90, 0.0, 1), (0, 1, 300, 0.01, 25, 0.0, 10, 0.0, 1), (0, 1, 2, 1.0, 50, 0.0, 2, 1.0, 0),
-    (0, 1, 4, 1.0, 4, 1.0, 3, 1.0, 0), (0, 1, 6, 0.9, 30, 0.0, 7, 1.0, 0), (0, 0, 50, 0.0, 8, 0.0, 40, 0.0, 1),
-    (0, 0, 35, 0.1, 50, 0.0, 20, 0.0, 1), (0, 0, 18, 0.0, 45, 0.0, 33, 0.0, 1), (0, 0, 9, 0.0, 2, 1.0, 70, 0.0, 1),
-    (0, 0, 7, 0.0, 60, 0.0, 55, 0.0, 1), (0, 0, 90, 0.2, 3, 1.0, 5, 0.0, 1), (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0),
-    (0, 0, 2, 1.0, 2, 1.0, 3, 1.0, 0), (0, 0, 5, 0.0, 1, 1.0, 1, 1.0, 0), (0, 0, 3, 0.0, 2, 0.0, 4, 1.0, 0),
-    (0, 0, 8, 0.6, 2, 1.0, 2, 1.0, 0), (0, 0, 14, 0.8, 40, 0.0, 12, 0.9, 0), (0, 0, 4, 0.0, 3, 1.0, 0, 0.0, 0),
-    (1, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 0, 12, 0.0, 60, 0.0, 0, 0.0, 0), (1, 0, 40, 0.0, 1, 1.0, 9, 0.0, 0),
-    (1, 0, 8, 0.0, 3, 1.0, 50, 0.0, 0), (1, 1, 25, 0.0, 70, 0.0, 30, 0.0, 0), (1, 1, 60, 0.0, 20, 0.0, 45, 0.0, 0),
-    (1, 1, 3, 0.0, 90, 0.0, 5, 0.0, 0), (1, 0, 150, 0.1, 2, 0.0, 3, 0.0, 0), (1, 1, 10, 1.0, 40, 0.0, 60, 0.0, 0),
-    (0, 1, 50, 0.0, 40, 0.0, 4, 1.0, 1), (0, 0, 60, 0.0, 30, 0.0, 2, 1.0, 1), (0, 1, 8, 0.0, 50, 0.0, 3, 1.0, 1),
-    (0, 1, 1, 0.0, 30, 0.0, 2, 1.0, 1), (0, 1, 2, 0.0, 2, 1.0, 2, 1.0, 1), (0, 0, 25, 0.1, 2, 1.0, 2, 1.0, 1),
-    (0, 0, 2, 1.0, 1, 1.0, 50, 0.0, 0), (0, 1, 3, 1.0, 30, 0.0, 40, 0.0, 0), (0, 0, 6, 0.9, 2, 1.0, 80, 0.0, 0),
-    (1, 1, 80, 0.0, 60, 0.0, 3, 1.0, 0), (1, 0, 30, 0.1, 30, 0.0, 40, 0.0, 0), (0, 0, 2, 1.0, 40, 0.0, 60, 0.0, 0),
-    (0, 0, 40, 0.0, 50, 0.0, 0, 0.0, 1), (0, 0, 120, 0.0, 2, 1.0, 0, 0.0, 1), (0, 0, 30, 0.0, 35, 0.0, 1, 1.0, 1),
-)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+# fixed values: parts of names that tell an element outside the main text, and parts that may stand beside them
+HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar "
+                  "navigation newsletter notice notices pager pagination popup promo promos promotion related respond share sharing sidebar social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
+BESIDE = frozenset("a aside area bar block body bottom box buttons center container content desktop fixed form global group icons inner item items left link links list main mobile module outer panel post posts "
+                   "primary reader region right row secondary section site slot small sticky thread top user wrap wrapper".split())
+PART = re.compile(r"[^\W_\d]+")
+
+
+class Block(NamedTuple):
+    """text; characters in links; elements around it that name themselves outside (hints, forms) or are so (hard);
+    the article or main it stands in (-1: none), how many hints stood around that, the innermost of them; whether it is a heading."""
+
+    text: str
+    linked: int
+    hints: int
+    forms: int
+    hard: bool
+    inner: int
+    above: int
+    holder: int
+    heading: bool
+
+
+def is_hint(name: str) -> bool:
+    """Whether a class or id names something outside: one of its parts is a hint and the rest say nothing else.
+
+    Layouts that are with, without or no such thing don't.
+    """
+    parts = [x.lower() for x in PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name))]
+    return any(x in HINTS for x in parts) and all(x in HINTS or x in BESIDE for x in parts)
 
 
 class _Blocks(HTMLParser):
-    """Collects (text, characters inside links, outside, article) of one page."""
+    """Collects the blocks of one page; a block costs the same at any depth."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, bool, bool]] = []
-        self.open: list[tuple[str, int]] = []  # element, whether something outside the main text starts there: 1 by its name or as form, 2 as element
+        self.blocks: list[Block] = []
+        self.open: list[tuple[str, str, int]] = []  # element, kind, number
+        self.many: Counter = Counter()  # open elements by name and by kind
+        self.inner: list[tuple[int, int, int]] = []  # open articles: number, hints around, innermost hint
+        self.hint: list[int] = []
         self.skip: list[tuple[str, int]] = []
+        self.skipped: Counter = Counter()
         self.text: list[str] = []
-        self.link = self.linked = self.told = 0
+        self.linked = self.link = self.number = 0  # link: depth, from 1, at which an open link began
+        self.heading = False
 
     def flush(self):
         words = " ".join("".join(self.text).split())
         if words:
-            outside, inner = any(o for _, o in self.open), any(t in ("article", "main") for t, _ in self.open)
-            self.blocks.append((words, self.linked, outside, inner))
-            if inner and not outside:
-                self.told += len(words.split())
+            inner = self.inner[-1] if self.inner else (-1, 0, -1)
+            self.blocks.append(Block(words, self.linked, self.many["hint"], self.many["form"], self.many["hard"] > 0, *inner, self.heading))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIP:
             self.skip.append((tag, len(self.open)))
+            self.skipped[tag] += 1
         elif tag in BLOCK:
             self.flush()
-            self.link = 0
+            self.heading = tag in HEADING
             if tag in NEST:
-                named = WITH.sub(" ", " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))
-                inner = any(t in ("article", "main") for t, _ in self.open)
-                if tag in ("article", "main") and self.told < INTRO:  # what holds the first article is a wrapper, whatever its name
-                    self.open = [(t, 0 if o == 1 else o) for t, o in self.open]
-                element = tag in OUTSIDE or tag == "header" and not inner
-                self.open.append((tag, 2 if element else int(tag == "form" or tag not in ("article", "main") and bool(HINT.search(named)))))
+                self._enter(tag, attrs)
         elif tag == "a":
-            self.link = 1
+            self.link = len(self.open) + 1
         elif tag == "br":
             self.text.append(" ")
 
+    def _enter(self, tag, attrs):
+        kind = ""
+        if tag in OUTSIDE or tag == "header" and not self.inner:
+            kind = "hard"
+        elif tag == "form":
+            kind = "form"
+        elif tag in ("article", "main"):
+            kind = "inner"
+            self.inner.append((self.number, self.many["hint"] + self.many["form"], self.hint[-1] if self.hint else -1))
+        elif any(is_hint(name) for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()):
+            kind = "hint"
+        if kind in ("hint", "form"):
+            self.hint.append(self.number)
+        self.open.append((tag, kind, self.number))
+        self.many[tag + ">"] += 1
+        self.many[kind] += 1
+        self.number += 1
+
     def handle_startendtag(self, tag, attrs):
         if tag in SKIP or tag in NEST:
             return
@@ -97,20 +121,34 @@ class _Blocks(HTMLParser):
             self.link = 0
 
     def handle_endtag(self, tag):
-        if self.skip and any(t == tag for t, _ in self.skip):
-            while self.skip.pop()[0] != tag:
-                pass
+        if self.skipped[tag]:
+            self._unskip(tag)
         elif tag in BLOCK:
             self.flush()
-            self.link = 0
-            if any(t == tag for t, _ in self.open):
-                while self.open.pop()[0] != tag:
-                    pass
+            self.heading = False
+            if self.many[tag + ">"]:
+                last = ""
+                while last != tag:
+                    last, kind, _ = self.open.pop()
+                    self.many[last + ">"] -= 1
+                    self.many[kind] -= 1
+                    if kind == "inner":
+                        self.inner.pop()
+                    elif kind in ("hint", "form"):
+                        self.hint.pop()
+                if self.link > len(self.open) + 1:
+                    self.link = 0
                 while self.skip and self.skip[-1][1] > len(self.open):  # left open inside
-                    self.skip.pop()
+                    self._unskip(self.skip[-1][0])
         elif tag == "a":
             self.link = 0
 
+    def _unskip(self, tag):
+        last = ""
+        while last != tag:
+            last = self.skip.pop()[0]
+            self.skipped[last] -= 1
+
     def handle_data(self, data):
         if not self.skip:
             self.text.append(data)
@@ -121,7 +159,7 @@ class _Blocks(HTMLParser):
         pass
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
+def blocks(html: str) -> list[Block]:
     p = _Blocks()
     p.feed(html)
     p.close()
@@ -129,17 +167,160 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     return p.blocks
 
 
-def features(found: list[tuple[str, int, bool, bool]]) -> np.ndarray:
+ARTICLE, UNKNOWN, ASIDE, AWAY = 1.0, 0.0, -0.5, -1.0
+
+
+def regions(found: list[Block]) -> list[float]:
+    """Where each block stands: in the page's article, beside an article, outside by its elements' names, or unknown.
+
+    The article is what stands in article or main elements with the fewest hints around them, headings not counted; a hint
+    or form around it is a wrapper. Of several wrappers that one with the most words holds it. A form around everything
+    is a wrapper too.
+    """
+    own = [b for b in found if b.inner >= 0 and not b.hard and b.hints + b.forms == b.above]
+    best = min((b.above for b in own if not b.heading), default=min((b.above for b in own), default=None))
+    holder = -1
+    if best:
+        size: Counter = Counter()
+        for b in own:
+            if b.above == best:
+                size[b.holder] += len(b.text.split())
+        holder = max(size, key=lambda h: (size[h], -h))
+    around = min((b.forms for b in found if not b.hard), default=0) if best is None else 0
+    out = []
+    for b in found:
+        level = b.hints + b.forms
+        if b.hard:
+            out.append(AWAY)
+        elif best is not None and b.inner >= 0 and level == b.above and (level < best or level == best and (not best or b.holder == holder)):
+            out.append(ARTICLE)
+        elif level > around:
+            out.append(AWAY)
+        else:
+            out.append(UNKNOWN if best is None else ASIDE)
+    return out
+
+
+FEATURES = ("region", "words", "links", "words before", "links before", "words after", "links after")
+
+
+def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; what would stand before the first and after the last block counts as empty."""
-    own = np.array([(len(t.split()), linked / max(len(t.replace(" ", "")), 1)) for t, linked, _, _ in found], float).reshape(-1, 2)
+    own = np.array([(len(b.text.split()), b.linked / max(len(b.text.replace(" ", "")), 1)) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
-    where = np.array([(o, a) for _, _, o, a in found], float).reshape(-1, 2)
-    return np.concatenate([where, own, before[: len(own)], after[: len(own)]], axis=1)
+    return np.concatenate([np.array(regions(found), float).reshape(-1, 1), own, before[: len(own)], after[: len(own)]], axis=1)
+
+
+# fixed values: the labelled table. A row is a page; each of its lines is 1 for main text or 0, then markup; {n} are n words.
+LABELLED = (
+    """0 <div><a>{1}</a></div><div><a>{1}</a></div><div><a>{2}</a></div>
+1 <h1>{7}</h1><p>{45}</p><p>{80}</p><p>{30}</p>
+0 <div>{6}</div><div><a>{2}</a> <a>{2}</a></div>""",
+    """0 <ul><li><a>{2}</a><li><a>{1}</a><li><a>{3}</a></ul>
+1 <p>{60}</p><p>{1}</p><p>{52}</p><p>{3}</p><p>{41}</p>
+0 <ul><li><a>{2}</a><li><a>{4}</a></ul><p>{8} <a>{2}</a></p>""",
+    """0 <table><tr><td><a>{1}</a><td><a>{2}</a></tr></table>
+1 <h2>{5}</h2><p>{33} <a>{2}</a> {20}</p><p>{18}</p><p>{64}</p>
+0 <div><a>{6}</a></div><div><a>{7}</a></div><div><a>{5}</a></div><div>{5}</div>""",
+    """0 <div>{3}</div><div><a>{2}</a></div><div><a>{1}</a></div>
+1 <h1>{9}</h1><div>{120}</div><div>{75}</div>
+0 <div>{4}</div><div><a>{1}</a></div><div><a>{2}</a></div><div>{7}</div>""",
+    """1 <p>{25}</p><p>{40}</p><p>{9}</p><p>{31}</p>""",
+    """1 <h1>{4}</h1><p>{15}</p><p>{28}</p>
+0 <div><a>{3}</a></div><div>{5}</div>""",
+    """0 <div><a>{2}</a></div><div>{11}</div><div><a>{2}</a></div>
+1 <p>{70}</p><p>{6}</p><p>{48}</p><p>{90}</p>
+0 <div><a>{3}</a></div><div>{12}</div><div><a>{2}</a></div>""",
+    """0 <div><a>{1}</a> <a>{1}</a> <a>{2}</a></div>
+1 <h1>{6}</h1><p>{22} <a>{3}</a></p><ul><li>{14}<li>{12}<li>{17}</ul><p>{38}</p>
+0 <div><a>{1}</a> <a>{1}</a></div><div>{6}</div>""",
+    """0 <div>{2}</div><div><a>{4}</a></div><div><a>{5}</a></div><div>{2}</div><div><a>{6}</a></div><div><a>{4}</a></div>""",
+    """0 <div><a>{9}</a></div><div>{4}</div><div><a>{11}</a></div><div>{3}</div><div><a>{8}</a></div><div>{4}</div>""",
+    """1 <h2>{3}</h2><p>{55}</p><h2>{4}</h2><p>{61}</p><h2>{2}</h2><p>{47}</p>
+0 <p><a>{2}</a> {1} <a>{2}</a> {1} <a>{1}</a></p>""",
+    """0 <div>{1}</div><div>{2}</div><div><a>{1}</a></div>
+1 <h1>{8}</h1><p>{2}</p><p>{66}</p><p>{34}</p><blockquote>{19}</blockquote><p>{27}</p>
+0 <div><a>{5}</a></div><div>{3}</div><div><a>{4}</a></div>""",
+    """0 <nav><a>{1}</a></nav><div class="ad">{9}</div>
+1 <article><h1>{9}</h1><p>{60}</p><p>{1}</p><p>{25}</p></article>
+0 <footer>{12}</footer>""",
+    """0 <nav><ul><li><a>{1}</a><li><a>{2}</a></ul></nav>
+1 <article><p>{3}</p></article>
+0 <section class="comments"><article>{40}</article><article>{22}</article></section><footer>{6} <a>{2}</a></footer>""",
+    """0 <div class="sidebar"><article>{25}</article></div>
+1 <article><h1>{5}</h1><p>{70}</p><p><a>{6}</a></p><ul><li><a>{4}</a><li><a>{5}</a></ul><p>{2}</p></article>
+0 <div id="related"><p>{30}</p><p>{28}</p></div><div>{5}</div>""",
+    """0 <header>{4}<a>{2}</a></header><div class="cookie-notice">{30}</div>
+1 <main><p>{4}</p><p>{110}</p><div>{50}</div></main>
+0 <aside><p>{35}</p><p>{45}</p></aside><div><a>{3}</a></div>""",
+    """0 <div class="menu"><a>{1}</a></div><div class="banner">{20}</div>
+1 <div><h1>{6}</h1><p>{44}</p><p>{4}</p><p>{58}</p></div>
+0 <div class="newsletter">{24}</div><div class="comments"><p>{50}</p><p>{33}</p></div>""",
+    """1 <div><p>{85}</p><p>{40}</p><p>{62}</p></div>
+0 <div>{5}</div><section><article class="teaser"><div class="promo">{18}</div></article></section><div><a>{2}</a></div>""",
+    """0 <div>{6}</div><div>{3}</div>
+1 <article><p>{20}</p><p>{1}</p><p>{48}</p></article>
+0 <div>{10}</div><div><a>{3}</a></div><div>{4}</div>""",
+    """0 <form>{4}</form><div class="social-links"><a>{1}</a></div>
+1 <p>{36}</p><p>{29}</p><p>{11}</p>
+0 <form>{15}</form><div class="pagination"><a>{1}</a><a>{1}</a></div>""",
+    """0 <div><a>{2}</a> {1} <a>{2}</a></div>
+1 <h1>{11}</h1><p>{17}</p><p>{24}</p><p>{8}</p><p>{32}</p>
+0 <div>{9}</div><div><a>{1}</a></div><div><a>{1}</a></div><div><a>{1}</a></div>""",
+    """0 <nav><a>{1}</a></nav>
+1 <article><h1>{2}</h1><p>{1}</p><p>{2}</p><p>{1}</p><p>{4}</p><p>{1}</p><p>{3}</p><p><a>{1}</a></p></article>
+0 <footer>{2}</footer><div class="share">{3}</div>""",
+    """1 <article><p>{2}</p><p>{5}</p><p><a>{2}</a></p><p>{1}</p><p>{6}</p><p>{1}</p></article>
+0 <div class="comments"><p>{3}</p><p>{28}</p><p>{2}</p></div>""",
+    """0 <div class="ad">{14}</div>
+1 <main><h1>{8}</h1><p>{3}</p><p>{12}</p><p>{2}</p><p>{7}</p><p>{1}</p></main>
+0 <div class="ad">{60}</div>""",
+    """0 <div>{4}</div><div>{2}</div>
+1 <article><p>{1}</p><p>{9}</p><p>{3}</p><ul><li>{1}<li>{2}<li>{1}</ul><p>{11}</p></article>
+0 <div>{3}</div><div>{7}</div>""",
+    """1 <article><h1>{6}</h1><p>{62}</p><p>{1}</p></article>""",
+    """0 <div class="ad">{7}</div>
+1 <article><p>{1}</p><p>{63}</p><p>{2}</p><p><a>{2}</a></p><p>{4}</p></article>""",
+    """1 <article><p>{12}</p></article>""",
+    """1 <article><p>{1}</p></article>""",
+    """0 <div><a>{2}</a></div>
+1 <article><p>{64}</p><p>{3}</p><p>{2}</p></article>
+0 <div><a>{3}</a></div><div>{1}</div>""",
+    """0 <div class="comments"><h2>{1}</h2><p>{48}</p><p>{8}</p><p>{73}</p><p>{31}</p><p>{16}</p></div><aside><p>{55}</p><p>{64}</p><p>{90}</p></aside>
+0 <div class="ad">{8}</div><div class="notice"><p>{38}</p><p>{27}</p></div><footer><p>{8}</p><p>{44}</p><p>{70}</p></footer>""",
+    """0 <div id="sidebar"><p>{21}</p><p>{8}</p><p>{33}</p><p>{52}</p></div><div class="promo">{46}</div><div class="newsletter">{8}</div>
+1 <p>{42}</p><p>{57}</p><p>{36}</p>
+0 <div class="related-posts"><p>{39}</p><p>{24}</p><p>{8}</p></div><footer><p>{100}</p></footer>""",
+    """1 <p>{50}</p><p>{75}</p>""",
+    """1 <h1>{5}</h1><p>{39}</p><p>{22}</p><p>{51}</p>""",
+    """0 <div><a>{2}</a></div><div><a>{1}</a></div>
+1 <p>{28}</p><p>{66}</p>""",
+    """0 <div>{3}</div><div><a>{1}</a></div>
+1 <div>{90}</div>""",
+    """1 <p>{130}</p><p>{5}</p><p>{95}</p>
+0 <div><a>{12}</a></div><div>{10}</div><div><a>{10}</a></div><div>{9}</div>""",
+)
+
+
+def labelled_pages(table: tuple[str, ...] = LABELLED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of the blocks of each labelled page."""
+    out = []
+    for page in table:
+        p, labels = _Blocks(), []
+        for line in page.split("\n"):
+            p.feed(re.sub(r"\{(\d+)\}", lambda m: " ".join(["words"] * int(m[1])), line[2:]))
+            p.flush()
+            labels += [int(line[0])] * (len(p.blocks) - len(labels))
+        out.append((features(p.blocks), np.array(labels)))
+    return out
+
+
+LEAST_LEAF = 3  # labelled blocks on either side of a split
 
 
 def grow(x: np.ndarray, y: np.ndarray):
-    """A decision tree by Gini impurity: (feature, threshold, lower branch, upper branch), or the label as an int."""
+    """A decision tree by Gini impurity: (feature, threshold, lower branch, upper branch), or the commoner label as an int."""
     if len(set(y)) == 1:
         return int(y[0])
     best = None
@@ -147,6 +328,8 @@ def grow(x: np.ndarray, y: np.ndarray):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < cut
+            if min(low.sum(), (~low).sum()) < LEAST_LEAF:
+                continue
             impurity = sum(m.sum() * p * (1 - p) for m in (low, ~low) for p in (y[m].mean(),))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, cut)
@@ -154,13 +337,14 @@ def grow(x: np.ndarray, y: np.ndarray):
         return int(y.mean() >= 0.5)
     _, f, cut = best
     low = x[:, f] < cut
-    return f, float(cut), grow(x[low], y[low]), grow(x[~low], y[~low])
+    lower, upper = grow(x[low], y[low]), grow(x[~low], y[~low])
+    return lower if lower == upper and isinstance(lower, int) else (f, float(cut), lower, upper)
 
 
 @cache
 def tree():
-    rows = np.array(LABELLED, float)
-    return grow(rows[:, :-1], rows[:, -1].astype(int))
+    pages = labelled_pages()
+    return grow(np.concatenate([x for x, _ in pages]), np.concatenate([y for _, y in pages]))
 
 
 def classify(x: np.ndarray, node=None) -> np.ndarray:
@@ -178,7 +362,7 @@ def classify(x: np.ndarray, node=None) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """Blocks of main text in page order, one per line; empty for null and for pages without any."""
     found = blocks(html or "")
-    return "\n".join(b[0] for b, good in zip(found, classify(features(found)), strict=True) if good) if found else ""
+    return "\n".join(b.text for b, good in zip(found, classify(features(found)), strict=True) if good) if found else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
