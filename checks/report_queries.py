@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendwarden.operators import tables
 from spendwarden.plans import alerts, duplicates, employee_match, reports, requests, splitting, sync_log
 from spendwarden.plans import engine
+from spendwarden.plans.rulebook import Rulebook
 
 from .registry import BODIES, P, register
 from .rules_matching import _EMP, _SIDES, EDGES, MEMBERS, PAIRS
@@ -297,3 +298,29 @@ with n as (select 'C-' || vendor_id as k, last(description order by id) as d, ar
 o as (select * from contract_v where source = 'F')
 select coalesce(n.k, o.contract_number) as contract_number, case when n.k is null then o.description else n.d end as description,
        case when n.k is null then o.agency_id else coalesce(n.a, o.agency_id) end as agency_id from n full join o on o.contract_number = n.k""")
+
+
+def _user_rule(t, p):
+    """A rule of a user's own, with a shared input of its own, among two of the library's."""
+    book = engine.BOOK.copy()
+    book.shared("weekend", "payment", lambda t, p: t["payment"].where(F.dayofweek("payment_date").isin(1, 7) & F.col("vendor_id").isNotNull()))
+
+    @book.rule("weekend_payments", "weekend", before="duplicates")
+    def _(t, p):
+        per = t["weekend"].groupBy("vendor_id").agg(F.count("*").alias("payments"), F.sum("amount").alias("total")).where("payments >= 5")
+        return per.select(F.lit("weekend_payments").alias("alert_type"), F.when(F.col("total") >= 300000, "high").otherwise("low").alias("severity"), F.lit("vendor").alias("entity_type"),
+                          F.col("vendor_id").alias("entity_id"), "payments", "total")
+
+    found, outcome = engine.run_all(t, p, Rulebook(s for s in book.steps.values() if not s.rule or s.name in ("weekend_payments", "confidentiality", "debarment")))
+    if any(o["status"] == "failed" for o in outcome):
+        raise RuntimeError(str(outcome))
+    return found.select("rule_order", "alert_type", "severity", "entity_id")
+
+
+register("d45_user_rule", "vendor payment agency debarred", _user_rule, f"""with found as ({{}})
+select 0::bigint as rule_order, 'weekend_payments' as alert_type, case when sum(amount) >= 300000 then 'high' else 'low' end as severity, vendor_id as entity_id
+from payment_v where isodow(payment_date) >= 6 and vendor_id is not null group by vendor_id having count(*) >= 5
+union all select 1, alert_type, severity, entity_id from (select * from found) where alert_type <> 'debarred_vendor'
+union all select 2, alert_type, severity, entity_id from found where alert_type = 'debarred_vendor'""".format(
+    " union all ".join(f"(select alert_type, severity, entity_id from ({_RULE_SQL[k].strip()}) as r{i})" for i, k in enumerate(
+        ("d16_high_confidentiality", "d17_confidentiality_spikes", "d18_vendor_confidentiality", "d41_debarred_vendors")))))

@@ -1,19 +1,15 @@
-"""All rules over one set of tables, in dependency order."""
+"""All rules over one set of tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
-from ..session import cut
 from . import anomalies, clustering, confidentiality, crossref, duplicates, employee_match, fiscal, ghost, network, related, screening, splitting
-from .alerts import as_findings
+from .rulebook import Rulebook
 
-# Public rule names and the module each stands for.
+# fixed values: public rule names and the rule each stands for
 RULE_NAMES = {
     "contract-splitting": "contract_splitting", "duplicate-payments": "duplicates", "vendor-clustering": "vendor_clustering",
     "payment-anomalies": "anomalies", "confidentiality": "confidentiality", "network-analysis": "network", "crossref": "crossref",
@@ -22,106 +18,100 @@ RULE_NAMES = {
 }
 
 
-class Shared:
-    """Inputs several rules use, each worked out once and kept in the checkpoint folder."""
+def matches_of(t: dict) -> DataFrame:
+    """Employee matches of this run and stored matches of any kind."""
+    made = employee_match.entity_match_rows(t["employee_names"], t["sides"])
+    if "entity_match" not in t:
+        return made
+    return made.drop("evidence").unionByName(t["entity_match"].select(*[c for c in made.columns if c != "evidence"]))
+
+
+BOOK = Rulebook()
+BOOK.shared("members", "vendor", lambda t, p: clustering.address_members(t))
+BOOK.shared("names", "vendor", clustering.similar_names)
+BOOK.shared("sequential", "vendor", clustering.sequential_relationships)
+BOOK.shared("edges", "payment contract vendor agency", lambda t, p: network.spending_edges(t))
+BOOK.shared("employee_names", "employee vendor payment", employee_match.name_matches)
+BOOK.shared("sides", "employee vendor", lambda t, p: employee_match.address_sides(t))
+BOOK.shared("matches", "employee_names sides entity_match?", lambda t, p: matches_of(t))
+
+
+def _pairs(t: dict) -> DataFrame:
+    return t["sequential"].drop("first_vendor")
+
+
+@BOOK.rule("contract_splitting", "contract vendor agency")
+def _(t, p):
+    return [splitting.contract_splitting(t, p), splitting.contract_splitting_small(t, p)]
+
+
+@BOOK.rule("duplicates", "payment vendor members")
+def _(t, p):
+    return [duplicates.exact_duplicates(t, p), duplicates.near_duplicates(t, p), duplicates.related_vendor_duplicates(t, p, t["members"])]
+
+
+@BOOK.rule("vendor_clustering", "vendor payment members names sequential")
+def _(t, p):
+    return [clustering.address_clusters(t, p, t["members"]), clustering.similar_name_alerts(t, p, t["names"]), clustering.sequential_alerts(t["sequential"])]
+
+
+@BOOK.rule("anomalies", "payment vendor agency contract")
+def _(t, p):
+    return [anomalies.round_numbers(t, p), anomalies.large_first_payments(t, p), anomalies.over_contract_payments(t, p), anomalies.unlisted_vendors(t, p), anomalies.august_spikes(t, p)]
 
-    def __init__(self, t: dict, p: Params):
-        self.t, self.p, self._made = t, p, {}
 
-    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = cut(make())
-        return self._made[name]
+@BOOK.rule("confidentiality", "payment vendor agency")
+def _(t, p):
+    return [confidentiality.high_confidentiality(t, p), confidentiality.confidentiality_spikes(t, p), confidentiality.vendor_confidentiality(t, p)]
 
-    @property
-    def members(self) -> DataFrame:
-        return self._once("members", lambda: clustering.address_members(self.t))
 
-    @property
-    def names(self) -> DataFrame:
-        return self._once("names", lambda: clustering.similar_names(self.t, self.p))
+@BOOK.rule("network", "vendor agency edges sequential members names")
+def _(t, p):
+    return [network.hub_vendors(t, p, t["edges"]), network.vendor_clusters(t, p, t["edges"], _pairs(t), t["members"], t["names"]), network.exclusive_relationships(t, p, t["edges"])]
 
-    @property
-    def sequential(self) -> DataFrame:
-        return self._once("sequential", lambda: clustering.sequential_relationships(self.t, self.p))
 
-    @property
-    def pairs(self) -> DataFrame:
-        return self.sequential.drop("first_vendor")
+@BOOK.rule("crossref", "vendor payment contract contribution tax_permit alert?")
+def _(t, p):
+    return [crossref.raw_address_clusters(t, p, t.get("alert")), crossref.pay_to_play(t, p), crossref.unregistered_vendors(t, p)]
 
-    @property
-    def edges(self) -> DataFrame:
-        return self._once("edges", lambda: network.spending_edges(self.t))
 
-    @property
-    def employee_names(self) -> DataFrame:
-        return self._once("employee_names", lambda: employee_match.name_matches(self.t, self.p))
+@BOOK.rule("employee_vendor", "payment employee_names sides")
+def _(t, p):
+    return [employee_match.name_alerts(t["employee_names"]), employee_match.address_alerts(t, t["sides"])]
 
-    @property
-    def sides(self) -> DataFrame:
-        return self._once("sides", lambda: employee_match.address_sides(self.t))
 
-    @property
-    def matches(self) -> DataFrame:
-        made = employee_match.entity_match_rows(self.employee_names, self.sides)
-        if "entity_match" not in self.t:
-            return made
-        return made.drop("evidence").unionByName(self.t["entity_match"].select(*[c for c in made.columns if c != "evidence"]))
+@BOOK.rule("ghost_vendors", "vendor payment")
+def _(t, p):
+    return [ghost.ghost_vendors(t, p), ghost.incomplete_addresses(t, p), ghost.suspicious_addresses(t, p)]
 
 
-def rules(s: Shared) -> dict[str, Callable[[], list[DataFrame]]]:
-    """Rule modules in their fixed order; earlier rules win where two emit the same alert."""
-    t, p = s.t, s.p
+@BOOK.rule("fiscal_year_rush", "payment vendor agency")
+def _(t, p):
+    return [fiscal.spending_rush(t, p), fiscal.vendor_year_end(t, p), fiscal.year_end_clusters(t, p)]
 
-    def network_rules() -> list[DataFrame]:
-        return [network.hub_vendors(t, p, s.edges), network.vendor_clusters(t, p, s.edges, s.pairs, s.members, s.names), network.exclusive_relationships(t, p, s.edges)]
 
-    return {
-        "contract_splitting": lambda: [splitting.contract_splitting(t, p), splitting.contract_splitting_small(t, p)],
-        "duplicates": lambda: [duplicates.exact_duplicates(t, p), duplicates.near_duplicates(t, p), duplicates.related_vendor_duplicates(t, p, s.members)],
-        "vendor_clustering": lambda: [clustering.address_clusters(t, p, s.members), clustering.similar_name_alerts(t, p, s.names), clustering.sequential_alerts(s.sequential)],
-        "anomalies": lambda: [anomalies.round_numbers(t, p), anomalies.large_first_payments(t, p), anomalies.over_contract_payments(t, p),
-                              anomalies.unlisted_vendors(t, p), anomalies.august_spikes(t, p)],
-        "confidentiality": lambda: [confidentiality.high_confidentiality(t, p), confidentiality.confidentiality_spikes(t, p), confidentiality.vendor_confidentiality(t, p)],
-        "network": network_rules,
-        "crossref": lambda: [crossref.raw_address_clusters(t, p, t.get("alert")), crossref.pay_to_play(t, p), crossref.unregistered_vendors(t, p)],
-        "employee_vendor": lambda: [employee_match.name_alerts(s.employee_names), employee_match.address_alerts(t, s.sides)],
-        "ghost_vendors": lambda: [ghost.ghost_vendors(t, p), ghost.incomplete_addresses(t, p), ghost.suspicious_addresses(t, p)],
-        "fiscal_year_rush": lambda: [fiscal.spending_rush(t, p), fiscal.vendor_year_end(t, p), fiscal.year_end_clusters(t, p)],
-        "related_party": lambda: [related.related_party_networks(t, p, s.pairs, s.members, s.matches, s.names),
-                                  related.contributor_triangles(t, p, s.employee_names, s.sides),
-                                  related.circular_patterns(t, p, s.edges, s.pairs, s.members, s.names)],
-        "debarment": lambda: [screening.debarred_vendors(t, p)],
-    }
+@BOOK.rule("related_party", "vendor payment contribution sequential members names matches employee_names sides edges")
+def _(t, p):
+    return [related.related_party_networks(t, p, _pairs(t), t["members"], t["matches"], t["names"]), related.contributor_triangles(t, p, t["employee_names"], t["sides"]),
+            related.circular_patterns(t, p, t["edges"], _pairs(t), t["members"], t["names"])]
 
 
-def _findings(parts: list[DataFrame], order: int) -> DataFrame | None:
-    return reduce(DataFrame.unionByName, [as_findings(d, order) for d in parts]) if parts else None
+@BOOK.rule("debarment", "vendor payment debarred")
+def _(t, p):
+    return screening.debarred_vendors(t, p)
 
 
-def run_rule(name: str, t: dict, p: Params) -> DataFrame:
-    """Findings of one rule by its public name."""
-    if name not in RULE_NAMES:
-        raise ValueError(f"unknown rule: {name}")
-    module = RULE_NAMES[name]
-    table = rules(Shared(t, p))
-    return _findings(table[module](), list(table).index(module))
+def run_rule(name: str, t: dict, p: Params, book: Rulebook = BOOK) -> DataFrame:
+    """Findings of one rule by its public name, or by the name it has in the book; an error of the rule is raised."""
+    found, outcome = book.run(t, p, [RULE_NAMES.get(name, name)])
+    if outcome[0]["status"] == "failed":
+        raise RuntimeError(outcome[0]["error"])
+    return found
 
 
-def run_all(t: dict, p: Params) -> tuple[DataFrame | None, list[dict]]:
+def run_all(t: dict, p: Params, book: Rulebook = BOOK) -> tuple[DataFrame | None, list[dict]]:
     """Findings of all rules and, per rule, success or the error. A failing rule does not stop the others."""
-    done, outcome = [], []
-    for order, (name, make) in enumerate(rules(Shared(t, p)).items()):
-        try:
-            found = _findings(make(), order)
-            found = cut(found) if found is not None else None
-        except Exception as e:  # noqa: BLE001
-            outcome.append({"rule": name, "status": "failed", "findings": 0, "error": str(e)[:500]})
-            continue
-        outcome.append({"rule": name, "status": "success", "findings": found.count() if found is not None else 0, "error": None})
-        if found is not None:
-            done.append(found)
-    return (reduce(DataFrame.unionByName, done) if done else None), outcome
+    return book.run(t, p)
 
 
 def for_vendor(findings: DataFrame, vendor_id: int) -> DataFrame:
