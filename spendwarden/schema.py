@@ -18,16 +18,18 @@ TABLES: dict[str, str] = {
               "phone string, hub_status string, nigp_codes array<string>, first_seen date, last_seen date, risk_score int, in_cmbl boolean, raw_data string",
     "payment": f"id bigint, vendor_id bigint, agency_id bigint, amount {MONEY}, payment_date date, fiscal_year_state int, fiscal_year_federal int, "
                "calendar_year int, comptroller_object_code string, description string, is_confidential boolean, source_system string, source_id string, raw_data string",
-    "contract": f"id bigint, contract_number string, vendor_id bigint, agency_id bigint, description string, current_value {MONEY}, max_value {MONEY}, "
+    "contract": f"id bigint, contract_number string, vendor_id bigint, agency_id bigint, description string, current_value {MONEY}, base_value {MONEY}, max_value {MONEY}, "
                 "start_date date, end_date date, nigp_codes array<string>, source string, fiscal_year int, raw_data string",
+    "contract_sale": f"contract_number string, file string, amount {MONEY}",
     "grant": f"id bigint, grant_number string, recipient_id bigint, agency_id bigint, program_name string, amount_awarded {MONEY}, amount_disbursed {MONEY}, "
              "fiscal_year int, start_date date, end_date date, source string, federal_award_id string, raw_data string",
     "alert": "id bigint, alert_type string, severity string, title string, description string, entity_type string, entity_id bigint, evidence string, "
              "status string, created_at timestamp",
     "alert_event": "alert_id bigint, status string, note string, at timestamp",
     "pia_request": "id bigint, agency_id bigint, subject string, request_text string, related_alert_id bigint, status string, submitted_date date, due_date date, received_date date",
-    "sync_status": "source_name string, started_at timestamp, run_id bigint, status string, records_synced bigint, error_message string",
+    "sync_status": "source_name string, started_at timestamp, run_id bigint, status string, records_synced bigint, error_message string, read_until timestamp",
     "vendor_relationship": f"vendor_id_1 bigint, vendor_id_2 bigint, relationship_type string, confidence_score {RATE}, evidence string",
+    "name_relationship": f"name string, other_name string, confidence_score {RATE}",
     "address_member": "address string, vendor_id bigint, vendors bigint",
     "employee": f"id bigint, name string, name_normalized string, agency_id bigint, job_title string, annual_salary {MONEY}, hire_date date, employment_status string, raw_data string",
     "contribution": f"id bigint, filer_name string, filer_type string, contributor_name string, contributor_normalized string, contributor_type string, "
@@ -44,8 +46,12 @@ TABLES: dict[str, str] = {
     "hhs_contract": "id bigint, contract_number string, vendor_name string, vendor_normalized string, vendor_id bigint, solicitation_number string, start_date date, end_date date, agency string",
 }
 
-# Payments are read by date range in most rules, so whole years of files can be left unread.
-PARTITION_BY = {"payment": ["fiscal_year_state"]}
+# Payments are read by date range in most rules, so whole years of files can be left unread. Logs are only appended to.
+PARTITION_BY = {"payment": ["fiscal_year_state"], "alert": [], "alert_event": [], "sync_status": []}
+# All other tables are dealt by id, or by these keys, into _part, so that an update rewrites some files and not all.
+KEYS = {"vendor_relationship": ["vendor_id_1", "vendor_id_2", "relationship_type"], "name_relationship": ["name", "other_name"], "address_member": ["address", "vendor_id"],
+        "entity_match": ["entity_type_1", "entity_id_1", "entity_type_2", "entity_id_2", "match_type"], "contract_sale": ["contract_number", "file"]}
+PARTS = 16  # for new rows; a row stays in the partition it is in, so the number may be raised later
 
 
 def schema_of(name: str) -> StructType:
@@ -58,12 +64,27 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(name).fields])
 
 
-def write_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") -> None:
-    """Store a table as Parquet; a new version belongs under a new path."""
-    out = conform(df, name).write.mode(mode)
+def placed(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """df with _part, where the table has no partition columns of its own."""
     if name in PARTITION_BY:
-        out = out.partitionBy(*PARTITION_BY[name])
-    out.parquet(path)
+        return df
+    return df.withColumn("_part", F.pmod(F.xxhash64(*KEYS.get(name, ["id"])), F.lit(parts or PARTS)).cast("int"))
+
+
+def store(df: DataFrame, name: str, path: str, mode: str) -> None:
+    """Write rows that have their partition columns; overwrite replaces only the partitions that df has rows of."""
+    by = PARTITION_BY.get(name, ["_part"])
+    if by:
+        df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
+def write_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") -> None:
+    """Store a whole table as Parquet; a new version belongs under a new path."""
+    by = PARTITION_BY.get(name, ["_part"])
+    out = placed(conform(df, name), name).write.mode(mode)
+    (out.partitionBy(*by) if by else out).parquet(path)
 
 
 def read_tables(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:

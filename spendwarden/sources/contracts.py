@@ -31,12 +31,13 @@ def map_contract_csv(df: DataFrame) -> DataFrame:
         F.when(F.size(codes) > 0, codes).alias("nigp_codes"), F.lit("LBB").alias("source"), raw(df).alias("raw_data"), "_pos").where("contract_number is not null"), "contract_number")
 
 
-def plain_columns(df: DataFrame) -> DataFrame:
-    """Spreadsheet headings to lower case with underscores."""
-    def plain(c: str) -> str:
-        return re.sub(r"[^0-9a-z_]", "", re.sub(r"[ -]", "_", c.strip().lower()))
+def plain_heading(c: str) -> str:
+    """A spreadsheet heading in lower case with underscores."""
+    return re.sub(r"[^0-9a-z_]", "", re.sub(r"[ -]", "_", c.strip().lower()))
+
 
-    return df.select(*[F.col(f"`{c}`").alias(c if c == "_pos" else plain(c)) for c in df.columns])
+def plain_columns(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").alias(c if c in ("_pos", "_cells") else plain_heading(c)) for c in df.columns])
 
 
 def map_contract_sheet(df: DataFrame) -> DataFrame:
@@ -87,8 +88,9 @@ def map_cooperative(df: DataFrame) -> DataFrame:
         raw(df).alias("raw_data"), "_pos").where("contract_number is not null"), "contract_number")
 
 
-def sales_rollup(df: DataFrame) -> DataFrame:
-    """Positive purchases summed per contract, other fields from its first row. The sum is partial before the shuffle."""
+def sales_rollup(df: DataFrame, per: str | None = None) -> DataFrame:
+    """Positive purchases summed per contract (or per contract and file), other fields from its first row. The sum is partial before the shuffle."""
+    by = [F.col("contract_number")] + ([F.col("_pos.file").alias("file")] if per == "file" else [])
     rows = df.select(
         filled(df, "contract_number").alias("contract_number"), known(df, "purchase_amount", default="0").try_cast("decimal(15,2)").alias("amount"),
         known(df, "vendor_name", default="").alias("vendor_name"), known(df, "customer_name", default="").alias("agency_name"),
@@ -96,8 +98,8 @@ def sales_rollup(df: DataFrame) -> DataFrame:
         parse_date(have(df, "contract_start_date"), "yyyy-MM-dd", cut=10).alias("start_date"),
         parse_date(have(df, "contract_termination_date"), "yyyy-MM-dd", cut=10).alias("end_date"), "_pos").where("contract_number is not null and amount > 0")
     head = F.struct("vendor_name", "agency_name", "description", "start_date", "end_date", "_pos")
-    return rows.groupBy("contract_number").agg(F.sum("amount").cast("decimal(15,2)").alias("current_value"), F.min_by(head, "_pos").alias("h")).select(
-        "contract_number", "current_value", "h.*", F.lit("dir_sales").alias("source"))
+    return rows.groupBy(*by).agg(F.sum("amount").cast("decimal(15,2)").alias("current_value"), F.min_by(head, "_pos").alias("h")).select(
+        "contract_number", *(["file"] if per == "file" else []), "current_value", "h.*", F.lit("dir_sales").alias("source"))
 
 
 def apply_sales(contracts: DataFrame, sales: DataFrame, base_value: str = "base_value") -> DataFrame:
