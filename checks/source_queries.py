@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
+from spendwarden import jobs, loads
 from spendwarden.functions import addresses, names, scalars, similarity
 from spendwarden.operators import resolve
+from spendwarden.plans import alerts, confidentiality, employee_match
 from spendwarden.plans.reports import hub_category
 from spendwarden.plans.requests import RESPONSE_DAYS
-from spendwarden.sources import contracts, html_tables, parties, payments, vendors
+from spendwarden.schema import read_tables, write_table
+from spendwarden.session import ensure_checkpoint_dir
+from spendwarden.sources import contracts, html_tables, parties, payments, readers, vendors
 
 from .registry import P, register
+from .rules_matching import _EMP, _SIDES
 from .sqltext import names_cte, norm_line, norm_name, norm_parts, norm_street, ratio_sql
 
 D = P.as_of
@@ -172,8 +180,8 @@ select "Class" as class_code, "Item" as item_code, first("Description" order by
 select "Class", null, first("Description" order by _pos) from land_book_v group by 1""")
 register("s20_describe_code", "land_book", lambda t, p: vendors.describe_code(t["land_book"], "7", "Brand#3"), """
 select "Description" from land_book_v where "Class" = '7' and "Item" = 'Brand#3' order by _pos limit 1""")
-register("s22_table_scan", "lineitem", lambda t, p: t["lineitem"].where("l_shipdate >= date'2001-01-01'").groupBy("l_returnflag").agg(F.count("*").alias("n")), """
-select l_returnflag, count(*) as n from lineitem where l_shipdate >= date '2001-01-01' group by 1""")
+register("s22_table_scan", "lineitem", lambda t, p: t["lineitem"].groupBy("l_returnflag", F.year("l_shipdate").alias("y")).agg(F.count("*").alias("n")), """
+select l_returnflag, year(l_shipdate)::bigint as y, count(*) as n from lineitem group by 1, 2""")
 
 _N = "n as materialized (select name as raw, {0} as k, min(_pos) as p from (select payee_name as name, _pos from land_payment_v where payee_name is not null) group by 1)".format(norm_name("name"))
 register("e01_new_vendors", "land_payment vendor", lambda t, p: resolve.new_vendors(
@@ -223,17 +231,17 @@ select id, {norm_street("split_part(line, ', ', 1)")} as street, 'CITY' as city,
   {norm_street("split_part(line, ', ', 1)")} || ' CITY ' || case when id % 2 = 0 then 'TX' else 'OK' end || ' ' || cast(70000 + id % 25 as varchar) as normalized
 from (select id, {_LINE} as line from vendor_v)""")
 def _address_matches(t, p):
-    v = t["vendor"].where("address is not null").select("id", "address", F.concat("address", F.lit(" N")).alias("b"), F.lit("5 ring street").alias("c"))
+    v = t["vendor"].select("id", "address", F.concat("address", F.lit(" N")).alias("b"), F.lit("5 ring street").alias("c"))
     near = similarity.match_addresses(v, "address", "b", "near")
     return similarity.match_addresses(near, "address", "c", "same").select("id", "near", "same")
 
 
 register("f04c_addresses_match", "vendor", _address_matches, f"""
-with v as (select id, {norm_line('address')} as a, {norm_line("(address || ' N')")} as b, '5 RING ST' as c from vendor_v where address is not null),
-x as (select * from (select distinct a as name from v union select distinct b from v union select '5 RING ST')),
+with v as (select id, {norm_line('address')} as a, {norm_line("(address || ' N')")} as b, '5 RING ST' as c, address is not null as given from vendor_v),
+x as (select * from (select distinct a as name from v where given union select distinct b from v where given union select '5 RING ST')),
 {names_cte('nx', 'x', 'name')}
 select v.id, a.name = b.name or {ratio_sql('a', 'b')} >= 85 as near, a.name = c.name or {ratio_sql('a', 'c')} >= 85 as same
-from v join nx a on a.name = v.a join nx b on b.name = v.b join nx c on c.name = v.c""")
+from v join nx a on a.name = v.a join nx b on b.name = v.b join nx c on c.name = v.c where given union all select id, false, false from v where not given""")
 register("f06_name_components", "vendor", lambda t, p: t["vendor"].select("id", names.name_components(
     F.concat("name_normalized", F.when(F.col("id") % 2 == 0, F.lit(" dba Best Shop")).otherwise(F.lit(". ")))).alias("c")).select("id", "c.*"), """
 select id, regexp_replace(name_normalized, ' INC$', '') as base_name, 'INC' as suffix, case when id % 2 = 0 then 'BEST SHOP' end as dba_name from vendor_v""")
@@ -252,8 +260,92 @@ register("f11_hub_category", "vendor", lambda t, p: t["vendor"].select("id", hub
 select id, case when id % 3 <> 0 then 'Asian Pacific - Woman' when hub_status is null then 'Unknown' when hub_status = 'X' then 'Multiple Certs' else hub_status end as c from vendor_v""")
 register("f12_business_days", "orders", lambda t, p: t["orders"].select("o_orderkey", scalars.add_business_days(F.col("o_orderdate").cast("date"), RESPONSE_DAYS).alias("due")), """
 select o_orderkey, (select d::date from unnest(generate_series(o_orderdate + interval 1 day, o_orderdate + interval 16 day, interval 1 day)) x(d) where isodow(d) < 6 order by d offset 9 limit 1) as due from orders""")
-register("f13_red_flag_texts", "vendor", lambda t, p: t["vendor"].where("address is not null").select("id", addresses.red_flag_texts(F.concat("address", F.when(F.col("id") % 5 == 0, F.lit(" Unit 0 PMB")).otherwise(F.lit("")))).alias("p")), """
+register("f13_red_flag_texts", "vendor", lambda t, p: t["vendor"].select("id", addresses.red_flag_texts(F.concat("address", F.when(F.col("id") % 5 == 0, F.lit(" Unit 0 PMB")).otherwise(F.lit("")))).alias("p")), """
 select id, array_to_string(list_filter(['po box','p.o. box','p o box','pmb','suite 0','apt 0','unit 0','unknown','n/a','none','general delivery'],
-  lambda x: contains(lower(address || case when id % 5 = 0 then ' Unit 0 PMB' else '' end), x)), '|') as p from vendor_v where address is not null""")
+  lambda x: coalesce(contains(lower(address || case when id % 5 = 0 then ' Unit 0 PMB' else '' end), x), false)), '|') as p from vendor_v""")
+register("f05_first_nonempty", "vendor", lambda t, p: t["vendor"].select("id", readers.pick(t["vendor"], "hub_status", "phone", "nowhere", "city").alias("first"),
+                                                                         readers.filled(t["vendor"], "phone", "hub_status").alias("filled")), """
+select id, trim(coalesce(nullif(hub_status, ''), nullif(phone, ''), nullif(city, ''), '')) as first, nullif(trim(coalesce(nullif(phone, ''), nullif(hub_status, ''), '')), '') as filled from vendor_v""")
+register("f15_shown_values", "payment", lambda t, p: t["payment"].select("id", F.left("description", F.lit(12)).alias("head"), F.date_format("payment_date", "yyyy-MM-dd").alias("day"),
+                                                                         F.round(F.col("amount").cast("double") / 1000, 1).alias("thousands")), """
+select id, left(description, 12) as head, strftime(payment_date, '%Y-%m-%d') as day, round(amount::double / 1000, 1) as thousands from payment_v""")
+register("f16_scalars", "alert", lambda t, p: t["alert"].select(
+    "id", F.length("title").alias("n"), F.month("created_at").alias("m"), F.when(F.col("severity") == "high", 1).otherwise(0).alias("high"), (F.col("status") == "new").cast("int").alias("fresh"),
+    scalars.json_text(F.col("evidence"), "vendor_name").alias("who"), F.ilike("title", F.lit("%ALERT 1%")).alias("hit")), """
+select id, length(title) as n, month(created_at)::bigint as m, (severity = 'high')::bigint as high, (status = 'new')::bigint as fresh, json_extract_string(evidence, '$.vendor_name') as who,
+  title ilike '%ALERT 1%' as hit from alert_v""")
+
+FAR = dt.datetime(2100, 1, 1)  # any file that lands is older
+
+
+def _folder(t) -> str:
+    spark = next(iter(t.values())).sparkSession
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/loads-{uuid.uuid4().hex}"
+
+
+def _payments_loaded(t, p):
+    """The landed payments as files, loaded twice into a table."""
+    spark, base = t["land_payment"].sparkSession, _folder(t)
+    t["land_payment"].orderBy("_pos").drop("_pos").write.json(f"{base}/landed")
+    loads.load(spark, f"{base}/audit", "payments", f"{base}/landed", FAR)
+    again = loads.load(spark, f"{base}/audit", "payments", f"{base}/landed", FAR.replace(month=2), full=True)
+    if again["records"]:
+        raise RuntimeError("a repeated load added rows")
+    got = read_tables(spark, f"{base}/audit", "payment", "vendor")
+    who = got["vendor"].select(F.col("id").alias("vendor_id"), F.col("name_normalized").alias("payee"))
+    return got["payment"].join(who, "vendor_id", "left").select(
+        "source_id", "amount", "payment_date", "fiscal_year_state", "is_confidential", "payee", F.col("agency_id").isNotNull().alias("with_agency"))
+
+
+register("k06_payments_loaded", "land_payment", _payments_loaded, f"""
+with n as materialized (select name, {norm_name('name')} as k from (select distinct payee_name as name from land_payment_v where payee_name is not null))
+select id as source_id, {money('amount')} as amount, d as payment_date, (year(d) + (month(d) >= 9)::int)::bigint as fiscal_year_state, confidential = 'y' as is_confidential, n.k as payee,
+  agency_name is not null as with_agency
+from (select *, {_PD} as d from land_payment_v where {money('amount')} <> 0 qualify row_number() over (partition by id order by _pos) = 1) l left join n on n.name = l.payee_name""")
+
+
+def _bidders_loaded(t, p):
+    """Two files of different headers, then a third that changes some vendors, read by two loads."""
+    spark, base = t["land_vendor"].sparkSession, _folder(t)
+    v = t["land_vendor"].drop("_pos").withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in t["land_vendor"].columns if c != "_pos"})
+    odd = v.where("WEB_VID = ''").select(F.col("`STATUS CODE`").alias("CertType"), F.col("STATE").alias("State"), F.col("WEB_NAME_VENDOR_NAME").alias("VENDOR NAME"), F.lit("x").alias("Remark"),
+                                         F.trim("`VENDOR ID NUMBER`").alias("VendorId"), F.col("WEB_ADDR1").alias("Street1"), F.col("WEB_CITY").alias("City"), F.col("`ZIP CODE`").alias("Zip"), F.col("WEB_PHONE").alias("Phone"))
+    for name, df in (("a", v.where("WEB_VID <> ''")), ("b", odd)):
+        df.write.option("header", True).option("escape", '"').csv(f"{base}/landed/{name}")
+    loads.load(spark, f"{base}/audit", "bidders", f"{base}/landed/*", FAR)
+    more = v.where("WEB_VID <> '' and WEB_ADDR1 <> ''").select("WEB_VID", F.concat(F.lit("New "), "WEB_NAME_VENDOR_NAME").alias("Name"), F.lit("").alias("WEB_PHONE"))
+    more.write.option("header", True).option("escape", '"').csv(f"{base}/landed/c")
+    loads.load(spark, f"{base}/audit", "bidders", f"{base}/landed/*", FAR.replace(month=2), full=True)  # file c is the last in order
+    return read_tables(spark, f"{base}/audit", "vendor")["vendor"].select(*_V)
+
+
+_NEW = "case when id % 2 = 0 and address is not null and address <> '' then 'New ' || v.name else v.name end"
+register("k06_bidders_updated", "land_vendor vendor", _bidders_loaded, f"""
+select vendor_id, {_NEW} as name, {norm_name(_NEW)} as name_normalized, nullif(address, '') as address, case when nullif(address, '') is not null then coalesce(upper(trim(city)), '') end as city,
+  case when nullif(address, '') is not null then state end as state, case when nullif(address, '') is not null then coalesce(zip_code, '') end as zip_code,
+  nullif(phone, '') as phone, nullif(hub_status, '') as hub_status, date '2100-01-01' as first_seen, true as in_cmbl
+from vendor_v v where vendor_id is not null""")
+
+
+def _learned(t, p):
+    """Employee matches and agency rates as written after the rules, twice over."""
+    spark, base = t["agency"].sparkSession, _folder(t)
+    write_table(t["agency"], "agency", f"{base}/agency")
+    shared = {"employee_names": employee_match.name_matches(t, p), "sides": employee_match.address_sides(t)}
+    found = alerts.as_findings(confidentiality.high_confidentiality(t, p.but(confidentiality_rate_threshold=0.05)))
+    jobs.write_learned(spark, base, shared, found)
+    if any(jobs.write_learned(spark, base, shared, found).values()):
+        raise RuntimeError("writing twice changed rows")
+    got = read_tables(spark, base, "agency", "entity_match")
+    return got["agency"].select(F.lit("agency").alias("kind"), "id", F.lit(None).cast("bigint").alias("other"), F.col("confidentiality_rate").cast("double").alias("score")).unionByName(
+        got["entity_match"].select(F.col("match_type").alias("kind"), F.col("entity_id_1").alias("id"), F.col("entity_id_2").alias("other"), F.col("confidence_score").cast("double").alias("score")))
+
+
+register("k05_learned_written", "agency payment employee vendor", _learned, f"""with {_EMP}, {_SIDES}
+select 'agency' as kind, a.id, null::bigint as other, case when n >= 100 and c::double / n >= 0.05 then round(c::double / n, 4) end as score from agency_v a
+  left join (select agency_id, count(*) as n, count(*) filter (where is_confidential) as c from payment_v group by 1) p on p.agency_id = a.id
+union all select 'name', employee_id, vendor_id, round(max(score) / 100, 4) from em group by employee_id, vendor_id
+union all select 'address', es.id, min(vs.id), 0.85 from es join vs on vs.address = es.address group by es.id""")
 register("f14_initials", "vendor", lambda t, p: t["vendor"].select("id", scalars.initials_code(F.col("name")).alias("code")), """
 select id, upper(array_to_string(list_transform(string_split(name, ' ')[1:4], lambda w: left(w, 1)), '')) as code from vendor_v""")

@@ -109,9 +109,9 @@ def run_rule(name: str, t: dict, p: Params, book: Rulebook = BOOK) -> DataFrame:
     return found
 
 
-def run_all(t: dict, p: Params, book: Rulebook = BOOK) -> tuple[DataFrame | None, list[dict]]:
+def run_all(t: dict, p: Params, book: Rulebook = BOOK, shared: dict | None = None) -> tuple[DataFrame | None, list[dict]]:
     """Findings of all rules and, per rule, success or the error. A failing rule does not stop the others."""
-    return book.run(t, p)
+    return book.run(t, p, shared=shared)
 
 
 def for_vendor(findings: DataFrame, vendor_id: int) -> DataFrame:

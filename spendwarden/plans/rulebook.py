@@ -95,10 +95,12 @@ class Rulebook:
                 todo += graph[name]
         return graph
 
-    def run(self, tables: dict, p: Params, only: Iterable[str] | None = None, at_once: int = AT_ONCE) -> tuple[DataFrame | None, list[dict]]:
+    def run(self, tables: dict, p: Params, only: Iterable[str] | None = None, at_once: int = AT_ONCE,
+            shared: dict | None = None) -> tuple[DataFrame | None, list[dict]]:
         """(findings, an outcome per rule in the rules' order). A step that fails takes with it only the rules that need it.
 
         Findings carry the rule's place in rule_order. Outcomes: rule, status (success or failed), findings, error.
+        A dict given as shared receives the shared results by name.
         """
         order = self.order(only)
         graph = self._graph(only)
@@ -139,6 +141,8 @@ class Rulebook:
                     else:
                         made[name] = future.result()
                     sorter.done(name)
+        if shared is not None:
+            shared.update({n: made[n] for n in order if n in made and not self.steps[n].rule})
         ran = [n for n in self.rules if n in graph]
         outcome = [{"rule": n, "status": "failed" if n in error else "success", "findings": counts.get(n, 0), "error": error.get(n)} for n in ran]
         found = [made[n] for n in ran if made.get(n) is not None]
