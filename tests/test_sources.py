@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from helpers import table
 
 from spendwarden.operators import resolve
-from spendwarden.plans import reports, requests
+from spendwarden.params import Params
+from spendwarden.plans import reports, requests, splitting
 from spendwarden.sources import contracts, html_tables, parties, payments, readers, vendors
 
 DAY = dt.date(2024, 5, 1)
@@ -134,9 +135,12 @@ def test_agency_codes(spark):
 def test_requests_and_reports(spark):
     alert = table(spark, "alert", {"id": 1, "alert_type": "contract_splitting", "title": "T", "description": "D", "entity_id": 4, "evidence": '{"vendor_name": "Acme", "agency_id": 3}'},
                   {"id": 2, "alert_type": "hub_vendor", "title": "H", "description": "Hub text", "evidence": "{}"})
-    c = table(spark, "contract", *[{"vendor_id": 4, "contract_number": f"N{i:02d}", "current_value": 1000 + i} for i in range(12)])
+    own = [{"vendor_id": 4, "agency_id": 3, "contract_number": f"N{i:02d}", "current_value": 46000 + i, "start_date": "2024-01-02"} for i in range(12)]
+    others = [{**own[0], "contract_number": "N90", **x} for x in ({"agency_id": 2}, {"vendor_id": 5}, {"current_value": 44999}, {"start_date": "2020-01-01"})]
+    c = splitting.alert_contracts(alert, table(spark, "contract", *own, *others), Params(as_of=DAY))
     got = {r["related_alert_id"]: r for r in requests.draft_requests(alert, c).collect()}
-    assert got[1]["letter"] == "splitting" and got[1]["agency_id"] == 3 and got[1]["request_text"].count("  - N") == 10 and "Acme" in got[1]["request_text"]
+    assert got[1]["letter"] == "splitting" and got[1]["agency_id"] == 3 and got[1]["request_text"].count("  - N") == 12 and "Acme" in got[1]["request_text"]
+    assert "N90" not in got[1]["request_text"] and requests.draft_requests(alert, c, 3).where("related_alert_id = 1").first()["request_text"].count("  - N") == 3
     assert got[2]["letter"] == "general" and "Hub text" in got[2]["request_text"]
     r = spark.createDataFrame([(1, "draft", None, None)], "id bigint, status string, submitted_date date, due_date date")
     sent = requests.submit(r, dt.date(2024, 5, 3))
