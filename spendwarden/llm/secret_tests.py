@@ -21,7 +21,10 @@ ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are maximal, so a shorter one holds no longer one
 HEX = r"[0-9a-f]{24,}"
 
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+# a token is a maximal run of these; where an assignment begins in one, the match goes on through its value
+SIGNS = "A-Za-z0-9+/_=-"
+TOKEN = rf"(?<![{SIGNS}])(?:[{SIGNS}]*?{ASSIGN.replace('(?i)(?:', '(?i:')}|[{SIGNS}]{{20,}})"
+PART = 16  # least length of the parts of a token that are tested by themselves
 # fixed values: letter frequencies of running text, in per cent, a to z
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 LOWER, UPPER, DIGIT, SIGN = 0.88, 0.06, 0.03, 0.03  # shares of the kinds of characters in running text
@@ -88,6 +91,31 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), _let(pieces, placed)).otherwise(none)
 
 
+def _pieces(token: Column) -> Column:
+    """array<struct<start, hit>> of the parts between a token's separators, where it has any, that are long enough to be tested."""
+    cut = F.split(token, "[/=_-]", -1)
+    placed = F.zip_with(cut, _starts(F.transform(cut, lambda x: F.length(x).cast("long") + 1)), lambda x, s: F.struct(s.alias("start"), x.alias("hit")))
+    none = F.array().cast("array<struct<start:bigint,hit:string>>")
+    return F.when(token.rlike("[/=_-]"), F.filter(placed, lambda x: F.length(x["hit"]) >= PART)).otherwise(none)
+
+
+def _tested(start: Column, hit: Column) -> Column:
+    size = F.length(hit)
+    return F.struct(start.alias("start"), (start + size).alias("stop"), F.floor(F.log2(size.cast("double"))).cast("int").alias("band"), evidence(hit).alias("evidence"))
+
+
+def tokens(text: Column) -> Column:
+    """array<struct<whole, parts>>: tokens that touch no base span, with band of length and evidence, and their parts between / = _ -.
+
+    A base span of hexadecimal or access kind lies whole in one token, so the token's own text tells; an assignment is
+    found by the same search as the tokens, from the token it begins in.
+    """
+    run = lambda x: F.regexp_extract(x["hit"], f"^[{SIGNS}]+", 0)
+    free = F.filter(found(text, TOKEN, 1), lambda x: (F.length(x["part"]) < 6) & (F.length(run(x)) >= 20) & ~run(x).rlike(HEX) & ~run(x).rlike(ACCESS))
+    return F.transform(free, lambda x: _let(F.struct(x["start"].alias("start"), run(x).alias("hit")), lambda t: F.struct(
+        _tested(t["start"], t["hit"]).alias("whole"), F.transform(_pieces(t["hit"]), lambda p: _tested(t["start"] + p["start"], p["hit"])).alias("parts"))))
+
+
 def _span(kind: int):
     return lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("stop"))
 
@@ -166,19 +194,18 @@ def evidence(token: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs with _base (spans of the fixed kinds) and _tokens (start, stop, band of length, evidence); null texts count as empty."""
+    """docs with _base (spans of the fixed kinds) and _tokens (the tokens beside them); null texts count as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.transform(found(text, TOKEN), lambda x: F.struct(
-        x["start"].alias("start"), x["stop"].alias("stop"), F.floor(F.log2(F.length(x["hit"]).cast("double"))).cast("int").alias("band"), evidence(x["hit"]).alias("evidence")))
-    return docs.withColumns({"_base": base_spans(text), "_tokens": tokens})
+    return docs.withColumns({"_base": base_spans(text), "_tokens": tokens(text)})
 
 
 def cutoffs(scan: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
-    """Least evidence that counts as a discovery, by band of length, over all tokens of the corpus.
+    """Least evidence that counts as a discovery, by band of length, over all tokens and parts of the corpus.
 
     At most TOP + 1 counts per band reach the driver.
     """
-    counts = scan.select(F.explode("_tokens").alias("t")).groupBy("t.band", "t.evidence").agg(F.count("*").alias("n")).collect()
+    every = F.flatten(F.transform("_tokens", lambda t: F.concat(F.array(t["whole"]), t["parts"])))
+    counts = scan.select(F.explode(every).alias("t")).groupBy("t.band", "t.evidence").agg(F.count("*").alias("n")).collect()
     out = {}
     for band in {r["band"] for r in counts}:
         steps = sorted(((r["evidence"], r["n"]) for r in counts if r["band"] == band), reverse=True)
@@ -191,10 +218,10 @@ def cutoffs(scan: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
 
 
 def decided(scan: DataFrame, cuts: dict[int, int]) -> DataFrame:
-    """scan with _spans: the base spans and the discoveries that touch none of them, sorted by start, then kind."""
+    """scan with _spans: the base spans and the discoveries (a token, or else its parts), sorted by start, then kind."""
     cut = F.lit(TOP + 1)
     pick = lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in sorted(cuts.items()) for v in pair]), t["band"]), cut) if cuts else cut
-    more = F.filter("_tokens", lambda t: (t["evidence"] >= pick(t)) & ~F.exists("_base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    more = F.flatten(F.transform("_tokens", lambda t: F.when(t["whole"]["evidence"] >= pick(t["whole"]), F.array(t["whole"])).otherwise(F.filter(t["parts"], lambda x: x["evidence"] >= pick(x)))))
     return scan.withColumn("_spans", F.sort_array(F.concat("_base", F.transform(more, _span(3)))))
 
 
@@ -212,6 +239,27 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.sha2(_named("_base").cast("binary"), 256).alias("base_sha256"), _named("_spans").alias("spans"))
 
 
+def _running_most(a: Column) -> Column:
+    """The greatest of each element and those before it, of an array of longs; by blocks, so that long arrays cost no square."""
+    def most(x: Column) -> Column:
+        return F.aggregate(x, F.array().cast("array<bigint>"), lambda acc, v: F.concat(acc, F.array(F.greatest(v, F.try_element_at(acc, F.lit(-1))))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
+    return _let(blocks, lambda cut: F.flatten(F.zip_with(
+        cut, F.concat(F.array(F.lit(None).cast("bigint")), most(F.transform(cut, F.array_max))),
+        lambda block, before: F.when(block.isNotNull(), F.transform(most(F.coalesce(block, F.array().cast("array<bigint>"))), lambda v: F.greatest(v, before))).otherwise(F.array().cast("array<bigint>")))))
+
+
+def merged_spans(spans: Column) -> Column:
+    """array<struct<start, stop>>: sorted spans with overlapping ones made one; a span begins anew where it starts at or after the end of all before."""
+    def ends(most: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(spans)), lambda i: (i == 1) | (F.element_at(spans, i)["start"] >= F.element_at(most, F.greatest(i - 1, F.lit(1)))))
+        return _let(first, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(spans) + 1)), lambda a, b: F.struct(
+            F.element_at(spans, a)["start"].alias("start"), F.element_at(most, b - 1).alias("stop"))))
+
+    return _let(_running_most(F.transform(spans, lambda x: x["stop"])), ends)
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every secret span replaced by mask and n_chars counted anew; texts without secrets stay as they are.
 
@@ -219,16 +267,12 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """
     scan = scanned(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "text"))
     rows = decided(scan, cutoffs(scan.select("_tokens")))
-    merged = F.aggregate("_spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["start"] < F.element_at(acc, -1)["stop"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))
-    ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))))
     # what stands between two masked spans, from the end of one to the start of the next
     kept = lambda m: F.zip_with(
         F.concat(F.array(F.lit(0).cast("long")), F.transform(m, lambda x: x["stop"])),
         F.concat(F.transform(m, lambda x: x["start"]), F.array(F.length("text").cast("long"))),
         lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, (b - a).cast("int")))
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.array_join(_let(merged, kept), mask))
+    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.array_join(_let(_let(F.col("_spans"), merged_spans), kept), mask))
     rows = rows.select("_row", text.alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
