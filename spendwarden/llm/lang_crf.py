@@ -29,6 +29,7 @@ MEMBER = np.zeros(256, bool)
 MEMBER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+FAMILIAR, DEVIATIONS = 0.15, 3.0  # a text is of no learned language if so many standard deviations fewer of its words are in the lexicon
 
 
 def words_of(column: pa.Array) -> Words:
@@ -173,16 +174,24 @@ class Model:
 
     def posteriors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(posterior of every word and label, word offsets of the texts)."""
+        return self._decode(column)[:2]
+
+    def _decode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = words_of(column)
-        emit = Features(w, self.lexicon).scores(self.affix, self.gram, self.entry)
-        return chain(emit, w.of, np.exp(self.change)), w.of
+        f = Features(w, self.lexicon)
+        return chain(f.scores(self.affix, self.gram, self.entry), w.of, np.exp(self.change)), w.of, f.entry
 
     def shares(self, column: pa.Array) -> np.ndarray:
         """Share of each label in the posterior mass of each text; zeros where a text has no words."""
-        post, of = self.posteriors(column)
+        return self.read(column)[0]
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shares, words, words of the lexicon) of each text."""
+        post, of, entry = self._decode(column)
+        hits = np.concatenate([[0], np.cumsum(entry < len(self.lexicon))])
         total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
         mass = total[of[1:]] - total[of[:-1]]
-        return mass / np.maximum(np.diff(of), 1)[:, None]
+        return mass / np.maximum(np.diff(of), 1)[:, None], np.diff(of), hits[of[1:]] - hits[of[:-1]]
 
 
 def fit(rows: list[tuple], seed: int = 7) -> Model | None:
@@ -273,8 +282,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return fit(texts_of(docs, sample_ids(docs.where("text is not null"), "lang", per_language)))
 
 
+def unfamiliar(words: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Texts with significantly fewer words of the lexicon than FAMILIAR of them; a short text never is one."""
+    return hits + DEVIATIONS * np.sqrt(words * FAMILIAR * (1 - FAMILIAR)) < words * FAMILIAR
+
+
 def _labelled(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns keep of docs as k0, k1, ..., with lang_pred and score."""
+    """The columns keep of docs as k0, k1, ..., with lang_pred, score and foreign (of no learned language, by its words)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the number of languages alone
     names = [f"k{i}" for i in range(len(keep))]
     read = keep if "text" in keep else [*keep, "text"]
@@ -287,16 +301,16 @@ def _labelled(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
             for part in slices(batch, f"k{at}"):
                 text = part.column(at)
                 lettered = np.array([t is not None and LETTER.search(t) is not None for t in text.to_pylist()], bool)
-                label, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
+                label, score, foreign = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
                 if m is not None and lettered.any():
-                    share = m.shares(text)
+                    share, words, hits = m.read(text)
+                    foreign = unfamiliar(words, hits)
                     best = share.max(1)
-                    sure = lettered & (best > 0)
-                    label[sure] = np.array(m.labels, object)[share.argmax(1)[sure]]
-                    score[sure] = np.minimum(best[sure], 1.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                    label[lettered] = np.array(m.labels, object)[share.argmax(1)[lettered]]
+                    score[lettered] = np.minimum(best[lettered], 1.0)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score), pa.array(foreign)], names=[*names, "lang_pred", "score", "foreign"])
 
-    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "lang_pred string", "score double", "foreign boolean"])
     return docs.select(*[f"`{c}`" for c in read]).mapInArrow(run, schema)
 
 
@@ -304,14 +318,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row, from the whole text.
 
     score is the label's share of the words' posterior mass. Texts that are null or have no letter, and all texts if no
-    model could be learned, are und with score 0; so are letters that form no word, as none can. Ties go to the label first in order.
+    model could be learned, are und with score 0. Ties go to the label first in order, as do letters that form no word (a lone sign of Latin-1), with score 0.
     """
-    return _labelled(docs, model, ["doc_id"]).withColumnRenamed("k0", "doc_id")
+    return _labelled(docs, model, ["doc_id"]).select(F.col("k0").alias("doc_id"), "lang_pred", "score")
+
 
+def known_only(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, that are of learned languages, one or several.
 
-def known_only(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known and holds at least that share of the words."""
-    rows = _labelled(docs, model, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    Texts that are und go, and texts whose words are hardly ever in the lexicon of any language. How many languages were
+    learned plays no part, and evenly mixed texts stay. Without a model no text is known.
+    """
+    rows = _labelled(docs, model, docs.columns).where((F.col("lang_pred") != UNKNOWN) & ~F.col("foreign"))
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
