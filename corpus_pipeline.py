@@ -9,27 +9,27 @@ from spendwarden.llm.store import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of which no language holds three tenths of the words, go."""
+    """Documents of no learned language go: null, empty and letterless texts, and texts whose words no lexicon knows. Repeated rows are judged alike; an empty table stays empty."""
     return lang_crf.known_only(docs, lang_crf.train(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
+    """Of each class of near-duplicates the document with the least id stays; of repeated rows one, null texts as the operator says."""
     return dart_minhash.first_of_class(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every document stays, null texts as null."""
     return secret_tests.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it; empty and null texts have no size and count once or not at all, as their source's rate says."""
     return source_mix.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of each row."""
+    """doc_id, lang, source, n_tokens, ids of each row; null and empty texts have no tokens."""
     return bpe_backtrack.encode(docs)
 
 
