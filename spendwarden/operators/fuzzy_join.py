@@ -8,6 +8,8 @@ ceil(t*(p+q)/2) long. From that follow, without losing a match:
   prefix, and every choice of `grams` prefix bigrams becomes one join key. Names too short for this bound use
   what is left after deleting the few letters the cutoff allows. One bigram per key suits small or repetitive
   name sets, two or three suit large and varied ones; a hashed sample of names tells which costs least;
+* below a cutoff of 75 a match may destroy every bigram, but the common subsequence is still made of letters both names
+  have. There a key is one letter, numbered where it repeats, of the rarest that a name cannot all be without;
 * bit signatures: bigrams and letters hashed into bits. Each differing bit needs a differing element, so
   too many differing bits rule a pair out before its text is compared.
 
@@ -40,7 +42,7 @@ SAMPLE_NAMES = 20000  # names looked at to choose the key width
 PAIR_COST, KEY_COST = 3e-8, 5e-6  # seconds per compared pair and per key row
 STEP_ROWS, STEP_PAIRS = 1 << 16, 1 << 20
 GRAM_WORDS, LETTER_WORDS = 4, 2
-MIN_CUTOFF = 75
+GRAM_CUTOFF = 75  # bigrams bound nothing under this
 
 
 def _need(total: int, cutoff: float) -> int:
@@ -57,23 +59,27 @@ class _Plan:
     """Key layout for one cutoff, worked out once on the driver."""
 
     def __init__(self, cutoff: float, grams: int):
-        if cutoff < MIN_CUTOFF:
-            raise ValueError(f"cutoff below {MIN_CUTOFF} leaves no useful keys")
-        self.cutoff, self.grams = cutoff, grams
+        if cutoff <= 0:
+            raise ValueError("a cutoff of 0 matches everything")
+        self.width = 2 if cutoff >= GRAM_CUTOFF else 1  # bigrams or letters
+        self.cutoff, self.grams = cutoff, grams if self.width == 2 else 1
         self.short = max((n for n in range(1, 200) if self._overlap(n) < grams), default=0)
         self._prefix: dict[int, int] = {}
         self._drops: dict[int, int] = {}
 
     def _overlap(self, n: int, above: int = 0) -> int:
         sizes = [p for p in _partners(n, self.cutoff) if p > above]
+        if self.width == 1:
+            return min((_need(n + p, self.cutoff) for p in sizes), default=n)
         return min((3 * _need(n + p, self.cutoff) - (n + p) - 1 for p in sizes), default=n)
 
     def prefix(self, n: int) -> int:
-        """Bigrams to choose from; 0 for names that only use deletions."""
+        """Bigrams (or letters) to choose from; 0 for names that only use deletions."""
         if n <= self.short:
             return 0
         if n not in self._prefix:
-            self._prefix[n] = min(n - 1, n - 1 - self._overlap(n, self.short) + self.grams)
+            all_ = n - self.width + 1
+            self._prefix[n] = min(all_, all_ - self._overlap(n, self.short) + self.grams)
         return self._prefix[n]
 
     def drops(self, n: int) -> int:
@@ -106,8 +112,8 @@ def _bucket(token: int) -> int:
     return (token * 0x9E3779B97F4A7C15 >> 24) % BUCKETS
 
 
-def _bucket_batch(names: pd.Series) -> pd.Series:
-    return pd.Series([[_bucket(t) for t in _tokens(n, 2)] + [BUCKETS] for n in names])
+def _bucket_batch(width: int):
+    return F.pandas_udf(lambda names: pd.Series([[_bucket(t) for t in _tokens(n, width)] + [BUCKETS] for n in names]), "array<int>")
 
 
 def _text_key(text: str) -> int:
@@ -119,14 +125,14 @@ def _key_maker(plan: _Plan, rarity: np.ndarray):
     factors = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     picks: dict[int, list[np.ndarray]] = {}
 
-    def make(name: str, grams: list[int]) -> list[int]:
+    def make(name: str) -> list[int]:
         keys: set[int] = set()
         size = plan.prefix(len(name))
         if size >= plan.grams:
             if size not in picks:
                 chosen = np.array(list(combinations(range(size), plan.grams)))
                 picks[size] = [chosen[:, i] for i in range(plan.grams)]
-            rare = np.array(sorted(grams, key=lambda t: (rarity[_bucket(t)], t))[:size], dtype=np.uint64)
+            rare = np.array(sorted(_tokens(name, plan.width), key=lambda t: (rarity[_bucket(t)], t))[:size], dtype=np.uint64)
             with np.errstate(over="ignore"):
                 mixed = sum((rare[p] + f) * f for p, f in zip(picks[size], factors))
                 mixed ^= mixed >> np.uint64(29)
@@ -146,7 +152,7 @@ def _signer(plan: _Plan, rarity: np.ndarray):
         rows = []
         for name in names:
             grams = _tokens(name, 2)
-            rows.append([make(name, grams), *_bits(grams, GRAM_WORDS), *_bits(_tokens(name, 1), LETTER_WORDS)])
+            rows.append([make(name), *_bits(grams, GRAM_WORDS), *_bits(_tokens(name, 1), LETTER_WORDS)])
         return pd.DataFrame(rows, columns=fields)
 
     return F.pandas_udf(sign, "keys array<bigint>, " + ", ".join(f"{f} bigint" for f in fields[1:]))
@@ -154,16 +160,15 @@ def _signer(plan: _Plan, rarity: np.ndarray):
 
 def _keys_only(plan: _Plan, rarity: np.ndarray):
     make = _key_maker(plan, rarity)
-    return F.pandas_udf(lambda names: pd.Series([make(n, _tokens(n, 2)) for n in names]), "array<bigint>")
+    return F.pandas_udf(lambda names: pd.Series([make(n) for n in names]), "array<bigint>")
 
 
-def _rarity(names: DataFrame) -> tuple[np.ndarray, int]:
-    """How often each bigram bucket occurs, and the number of names.
+def _rarity(names: DataFrame, width: int = 2) -> tuple[np.ndarray, int]:
+    """How often each bucket of bigrams (or letters) occurs, and the number of names.
 
     At most BUCKETS + 1 rows reach the driver, whatever the data.
     """
-    buckets = F.pandas_udf(_bucket_batch, "array<int>")
-    rows = names.select(F.explode(buckets("name")).alias("b")).groupBy("b").count().collect()
+    rows = names.select(F.explode(_bucket_batch(width)("name")).alias("b")).groupBy("b").count().collect()
     out = np.zeros(BUCKETS + 1, dtype=np.int64)
     for b, n in rows:
         out[b] = n
@@ -172,7 +177,7 @@ def _rarity(names: DataFrame) -> tuple[np.ndarray, int]:
 
 def _choose_grams(names: DataFrame, total: int, cutoff: float, rarity: np.ndarray) -> int:
     """Key width with the least estimated cost; the sample only steers the layout, never the result."""
-    if total <= SAMPLE_NAMES:
+    if total <= SAMPLE_NAMES or cutoff < GRAM_CUTOFF:
         return 1
     step = -(-total // SAMPLE_NAMES)
     sample = names.where(F.pmod(F.xxhash64("name"), F.lit(step)) == 0)
@@ -263,7 +268,7 @@ def fuzzy_pairs(left: DataFrame, left_name: str, right: DataFrame, right_name: s
     lnames = cut(_distinct_names(left, left_name))
     rnames = lnames if same else cut(_distinct_names(right, right_name))
     both = lnames if same else lnames.unionByName(rnames)
-    rarity, total = _rarity(both)
+    rarity, total = _rarity(both, _Plan(cutoff, 1).width)
     grams = grams or _choose_grams(both, total, cutoff, rarity)
     sign = _signer(_Plan(cutoff, grams), rarity)
     word_cols = [f"g{i}" for i in range(GRAM_WORDS)] + [f"c{i}" for i in range(LETTER_WORDS)]
@@ -276,7 +281,7 @@ def fuzzy_pairs(left: DataFrame, left_name: str, right: DataFrame, right_name: s
     lk = cut(keyed(lnames)) if crowded else keyed(lnames)
     rk = lk if same else (cut(keyed(rnames)) if crowded else keyed(rnames))
 
-    if crowded and grams < WIDEST and total > cell_rows * crowd_cells:
+    if crowded and cutoff >= GRAM_CUTOFF and grams < WIDEST and total > cell_rows * crowd_cells:
         limit = F.count("*") > cell_rows * crowd_cells
         both_keys = lk.select("key") if same else lk.select("key").unionByName(rk.select("key"))
         packed = cut(both_keys.groupBy("key").agg(limit.alias("much")).where("much").select("key"))

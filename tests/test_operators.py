@@ -104,3 +104,37 @@ def test_upsert_insert_and_keep_best(spark):
     want = {(1, 2): (0.8, "old"), (1, 3): (0.9, "new"), (4, 5): (0.1, "new")}
     assert {(r["a"], r["b"]): (r["c"], r["e"]) for r in once.collect()} == want
     assert {(r["a"], r["b"]): (r["c"], r["e"]) for r in keep_best(once, add, ["a", "b"], "c").collect()} == want
+
+
+@pytest.mark.parametrize("cutoff", [40, 50, 60, 67, 70, 74])
+def test_low_cutoffs_equal_brute_force(spark, cutoff, monkeypatch):
+    from spendwarden.operators import fuzzy_join as module
+
+    monkeypatch.setattr(module, "CELL_ROWS", 40)
+    rng = random.Random(cutoff)
+    words = ["ACME", "SUPPLY", "CO", "INC", "BUILDERS", "AB", "BA", "A", "OF", "TEXAS", "ÉLAN", "AAAA", "ROADS", "DOORS"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 4)))[: rng.randrange(1, 22)].strip() or "X" for _ in range(160)})
+    left, right = names[::2] + names[:20], names[1::2] + names[10:30]
+    l, r = spark.createDataFrame([(n,) for n in left], "a string"), spark.createDataFrame([(n,) for n in right], "b string")
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    score = lambda a, b: 200.0 * lcs(a, b) / (len(a) + len(b))
+    want = {(a, b) for a in left for b in right if score(a, b) >= cutoff}
+    got = [(x["left_name"], x["right_name"]) for x in module.fuzzy_pairs(l, "a", r, "b", cutoff, cell_rows=40).collect()]
+    assert set(got) == want and len(got) == len(set(got))
+    if cutoff == 70:
+        same = {(x["left_name"], x["right_name"]) for x in module.fuzzy_pairs(l, "a", l, "a", cutoff, cell_rows=40).collect()}
+        assert same == {(a, b) for a in left for b in left if score(a, b) >= cutoff}
+
+
+def test_a_cutoff_of_nothing_is_refused(spark):
+    df = spark.createDataFrame([("A",)], "a string")
+    with pytest.raises(ValueError, match="matches everything"):
+        fuzzy_pairs(df, "a", df, "a", 0)
