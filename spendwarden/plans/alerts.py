@@ -45,7 +45,7 @@ def as_findings(df: DataFrame, rule_order: int = 0) -> DataFrame:
         F.col("entity_id").cast("bigint").alias("entity_id"), evidence.alias("evidence"), F.lit(rule_order).alias("rule_order"))
 
 
-def _part() -> Column:
+def alert_part() -> Column:
     """What the type's PART names in the evidence; empty for types without."""
     kinds = [F.when(F.col("alert_type") == kind, F.get_json_object("evidence", f"$.{field}")) for kind, field in PART.items()]
     return F.coalesce(*kinds, F.lit("")).alias("_part")
@@ -60,8 +60,8 @@ def new_alerts(findings: DataFrame, existing: DataFrame, key: list[str] = KEY) -
     row = F.struct(*[F.col(c) for c in findings.columns])
     order = F.struct(F.col("rule_order"), -severity_rank(F.col("severity")), F.col("evidence"))
     named = findings.where(F.col("entity_id").isNotNull())
-    best = named.groupBy(*key, _part()).agg(F.min_by(row, order).alias("_r")).select("_r.*", "_part")
-    open_ = existing.where(~F.col("status").isin(*CLOSED)).select(*key, _part()).distinct()
+    best = named.groupBy(*key, alert_part()).agg(F.min_by(row, order).alias("_r")).select("_r.*", "_part")
+    open_ = existing.where(~F.col("status").isin(*CLOSED)).select(*key, alert_part()).distinct()
     fresh = best.join(open_, [*key, "_part"], "left_anti").select(*findings.columns)
     return fresh.unionByName(findings.where(F.col("entity_id").isNull()))
 

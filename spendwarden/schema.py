@@ -25,6 +25,8 @@ TABLES: dict[str, str] = {
              "fiscal_year int, start_date date, end_date date, source string, federal_award_id string, raw_data string",
     "alert": "id bigint, alert_type string, severity string, title string, description string, entity_type string, entity_id bigint, evidence string, "
              "status string, created_at timestamp",
+    "alert_state": "id bigint, alert_type string, severity string, title string, description string, entity_type string, entity_id bigint, evidence string, status string, "
+                   "created_at timestamp, notes string, acknowledged_at timestamp, resolved_at timestamp",
     "alert_event": "alert_id bigint, status string, note string, at timestamp",
     "pia_request": "id bigint, agency_id bigint, subject string, request_text string, related_alert_id bigint, status string, submitted_date date, due_date date, received_date date",
     "sync_status": "source_name string, started_at timestamp, run_id bigint, status string, records_synced bigint, error_message string, read_until timestamp",

@@ -29,8 +29,24 @@ def near_duplicate_stream(payments: DataFrame, p: Params, delay: str = "7 days")
     return runs.where("first_date < last_date").select("vendor_id", "amount", "payment_count", "first_date", "last_date")
 
 
+def land_within(stream: DataFrame, path: str, checkpoint: str, key: str = "id", arrived: str = "arrived_at", delay: str = "7 days") -> StreamingQuery:
+    """Append payments, each key once, where a payment is sent again within delay of its arrival at most.
+
+    Only the keys of that span are kept in state; nothing that has landed is read again. The clock is the arrival, not the
+    payment's own date, so payments of any date land. Each batch owns one folder, so a repeated batch replaces itself.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    fresh = stream.withWatermark(arrived, delay).dropDuplicatesWithinWatermark([key])
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def land(stream: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Append payments not landed before. Each batch owns one folder, so a repeated batch replaces itself."""
+    """Append payments not landed before, however long ago that was; for that the keys of all that has landed are read.
+
+    Each batch owns one folder, so a repeated batch replaces itself.
+    """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
