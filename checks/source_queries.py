@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from spendwarden import jobs, loads
 from spendwarden.functions import addresses, names, scalars, similarity
-from spendwarden.operators import resolve
+from spendwarden.operators import resolve, substring
+from spendwarden.operators.components import connected_components, fold_edges
 from spendwarden.plans import alerts, confidentiality, employee_match
 from spendwarden.plans.reports import hub_category
 from spendwarden.plans.requests import RESPONSE_DAYS
 from spendwarden.schema import read_tables, write_table
-from spendwarden.session import ensure_checkpoint_dir
+from spendwarden.session import cut, ensure_checkpoint_dir
 from spendwarden.sources import contracts, html_tables, parties, payments, readers, vendors
 
 from .registry import P, register
@@ -349,3 +350,35 @@ union all select 'name', employee_id, vendor_id, round(max(score) / 100, 4) from
 union all select 'address', es.id, min(vs.id), 0.85 from es join vs on vs.address = es.address group by es.id""")
 register("f14_initials", "vendor", lambda t, p: t["vendor"].select("id", scalars.initials_code(F.col("name")).alias("code")), """
 select id, upper(array_to_string(list_transform(string_split(name, ' ')[1:4], lambda w: left(w, 1)), '')) as code from vendor_v""")
+
+
+def _folded(t, p):
+    """Edges that arrive in three batches, folded one after the other."""
+    edges = t["lineitem"].where("l_quantity >= 49").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + 1 + F.col("l_linenumber") * 3).alias("dst"), F.pmod("l_orderkey", F.lit(3)).alias("turn"))
+    labels = connected_components(edges.where("turn = 0"))
+    for turn in (1, 2):
+        changed = cut(fold_edges(labels, edges.where(F.col("turn") == turn)))
+        labels = cut(labels.join(changed.select("node"), "node", "left_anti").unionByName(changed))
+    return labels
+
+
+register("g01_folded_components", "lineitem", _folded, """with e as (select distinct l_partkey as a, l_partkey + 1 + l_linenumber * 3 as b from lineitem where l_quantity >= 49),
+links as materialized (select a as src, b as dst from e union select b, a from e),
+reach(a, b) as (select src, src from links union select r.a, l.dst from reach r join links l on l.src = r.b)
+select a as node, min(b) as component from reach group by 1""")
+
+
+def _searched(t, p):
+    """Needles looked up in an index of vendor names and of contributors."""
+    base, out = _folder(t), None
+    for name, column, needles in (("vendor", "name", ("widget", "GADGET 1", "co", "%ring%inc", "nowhere")), ("contribution", "contributor_name", ("ring", "supply"))):
+        substring.write_index(t[name], "id", column, f"{base}/{name}")
+        for needle in needles:
+            hits = substring.search(t[name], "id", column, f"{base}/{name}", needle).select(F.lit(name).alias("kind"), F.lit(needle).alias("needle"), "id")
+            out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+_NEEDLES = [("vendor", "name", n) for n in ("widget", "GADGET 1", "co", "%ring%inc", "nowhere")] + [("contribution", "contributor_name", n) for n in ("ring", "supply")]
+register("q26_search_indexed", "vendor contribution", _searched, " union all ".join(
+    f"select '{k}' as kind, '{n}' as needle, id from {k}_v where {c} ilike '%{n}%'" for k, c, n in _NEEDLES))

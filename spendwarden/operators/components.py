@@ -38,3 +38,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     label = cut(label)
     least = label.groupBy("rep").agg(F.min("node").alias("component"))
     return label.join(least, "rep").select("node", "component")
+
+
+def fold_edges(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) rows that are new or differ once edges are added to a graph whose labels (node, component) are known.
+
+    Each end of an edge stands for its component, so only a graph of the touched components is solved, and only the nodes
+    of components that merge are read out of labels. Folding batch after batch equals one run over all edges.
+    """
+    pairs = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    at = cut(ends.join(labels.select("node", "component"), "node", "left"))
+    place = at.select("node", F.coalesce("component", "node").alias("of"))
+    between = pairs.join(place.toDF("a", "ca"), "a").join(place.toDF("b", "cb"), "b").select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+    merged = connected_components(between).withColumnRenamed("component", "new")
+    fresh = at.where("component is null").select("node").join(merged, "node").select("node", F.col("new").alias("component"))
+    moved = merged.where("node <> new").select(F.col("node").alias("component"), "new")
+    return fresh.unionByName(labels.select("node", "component").join(moved, "component").select("node", F.col("new").alias("component")))
