@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting among labelled documents in a latent semantic space.
 
-Terms are character-class trigrams and counts of repeated words and passages. A truncated singular value decomposition of
+Terms are words, character-class trigrams and counts of repeated words and passages. A truncated singular value decomposition of
 the labelled sample gives the latent space. The sample's unit vectors are broadcast, every document is compared with all
 of them in blocks of exact cosine products, and its nearest neighbours vote with their similarity.
 """
@@ -24,6 +24,9 @@ SHARPNESS = 8  # a neighbour votes with its cosine to this power
 GOOD = 0.3
 SLOTS = 2048
 REPEATS = 4  # repeated and new words, repeated and new passages
+WORD_SLOTS, WORD_WEIGHT = 1024, 0.5  # hashed words, and their weight beside the other groups of terms
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 CLASS = np.full(256, 31, np.uint32)  # 0 lower case, 1 upper case, 2 digit, 3 blank, 4 line end, then punctuation
 CLASS[[*range(97, 123), *range(128, 256)]] = 0
 CLASS[list(range(65, 91))] = 1
@@ -47,7 +50,7 @@ def terms(column: pa.Array) -> np.ndarray:
     """Term weights of whole texts: square roots of shares within each group of terms; a text without bytes has none."""
     data, at = flat(column)
     n = len(at) - 1
-    out = np.zeros((n, SLOTS + REPEATS))
+    out = np.zeros((n, SLOTS + REPEATS + WORD_SLOTS))
     if not len(data):
         return out
     kind = np.concatenate([CLASS[data], [4, 4]]).astype(np.uint32)
@@ -64,6 +67,9 @@ def terms(column: pa.Array) -> np.ndarray:
     for place, hits, all_ in ((SLOTS, total[w.of[1:]] - total[w.of[:-1]], count), (SLOTS + 2, _repeated(passages, passage_of), np.diff(passage_of))):
         out[:, place] = hits / np.maximum(all_, 1)
         out[:, place + 1] = np.where(all_ > 0, 1 - out[:, place], 0)
+    slot = (mix(Words(LOWER[data], at).hash) >> np.uint64(64 - 10)).astype(np.int64)
+    of = np.repeat(np.arange(n), count)
+    out[:, SLOTS + REPEATS :] = WORD_WEIGHT**2 * np.bincount(of * WORD_SLOTS + slot, minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS) / np.maximum(count, 1)[:, None]
     return np.sqrt(out)
 
 

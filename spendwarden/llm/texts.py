@@ -98,7 +98,7 @@ def runs_of(hashes: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(len(of), np.int64)
     power = powers(width + 1) * _ODD
     full = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         full[: n - k] += mix(hashes[k:]) * power[k]
     keep = np.maximum(count - width + 1, (count > 0).astype(np.int64))
     out_at = np.concatenate([[0], np.cumsum(keep)])
