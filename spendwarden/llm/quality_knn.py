@@ -54,7 +54,9 @@ def terms(column: pa.Array) -> np.ndarray:
     if not len(data):
         return out
     kind = np.concatenate([CLASS[data], [4, 4]]).astype(np.uint32)
-    code = ((kind[:-2] << np.uint32(10)) | (kind[1:-1] << np.uint32(5)) | kind[2:]) * np.uint32(2654435761) >> np.uint32(32 - 11)
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))  # a text's last trigrams go on with line ends, not with the next text
+    second, third = (np.where(left > k, kind[k : len(data) + k], np.uint32(4)) for k in (1, 2))
+    code = ((kind[:-2] << np.uint32(10)) | (second << np.uint32(5)) | third) * np.uint32(2654435761) >> np.uint32(32 - 11)
     text = np.repeat(np.arange(n), np.diff(at))
     out[:, :SLOTS] = np.bincount(text * SLOTS + code, minlength=n * SLOTS).reshape(n, SLOTS) / np.maximum(np.diff(at), 1)[:, None]
     w = Words(data, at)

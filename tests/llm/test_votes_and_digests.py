@@ -185,3 +185,10 @@ def test_runs_of_few_words():
         hashes = np.arange(1, n + 1, dtype=np.uint64)
         found, of = runs_of(hashes, np.array([0, n]), 5)
         assert of.tolist() == [0, max(n - 4, int(n > 0))] and len(found) == of[-1]
+
+
+def test_terms_do_not_depend_on_the_texts_beside():
+    texts = ["", "a", "?!", "The river", None, "old\nand wide 12", "é"]
+    together = quality_knn.terms(pa.array(texts, pa.large_string()))
+    alone = [quality_knn.terms(pa.array([t], pa.large_string()))[0] for t in texts]
+    assert np.allclose(together, alone)
