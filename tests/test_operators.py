@@ -138,3 +138,34 @@ def test_a_cutoff_of_nothing_is_refused(spark):
     df = spark.createDataFrame([("A",)], "a string")
     with pytest.raises(ValueError, match="matches everything"):
         fuzzy_pairs(df, "a", df, "a", 0)
+
+
+def _numbered(seed, n):
+    rng = random.Random(seed)
+    words = ["HOT BOLT", "HOT GEAR", "OLD BOLT", "COLD GEAR", "É"]
+    return sorted({f"{rng.choice(words)} {rng.choice(words)} {rng.randrange(10 ** rng.randrange(1, 7))}{rng.choice([' INC', 'S INC', '', ' 7'])}" for _ in range(n)} | {"12", "123", "1234"})
+
+
+@pytest.mark.parametrize("cutoff, cell_rows", [(90, 30), (80, 8), (60, 200)])
+def test_classes_of_numbered_names_equal_brute_force(spark, cutoff, cell_rows):
+    from spendwarden.operators import fuzzy_join as module
+
+    left, right = _numbered(cutoff, 300), _numbered(cutoff + 1, 200)
+    l, r = spark.createDataFrame([(n,) for n in left], "a string"), spark.createDataFrame([(n,) for n in right], "b string")
+    for a, b, x, y in ((l, "a", left, left), (l, "a", left, right)):
+        other = (l, "a") if y is left else (r, "b")
+        got = [(p["left_name"], p["right_name"], p["score"]) for p in module.fuzzy_pairs(a, b, *other, cutoff, cell_rows=cell_rows, class_names=1).collect()]
+        assert len(got) == len({g[:2] for g in got})
+        assert {g[:2]: g[2] for g in got} == pytest.approx(brute(x, y, cutoff))
+        names = a.select("a").toDF("name")
+        rows = module._by_classes(names, names, 300, cutoff, cell_rows, 1, lambda: 0)
+        assert rows is not None
+
+
+def test_a_pair_of_numbered_names_is_made_once(spark, monkeypatch):
+    from spendwarden.operators import fuzzy_join as module
+
+    df = spark.createDataFrame([(f"ACME WORKS {i:04d} INC",) for i in range(200)], "n string")
+    monkeypatch.setattr(module, "_by_keys", lambda *a: pytest.fail("keys that nearly all names have"))
+    names = [f"ACME WORKS {i:04d} INC" for i in range(200)]
+    assert {(r[0], r[1]) for r in fuzzy_pairs(df, "n", df, "n", 90, cell_rows=50).collect()} == set(brute(names, names, 90))
