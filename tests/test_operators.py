@@ -169,3 +169,17 @@ def test_a_pair_of_numbered_names_is_made_once(spark, monkeypatch):
     monkeypatch.setattr(module, "_by_keys", lambda *a: pytest.fail("keys that nearly all names have"))
     names = [f"ACME WORKS {i:04d} INC" for i in range(200)]
     assert {(r[0], r[1]) for r in fuzzy_pairs(df, "n", df, "n", 90, cell_rows=50).collect()} == set(brute(names, names, 90))
+
+
+@pytest.mark.parametrize("remembered", [1 << 18, 3])
+def test_thinned_edges_join_the_same_nodes(spark, monkeypatch, remembered):
+    from spendwarden.operators import components as module
+
+    monkeypatch.setattr(module, "FOREST_NODES", remembered)
+    rng = random.Random(5)
+    edges = [(f"N{rng.randrange(40)}", f"N{rng.randrange(40)}") for _ in range(30)] + [(f"A{i}", f"A{j}") for i in range(20) for j in range(i)]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = [tuple(r) for r in module.thinned(spark.createDataFrame(edges, "src string, dst string").coalesce(1)).collect()]
+    assert set(got) <= set(edges) and components(got) == components(edges)
+    if remembered > 3:
+        assert len(got) == len(components(edges)) - len(set(components(edges).values()))
