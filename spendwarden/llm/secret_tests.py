@@ -265,8 +265,9 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     Overlapping spans are masked as one. All columns of docs are kept.
     """
-    scan = scanned(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "text"))
-    rows = decided(scan, cutoffs(scan.select("_tokens")))
+    # written, so that texts are scanned once and the two jobs after it have small plans
+    scan = written(scanned(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), "text")).drop("text"), "secrets")
+    rows = decided(scan.withColumn("text", F.col("_row.text")), cutoffs(scan.select("_tokens")))
     # what stands between two masked spans, from the end of one to the start of the next
     kept = lambda m: F.zip_with(
         F.concat(F.array(F.lit(0).cast("long")), F.transform(m, lambda x: x["stop"])),

@@ -116,3 +116,10 @@ def test_long_lists_cost_their_length(spark):
     seconds(50)
     small = seconds(2000)
     assert seconds(16_000) < 16 * max(small, 1.0)
+
+
+def test_texts_are_scanned_once_for_masking(spark):
+    df = spark.createDataFrame([(1, "password = hunter22 and more", 28), (2, None, None)], "doc_id bigint, text string, n_chars int")
+    out = secret_tests.redact(df)
+    assert any("/secrets-" in f for f in out.inputFiles())  # what follows reads the scan's rows
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "[secret] and more", 17), (2, None, None)]
