@@ -19,6 +19,8 @@ from .texts import Words, flat, mix, runs_of, slices
 
 PER_LABEL = 1500  # labelled documents of each label that vote; with RANK it bounds what is broadcast
 RANK = 48
+FIT_ROWS = 200  # sample texts whose terms the driver holds at a time
+ROUNDS, SETTLED = 300, 1e-12  # rounds for the axes at most, and the error relative to the greatest eigenvalue that ends them
 NEIGHBOURS = 25
 SHARPNESS = 8  # a neighbour votes with its cosine to this power
 GOOD = 0.3
@@ -79,15 +81,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-class Voters:
-    """The latent space (weights and axes) and the labelled unit vectors in it."""
+def _top_axes(gram: np.ndarray, rank: int) -> np.ndarray:
+    """Eigenvectors of the greatest eigenvalues, falling, by iterated subspaces: no copy of the matrix is made, as a full
+    decomposition makes four."""
+    size = len(gram)
+    wide = min(size, 3 * rank)
+    base, _ = np.linalg.qr(np.random.default_rng(0).standard_normal((size, wide)))
+    for _ in range(ROUNDS):
+        image = gram @ base
+        values, turn = np.linalg.eigh(base.T @ image)
+        order = np.argsort(-values)
+        values, axes = values[order][:rank], (base @ turn[:, order])[:, :rank]
+        left = np.linalg.norm(image @ turn[:, order[:rank]] - axes * values, axis=0)
+        if (left <= SETTLED * max(values[0], 1e-300)).all():
+            break
+        base, _ = np.linalg.qr(image)
+    return axes
+
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.2
-        weighted = x * self.idf
-        _, axes = np.linalg.eigh(weighted.T @ weighted)  # right singular vectors, by rising singular value
-        self.axes = axes[:, ::-1][:, :RANK].copy()
-        self.vectors, self.labels = self.place(x), labels.astype(float)
+class Voters:
+    """The latent space (weights and axes) and the labelled unit vectors in it; terms go in slice by slice, none are kept."""
+
+    def __init__(self, column: pa.Array, labels: np.ndarray):
+        size, held = SLOTS + REPEATS + WORD_SLOTS, 0
+        gram, at_all = np.zeros((size, size)), np.zeros(size)
+        parts = [column.slice(i, FIT_ROWS) for i in range(0, len(column), FIT_ROWS)]
+        for x in map(terms, parts):
+            held += len(x)
+            at_all += (x > 0).sum(0)
+            for i in range(0, size, FIT_ROWS):
+                gram[i : i + FIT_ROWS] += x[:, i : i + FIT_ROWS].T @ x
+        self.idf = np.log((1 + held) / (1 + at_all)) + 0.2
+        gram *= self.idf
+        gram *= self.idf[:, None]
+        self.axes = _top_axes(gram, RANK)
+        del gram
+        self.vectors, self.labels = np.concatenate([self.place(terms(p)) for p in parts]), labels.astype(float)
 
     def place(self, x: np.ndarray) -> np.ndarray:
         return _unit((x * self.idf) @ self.axes)
@@ -108,8 +137,7 @@ def voters(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Vo
     if not rows:
         return None
     column = pa.array([r[2] for r in rows], pa.large_string())
-    x = np.concatenate([terms(column.slice(i, 200)) for i in range(0, len(rows), 200)])
-    return Voters(x, np.array([r[1] for r in rows]))
+    return Voters(column, np.array([r[1] for r in rows]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

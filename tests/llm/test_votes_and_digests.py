@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -192,3 +193,21 @@ def test_terms_do_not_depend_on_the_texts_beside():
     together = quality_knn.terms(pa.array(texts, pa.large_string()))
     alone = [quality_knn.terms(pa.array([t], pa.large_string()))[0] for t in texts]
     assert np.allclose(together, alone)
+
+
+def test_quality_fit_holds_one_matrix():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    column = pa.array([" ".join(rng.choice(words, 30)) for _ in range(1500)], pa.large_string())
+    tracemalloc.start()
+    try:
+        model = quality_knn.Voters(column, np.arange(1500) % 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    size = quality_knn.SLOTS + quality_knn.REPEATS + quality_knn.WORD_SLOTS
+    assert peak < 1.8 * 8 * size * size
+    weighted = np.concatenate([quality_knn.terms(column.slice(i, 200)) for i in range(0, 1500, 200)]) * model.idf
+    values, axes = np.linalg.eigh(weighted.T @ weighted)
+    assert np.allclose(((weighted @ model.axes) ** 2).sum(0), values[::-1][: quality_knn.RANK])
+    assert np.allclose(np.linalg.norm(axes[:, ::-1][:, :10].T @ model.axes[:, :10], axis=0), 1)
