@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -158,3 +159,17 @@ def test_position_follows_rows(spark, tmp_path):
     write(tmp_path, "n.csv", "n\n" + "\n".join(str(i) for i in range(50)) + "\n")
     rows = readers.read_csv(spark, str(tmp_path)).orderBy("_pos").select(F.col("n").cast("int")).collect()
     assert [r[0] for r in rows] == list(range(50))
+
+
+def test_plain_pages_read_as_the_parser_reads_them():
+    bits = ["<table>", '<TABLE id="contracts-table">', '<table class="x dataTable">', "</table>", "<tr>", "</tr >", "<td>", '<td a="1" b="2">', "</td>", "<th>", "</th>", "<thead>", "</thead>",
+            "<tbody\n>", "</tbody>", '<a href="/x">', '<a HREF="/y" href="/z">', "<a href='q'>", '<a href="a&amp;b">', "</a>", "<br/>", "text", " more ", "&lt;", "&amp", "a < b", "<!-- c <td> -->",
+            '<script>if (a<b) x="<td>"</script>', "<title>", "</title>", "\0", "<", ">", "&", "</", "<b x>", '<td x = "1">', "</td foo>", '<p title="a>b">', "</table"]
+    rng, plain = random.Random(4), 0
+    for n in range(4000):
+        page = "".join(rng.choice(bits[: 17 if n % 2 else None]) for _ in range(rng.randint(1, 20)))
+        parser = html_tables._Tables()
+        parser.feed(page)
+        plain += html_tables._plain(page, html_tables._Tables())
+        assert html_tables._tables(page) == parser.tables, page
+    assert plain > 500
