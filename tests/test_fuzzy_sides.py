@@ -48,3 +48,22 @@ def test_matches_of_one_vendor_are_those_of_all(spark):
     for vendor in (2, 3, 4, 5, 6, 9, 77):  # 2 isn't paid, so 4 stands for the name
         assert sorted(employee_match.name_matches(t, P, vendor).collect()) == sorted(r for r in whole if r["vendor_id"] == vendor)
     assert {r["vendor_id"] for r in whole} == {4, 5}
+
+
+@pytest.mark.parametrize("turn", [False, True])
+@pytest.mark.parametrize("cutoff", [60, 90])
+def test_the_side_that_makes_fewer_rows_is_repeated(spark, monkeypatch, turn, cutoff):
+    many = [f"{w} {i} INC" for w in ("ACME WORKS", "ACME WORKSHOP", "BOLT") for i in range(60)]
+    few = [f"{w} {i} INC" for w in ("ACME WORKS", "ACME WORK", "BOLT") for i in range(0, 60, 6)]
+    left, right = (many, few) if turn else (few, many)
+    met = []
+    plain = fuzzy_join._in_cells
+
+    def seen(lk, rk, *rest):
+        met.append((lk.count(), rk.select("name").distinct().count()))
+        return plain(lk, rk, *rest)
+
+    monkeypatch.setattr(fuzzy_join, "_in_cells", seen)
+    monkeypatch.setattr(fuzzy_join, "FEW_NAMES", 0)
+    assert _pairs(spark, left, right, cutoff, cell_rows=8, class_names=1) == _brute(left, right, cutoff)
+    assert len(met) == 2 and met[1][0] > met[1][1] and met[1][1] <= len(few)
