@@ -110,3 +110,22 @@ def test_wrong_books():
     for wrong in (lambda: book.order(["a"]), lambda: book.rule("x", "", lambda t, p: [], before="nobody"), lambda: engine.run_rule("no-such-rule", {}, P)):
         with pytest.raises(ValueError, match="unknown rule"):
             wrong()
+
+
+def test_pairs_of_names_are_listed_only_to_be_kept(spark, monkeypatch):
+    """Rules meet similar names where they are found; the list of pairs is made for those who ask for shared results."""
+    book = engine.BOOK
+    assert "names" not in book.order() and "names" in book.order(keep=True)
+    assert "names" in book.order(["network"], keep=True) and "names" not in book.order(["debarment"], keep=True)
+    small = Rulebook()
+    small.shared("listed", "vendor", lambda t, p: t["vendor"].select(F.raise_error(F.lit("no list")).alias("x")), beside="one")
+    small.rule("one", "vendor", lambda t, p: t["vendor"].select(F.lit("a").alias("alert_type"), F.lit("low").alias("severity"), F.lit("vendor").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(None).alias("nothing")))
+    small.rule("two", "vendor", lambda t, p: t["vendor"].select(F.lit("b").alias("alert_type"), F.lit("low").alias("severity"), F.lit("vendor").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(7).alias("n")))
+    t = {"vendor": spark.range(3)}
+    found, outcome = small.run(t, P)
+    assert [(o["status"], o["findings"]) for o in outcome] == [("success", 3)] * 2
+    assert {(r["alert_type"], r["evidence"], r["description"]) for r in found.collect()} == {("a", "{}", "a {}"), ("b", '{"n":7}', 'b {"n":7}')}
+    shared = {}
+    found, outcome = small.run(t, P, shared=shared)
+    assert [o["status"] for o in outcome] == ["failed", "success"] and "no list" in outcome[0]["error"] and not shared
+    assert {r["alert_type"] for r in found.collect()} == {"b"}
